@@ -1,0 +1,9 @@
+"""Streams: the validity filter is the only operator that needs no end of input.
+
+Sorting, duplicate elimination and joins are batch operators here; there is no
+stream operator to offer beyond ``keep_valid``.
+"""
+
+from graniteq.records import keep_valid
+
+__all__ = ["keep_valid"]
