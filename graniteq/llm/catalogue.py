@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graniteq.llm import html_extract, language_id, packing, piece_codec, simhash_dedup, url_filter
+from graniteq.llm import fingerprint, html_extract, language_id, licenses, packing, piece_codec, secrets, simhash_dedup, url_filter
 from graniteq.sources import table
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -16,6 +20,14 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.round_trip_digests(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digests(table(spark, sf_dir, "documents"))
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_likeness(table(spark, sf_dir, "documents"))
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
@@ -33,12 +45,15 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_packing": op2_packing,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_license_scan": op5_license_scan,
+    "op6_fingerprints": op6_fingerprints,
     "op7_html_extraction": op7_html_extraction,
     "op8_url_filter": op8_url_filter,
     "op9_language_id": op9_language_id,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
 
-ORACLES = {"op8_url_filter": url_filter.judge_urls_sql()}
+ORACLES = {"op1_secret_scan": secrets.digests_sql(), "op5_license_scan": licenses.digests_sql(), "op8_url_filter": url_filter.judge_urls_sql()}
