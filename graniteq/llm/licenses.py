@@ -12,12 +12,14 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graniteq.llm.common import column
-from graniteq.llm.native import WORD, running_totals, words_of
+from graniteq.llm.native import running_totals, words_of
 
 
 @dataclass(frozen=True)
@@ -161,7 +163,7 @@ RULES = rules()
 KEYWORDS = tuple(sorted({k for r in RULES for k in r.keywords}))
 
 #: Every rule needs one of these in the text.
-GATE = "|".join(["licen", *_VERBS.split("|")[1:], "spdx", *sorted({w for _, words, _ in WORDING for w in words.split()})])
+GATE = ("licen", *_VERBS.split("|")[1:], "spdx", *sorted({w for _, words, _ in WORDING for w in words.split()}))
 
 
 def _rule_array() -> Column:
@@ -199,8 +201,10 @@ def detect(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = (), in
     # Lowering beyond A to Z neither adds nor removes words, and no phrase holds such letters.
     lowered = F.lower(F.coalesce(column(df, text_col), F.lit("")))
     rows = df.select(*[column(df, c) for c in keep], lowered.alias("__text"))
-    spaced = F.when(F.col("__text").rlike(GATE), F.concat(F.lit(" "), F.array_join(words_of(F.col("__text")), "  "), F.lit(" ")))
-    rows = rows.select(*[F.col(f"`{c}`") for c in keep], F.regexp_count("__text", F.lit(WORD)).cast("long").alias("n_words"), spaced.alias("__spaced"))
+    gate = reduce(or_, (F.contains(F.col("__text"), F.lit(k)) for k in GATE))
+    rows = rows.select(*[F.col(f"`{c}`") for c in keep], words_of(F.col("__text")).alias("__words"), gate.alias("__gate"))
+    spaced = F.when(F.col("__gate"), F.concat(F.lit(" "), F.array_join("__words", "  "), F.lit(" ")))
+    rows = rows.select(*[F.col(f"`{c}`") for c in keep], F.size("__words").cast("long").alias("n_words"), spaced.alias("__spaced"))
     keys = F.filter(F.array(*map(F.lit, KEYWORDS)), lambda k: F.contains(F.col("__spaced"), k))
     rows = rows.withColumn("__keys", F.when(F.col("__spaced").isNotNull(), keys))
     asked = F.filter(_rule_array(), lambda r: F.arrays_overlap(r["keywords"], F.col("__keys")))
@@ -243,7 +247,7 @@ def digests_sql() -> str:
     total = lambda x: f"coalesce(list_sum(list_transform({x}, lambda y: {words('y')})), 0)::bigint"
     return f"""with r(rule, label, pattern, priority, weight, base) as (values {values}),
 d as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w, lower(coalesce(text, '')) as t from documents),
-s as (select doc_id, ' ' || array_to_string(w, '  ') || ' ' as spaced from d where regexp_matches(t, '{GATE}')),
+s as (select doc_id, ' ' || array_to_string(w, '  ') || ' ' as spaced from d where regexp_matches(t, '{'|'.join(GATE)}')),
 m as (select doc_id, rule, string_split_regex(spaced, pattern) as gaps, regexp_extract_all(spaced, pattern) as hits from s, r where regexp_matches(spaced, pattern)),
 e as (select doc_id, rule, gaps, hits, unnest(range(1, len(hits) + 1)) as i from m),
 p as (select doc_id, rule, {total('gaps[1:i]')} + {total('hits[1:i-1]')} as start, {words('hits[i]')} as n from e),
