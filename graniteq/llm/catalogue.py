@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graniteq.llm import fingerprint, html_extract, language_id, licenses, packing, piece_codec, secrets, simhash_dedup, url_filter
+from graniteq.llm import embedding_dedup, fingerprint, html_extract, language_id, licenses, packing, piece_codec, secrets, simhash_dedup, url_filter
 from graniteq.sources import table
 
 
@@ -16,6 +16,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.round_trip_digests(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_packing": op2_packing,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_license_scan": op5_license_scan,
     "op6_fingerprints": op6_fingerprints,
@@ -56,4 +61,4 @@ QUERIES = {
     "op10_simhash_dedup": op10_simhash_dedup,
 }
 
-ORACLES = {"op1_secret_scan": secrets.digests_sql(), "op5_license_scan": licenses.digests_sql(), "op8_url_filter": url_filter.judge_urls_sql()}
+ORACLES = {"op1_secret_scan": secrets.digests_sql(), "op3_embedding_dedup": embedding_dedup.link_vectors_sql(), "op5_license_scan": licenses.digests_sql(), "op8_url_filter": url_filter.judge_urls_sql()}
