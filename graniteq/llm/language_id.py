@@ -27,6 +27,7 @@ SAMPLE_DOCUMENTS = 2000
 UNKNOWN = "und"
 
 _CHAR_BITS = 21
+_BUCKETS = 32  # of a language's documents, so that none is chosen from in one task
 _AT_ONCE = 1 << 20
 _SPACE = 32
 
@@ -109,16 +110,17 @@ def learn_profiles(
 ) -> Profiles:
     """Profiles of the languages in ``labelled``.
 
-    At most ``sample_documents`` documents with a language are read, by the hash
-    of their id and in turn from each language; their whole texts are counted
-    where they lie. The driver gets ``size`` n-grams for each language.
+    At most ``sample_documents`` documents with a language are read, in turn from
+    each language and bucket of ids, by the hash of their id; their whole texts
+    are counted where they lie. The driver gets ``size`` n-grams for each language.
     """
     rows = labelled.select(column(labelled, id_col).alias("id"), column(labelled, text_col).alias("text"), column(labelled, lang_col).alias("lang"))
     rows = rows.filter("id is not null and text is not null and lang is not null")
-    spread = F.xxhash64(F.lit("sample"), F.col("id").cast("string"))
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy("spread", "id"))
-    ids = rows.select("id", "lang", spread.alias("spread")).withColumn("turn", turn).filter(F.col("turn") <= sample_documents)
-    sample = ids.orderBy("turn", "lang").limit(sample_documents).select("id").distinct()
+    key = F.col("id").cast("string")
+    ids = rows.select("id", "lang", F.xxhash64(F.lit("spread"), key).alias("spread"), F.pmod(F.xxhash64(F.lit("bucket"), key), F.lit(_BUCKETS)).alias("bucket"))
+    turn = F.row_number().over(Window.partitionBy("lang", "bucket").orderBy("spread", "id"))
+    ids = ids.withColumn("turn", turn).filter(F.col("turn") <= -(-sample_documents // _BUCKETS))
+    sample = ids.orderBy("turn", "bucket", "lang", "spread").limit(sample_documents).select("id").distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[str, list] = {}
