@@ -21,6 +21,7 @@ import re
 import struct
 from collections.abc import Iterator
 from functools import cache
+from itertools import pairwise
 
 import ahocorasick
 import numpy as np
@@ -32,8 +33,9 @@ from graniteq.llm.common import column, output
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 
-#: Chunks that a worker remembers; when there are more, it starts anew.
-REMEMBERED_CHUNKS = 400_000
+#: Chunks and pairs of pieces that a worker remembers; when there are more, it starts anew.
+REMEMBERED_CHUNKS = 500_000
+REMEMBERED_PAIRS = 400_000
 
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 
@@ -83,19 +85,37 @@ class PieceModel:
             raise ValueError(f"{path}: runs of space marks must merge last")
         if any(SPACE in p.lstrip(SPACE) or p.startswith(SPACE * 2) and p.strip(SPACE) for p in self.scores):
             raise ValueError(f"{path}: a piece spans the start of a word")
-        self.automaton = ahocorasick.Automaton()
-        for piece in self.scores:
-            self.automaton.add_word(piece, len(piece))
-        self.automaton.make_automaton()
-        #: Which merge comes first; single characters need none.
-        self.ranks = {p: i for i, p in enumerate(sorted((p for p in self.scores if len(p) > 1), key=lambda p: -self.scores[p]))}
         self.splits: dict[str, tuple[str, str] | None] = {}
         known = "".join(sorted({c for p in self.scores for c in p}))
         self.foreign = re.compile(f"[^{re.escape(known)}]")
-        line = "" if "\n" in known else "\n"  # ends of lines are the most frequent character that no piece has
-        self.cut = re.compile(f"{SPACE}+[^{SPACE}{line}]*|[^{SPACE}{line}]+" + f"|{line}+" * bool(line)).findall
+        self.cut = re.compile(self._chunks(set(known))).findall
+        #: Which merge comes first; single characters need none.
+        self.ranks = {p: i for i, p in enumerate(sorted((p for p in self.scores if len(p) > 1), key=lambda p: -self.scores[p]))}
+        self.shorter: dict[str, str] = {}
+        self.automaton = ahocorasick.Automaton()
+        for piece in self.ranks:  # runs of space marks and pieces that merging never makes are left out
+            if piece.strip(SPACE) and self._split(piece):
+                self.automaton.add_word(piece, len(piece))
+        self.automaton.make_automaton()
+        self.pairs: dict[tuple[str, str], bool] = {}
         self.chunks: dict[str, bytes] = {}
 
+    def _chunks(self, known: set[str]) -> str:
+        """A pattern for chunks, such that no piece joins characters across the start of one.
+
+        A chunk starts at space marks, at punctuation that stands behind no letter,
+        digit or the like in any piece but does here, and at ends of lines where no
+        piece has them.
+        """
+        marks = {c for c in map(chr, range(33, 127)) if not c.isalnum()}
+        cut = marks - {b for p in self.scores for a, b in pairwise(p) if a != SPACE and a not in marks}
+        line = "" if "\n" in known else "\n"
+        inner = lambda cs: "".join(map(re.escape, sorted(cs)))
+        if not cut:
+            return f"{SPACE}+[^{SPACE}{line}]*|[^{SPACE}{line}]+" + f"|{line}+" * bool(line)
+        on = f"(?:[^{SPACE}{line}{inner(cut)}]+|(?<![^{SPACE}{line}{inner(marks)}])[{inner(cut)}]+)"
+        return f"{SPACE}+{on}*|[{inner(cut)}]+{on}*|{on}+" + f"|{line}+" * bool(line)
+
     def merged(self, text: str) -> list[str]:
         """The pieces that merging gives: the best score first, the leftmost of equal ones."""
         parts: list[str | None] = list(text)
@@ -160,37 +180,50 @@ class PieceModel:
             else:
                 return True
 
+    def _shorter(self, piece: str) -> str:
+        """The longest piece that begins this one, or its first character."""
+        n = len(piece) - 1
+        while n > 1 and not (piece[:n] in self.ranks and self._split(piece[:n])):
+            n -= 1
+        found = self.shorter[piece] = piece[:n]
+        return found
+
     def pieces(self, text: str) -> list[str]:
         """The pieces of a text whose only space mark, if any, is its first character."""
         n = len(text)
-        if n == 1:
-            return [text]
-        lengths: list[list[int]] = [[1] for _ in range(n)]  # at each place, the shortest first
-        for end, size in self.automaton.iter(text):
-            if size > 1:
-                lengths[end + 1 - size].append(size)
-        for own in lengths:
-            own.sort()
-        open_places = (1 << (n + 1)) - 1
+        longest = [1] * n
+        for end, size in self.automaton.iter(text):  # of those that start together the longest comes last
+            longest[end + 1 - size] = size
+        open_places, pairs, shorter = (1 << (n + 1)) - 1, self.pairs, self.shorter
         out: list[str] = []
-        at, tried = 0, len(lengths[0]) - 1
+        at, last, piece = 0, None, text[: longest[0]]
         while at < n:
-            last = out[-1] if out else None
-            while tried >= 0:
-                size = lengths[at][tried]
-                piece = text[at : at + size]
-                if open_places >> (at + size) & 1 and (size == 1 or self._split(piece)) and (last is None or self._fits(last, piece)):
+            while True:
+                if open_places >> (at + len(piece)) & 1:
+                    if last is None:
+                        break
+                    fits = pairs.get((last, piece))
+                    if fits is None:
+                        if len(pairs) >= REMEMBERED_PAIRS:
+                            pairs.clear()
+                        fits = pairs[last, piece] = self._fits(last, piece)
+                    if fits:
+                        break
+                if len(piece) == 1:
+                    piece = None
                     break
-                tried -= 1
-            if tried >= 0:
+                piece = shorter.get(piece) or self._shorter(piece)
+            if piece is not None:
                 out.append(piece)
-                at += size
-                tried = len(lengths[at]) - 1 if at < n else 0
-            else:
+                at += len(piece)
+                last = piece
+                if at < n:
+                    piece = text[at : at + longest[at]]
+            else:  # nothing may follow here: the last piece is taken back and a shorter one is tried
                 open_places &= ~(1 << at)
-                out.pop()
-                at -= len(last)
-                tried = lengths[at].index(len(last)) - 1
+                piece = out.pop()
+                at -= len(piece)
+                last = out[-1] if out else None
         return out
 
     def _chunk_ids(self, chunk: str) -> bytes:
