@@ -19,14 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graniteq.llm.common import column
-from graniteq.llm.native import running_totals, words_of
+from graniteq.llm.native import let, running_totals, words_of
 
 
 @dataclass(frozen=True)
 class Rule:
     """``pattern`` is over a text of words that each have a space on both sides.
 
-    Whatever it matches holds one of ``keywords``.
+    Whatever it matches has one of ``keywords`` as a word.
     """
 
     label: str
@@ -39,28 +39,28 @@ class Rule:
 
 #: label: (words of the identifier, the name as a pattern over words, words of which the name has one)
 LICENSES = {
-    "0bsd": ("0bsd", "(bsd zero clause|zero clause bsd|0bsd)", "bsd"),
+    "0bsd": ("0bsd", "(bsd zero clause|zero clause bsd|0bsd)", "bsd 0bsd"),
     "afl-3.0": ("afl 3 0", "academic free license( version| v)?( 3| v3)( 0)?", "academic"),
-    "agpl-3.0": ("agpl 3 0( only| or later)?", "(gnu )?(affero general public license|agpl)( version| v)?( 3| v3|v3)?( 0)?", "gpl affero"),
+    "agpl-3.0": ("agpl 3 0( only| or later)?", "(gnu )?(affero general public license|agpl)( version| v)?( 3| v3|v3)?( 0)?", "agpl affero"),
     "apache-1.1": ("apache 1 1", "apache( software)? license( version| v)? 1 1", "apache"),
     "apache-2.0": ("apache 2 0", "apache( software)? license( version| v)?( 2| v2)( 0)?", "apache"),
     "artistic-1.0": ("artistic 1 0", "artistic license( version| v)? 1 0", "artistic"),
     "artistic-2.0": ("artistic 2 0", "artistic license( version| v)? 2 0", "artistic"),
-    "bsd-2-clause": ("bsd 2 clause", "(bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd)", "bsd"),
+    "bsd-2-clause": ("bsd 2 clause", "(bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd)", "bsd freebsd"),
     "bsd-3-clause": ("bsd 3 clause", "(bsd 3 clause|3 clause bsd|three clause bsd|new bsd|modified bsd|revised bsd)", "bsd"),
     "bsd-4-clause": ("bsd 4 clause", "(bsd 4 clause|4 clause bsd|four clause bsd|original bsd)", "bsd"),
     "bsl-1.0": ("bsl 1 0", "boost software license( version| v)?( 1)?( 0)?", "boost"),
     "busl-1.1": ("busl 1 1", "business source license( version| v)?( 1 1)?", "business"),
-    "cc0-1.0": ("cc0 1 0", "(cc0|creative commons zero)( 1 0)?", "cc0 zero"),
-    "cc-by-4.0": ("cc by 4 0", "(cc by|creative commons attribution)( international)? 4 0", "cc commons"),
-    "cc-by-3.0": ("cc by 3 0", "(cc by|creative commons attribution)( unported)? 3 0", "cc commons"),
-    "cc-by-nc-4.0": ("cc by nc 4 0", "(cc by nc|creative commons attribution non( )?commercial)( international)? 4 0", "cc commons"),
-    "cc-by-nc-3.0": ("cc by nc 3 0", "(cc by nc|creative commons attribution non( )?commercial)( unported)? 3 0", "cc commons"),
-    "cc-by-nc-nd-4.0": ("cc by nc nd 4 0", "(cc by nc nd|creative commons attribution non( )?commercial no( )?deriv(s|ative|atives))( international)? 4 0", "cc commons"),
-    "cc-by-nc-sa-4.0": ("cc by nc sa 4 0", "(cc by nc sa|creative commons attribution non( )?commercial share( )?alike)( international)? 4 0", "cc commons"),
-    "cc-by-nd-4.0": ("cc by nd 4 0", "(cc by nd|creative commons attribution no( )?deriv(s|ative|atives))( international)? 4 0", "cc commons"),
-    "cc-by-sa-4.0": ("cc by sa 4 0", "(cc by sa|creative commons attribution share( )?alike)( international)? 4 0", "cc commons"),
-    "cc-by-sa-3.0": ("cc by sa 3 0", "(cc by sa|creative commons attribution share( )?alike)( unported)? 3 0", "cc commons"),
+    "cc0-1.0": ("cc0 1 0", "(cc0|creative commons zero)( 1 0)?", "cc0 creative"),
+    "cc-by-4.0": ("cc by 4 0", "(cc by|creative commons attribution)( international)? 4 0", "cc creative"),
+    "cc-by-3.0": ("cc by 3 0", "(cc by|creative commons attribution)( unported)? 3 0", "cc creative"),
+    "cc-by-nc-4.0": ("cc by nc 4 0", "(cc by nc|creative commons attribution non( )?commercial)( international)? 4 0", "cc creative"),
+    "cc-by-nc-3.0": ("cc by nc 3 0", "(cc by nc|creative commons attribution non( )?commercial)( unported)? 3 0", "cc creative"),
+    "cc-by-nc-nd-4.0": ("cc by nc nd 4 0", "(cc by nc nd|creative commons attribution non( )?commercial no( )?deriv(s|ative|atives))( international)? 4 0", "cc creative"),
+    "cc-by-nc-sa-4.0": ("cc by nc sa 4 0", "(cc by nc sa|creative commons attribution non( )?commercial share( )?alike)( international)? 4 0", "cc creative"),
+    "cc-by-nd-4.0": ("cc by nd 4 0", "(cc by nd|creative commons attribution no( )?deriv(s|ative|atives))( international)? 4 0", "cc creative"),
+    "cc-by-sa-4.0": ("cc by sa 4 0", "(cc by sa|creative commons attribution share( )?alike)( international)? 4 0", "cc creative"),
+    "cc-by-sa-3.0": ("cc by sa 3 0", "(cc by sa|creative commons attribution share( )?alike)( unported)? 3 0", "cc creative"),
     "cddl-1.0": ("cddl 1 0", "(common development and distribution license|cddl)( version| v)?( 1 0)?", "cddl distribution"),
     "cecill-2.1": ("cecill 2 1", "cecill( license| licence)?( version| v)? 2 1", "cecill"),
     "cpl-1.0": ("cpl 1 0", "common public license( version| v)?( 1 0)?", "common"),
@@ -72,15 +72,15 @@ LICENSES = {
     "fsl-1.1": ("fsl 1 1", "functional source license( version| v)?( 1 1)?", "functional"),
     "gfdl-1.3": ("gfdl 1 3( only| or later)?", "(gnu )?free documentation license( version| v)?( 1 3)?", "documentation"),
     "gpl-1.0": ("gpl 1 0( only| or later)?", "(gnu )?(general public license|gpl)( version| v)? 1( 0)?", "gpl general"),
-    "gpl-2.0": ("gpl 2 0( only| or later)?", "(gnu )?((general public license|gpl)( version| v)?( 2| v2)|gplv2)( 0)?", "gpl general"),
-    "gpl-3.0": ("gpl 3 0( only| or later)?", "(gnu )?((general public license|gpl)( version| v)?( 3| v3)|gplv3)( 0)?", "gpl general"),
+    "gpl-2.0": ("gpl 2 0( only| or later)?", "(gnu )?((general public license|gpl)( version| v)?( 2| v2)|gplv2)( 0)?", "gpl general gplv2"),
+    "gpl-3.0": ("gpl 3 0( only| or later)?", "(gnu )?((general public license|gpl)( version| v)?( 3| v3)|gplv3)( 0)?", "gpl general gplv3"),
     "hpnd": ("hpnd", "historical permission notice and disclaimer", "historical"),
     "icu": ("icu", "icu license", "icu"),
     "ijg": ("ijg", "independent jpeg group license", "jpeg"),
     "isc": ("isc", "isc", "isc"),
-    "lgpl-2.0": ("lgpl 2 0( only| or later)?", "(gnu )?(library general public license|lgpl)( version| v)? 2( 0)?", "gpl library"),
-    "lgpl-2.1": ("lgpl 2 1( only| or later)?", "(gnu )?(lesser general public license|lgpl)( version| v)? 2 1", "gpl lesser"),
-    "lgpl-3.0": ("lgpl 3 0( only| or later)?", "(gnu )?((lesser general public license|lgpl)( version| v)?( 3| v3)|lgplv3)( 0)?", "gpl lesser"),
+    "lgpl-2.0": ("lgpl 2 0( only| or later)?", "(gnu )?(library general public license|lgpl)( version| v)? 2( 0)?", "lgpl library"),
+    "lgpl-2.1": ("lgpl 2 1( only| or later)?", "(gnu )?(lesser general public license|lgpl)( version| v)? 2 1", "lgpl lesser"),
+    "lgpl-3.0": ("lgpl 3 0( only| or later)?", "(gnu )?((lesser general public license|lgpl)( version| v)?( 3| v3)|lgplv3)( 0)?", "lgpl lesser lgplv3"),
     "libpng": ("libpng", "libpng license", "libpng"),
     "lppl-1.3c": ("lppl 1 3c", "latex project public license( version| v)?( 1 3c?)?", "latex"),
     "mit": ("mit", "(mit|expat|mit x11)", "mit expat"),
@@ -101,7 +101,7 @@ LICENSES = {
     "rpl-1.5": ("rpl 1 5", "reciprocal public license( version| v)?( 1 5)?", "reciprocal"),
     "sspl-1.0": ("sspl 1 0", "(server side public license|sspl)( version| v)?( 1)?( 0)?", "server sspl"),
     "unicode-3.0": ("unicode 3 0", "unicode license( version| v)?( 3)?", "unicode"),
-    "unlicense": ("unlicense", "(unlicense|unlicence)", "unlicen"),
+    "unlicense": ("unlicense", "(unlicense|unlicence)", "unlicense unlicence"),
     "upl-1.0": ("upl 1 0", "universal permissive license( version| v)?( 1 0)?", "universal"),
     "vim": ("vim", "vim", "vim"),
     "w3c": ("w3c", "w3c software( notice and)?", "w3c"),
@@ -152,9 +152,9 @@ def rules() -> list[Rule]:
         own = tuple(words.split())
         found += [
             Rule(label, ("spdx",), _over_words(f"spdx license identifier {ident}"), 5, 1.0),
-            Rule(label, ("license",), _over_words(f"{_LINK} {ident}"), 4, 0.95),
+            Rule(label, ("spdx", "opensource", "choosealicense"), _over_words(f"{_LINK} {ident}"), 4, 0.95),
             Rule(label, own, _over_words(f"{_GRANT} {name}( licen[cs]e)?"), 3, 0.9),
-            Rule(label, ("licen",), _over_words(f"(the )?{name}( licen[cs]e)" + "?" * ("licen" in name)), 2, 0.7),
+            Rule(label, own, _over_words(f"(the )?{name}( licen[cs]e)" + "?" * ("licen" in name)), 2, 0.7),
         ]
     return found + [Rule(label, tuple(words.split()), _over_words(p), 4, 0.95) for label, words, p in WORDING]
 
@@ -175,10 +175,14 @@ def _rule_array() -> Column:
 def _detections(spaced: Column, r: Column) -> Column:
     """The rule's detections, with their first word and the one after the last."""
     words = lambda x: ((F.length(x) - F.length(F.replace(x, F.lit(" ")))) / 2).cast("long")
-    hits = F.regexp_extract_all(spaced, r["pattern"], F.lit(0))
-    ends = running_totals(F.zip_with(F.slice(F.split(spaced, r["pattern"], -1), F.lit(1), F.size(hits)), hits, lambda g, h: words(g) + words(h)))
     fields = ("label", "priority", "weight", "base", "rule")
-    return F.zip_with(ends, hits, lambda e, h: F.struct((e - words(h)).alias("start"), e.alias("end"), *[r[f].alias(f) for f in fields]))
+
+    def placed(hits: Column) -> Column:
+        gaps = F.slice(F.split(spaced, r["pattern"], -1), F.lit(1), F.size(hits))
+        ends = running_totals(F.zip_with(gaps, hits, lambda g, h: words(g) + words(h)))
+        return F.zip_with(ends, hits, lambda e, h: F.struct((e - words(h)).alias("start"), e.alias("end"), *[r[f].alias(f) for f in fields]))
+
+    return let(F.regexp_extract_all(spaced, r["pattern"], F.lit(0)), placed)
 
 
 def _outranks(e: Column, d: Column) -> Column:
@@ -205,9 +209,9 @@ def detect(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = (), in
     rows = rows.select(*[F.col(f"`{c}`") for c in keep], words_of(F.col("__text")).alias("__words"), gate.alias("__gate"))
     spaced = F.when(F.col("__gate"), F.concat(F.lit(" "), F.array_join("__words", "  "), F.lit(" ")))
     rows = rows.select(*[F.col(f"`{c}`") for c in keep], F.size("__words").cast("long").alias("n_words"), spaced.alias("__spaced"))
-    keys = F.filter(F.array(*map(F.lit, KEYWORDS)), lambda k: F.contains(F.col("__spaced"), k))
+    keys = F.filter(F.array(*map(F.lit, KEYWORDS)), lambda k: F.contains(F.col("__spaced"), F.concat(F.lit(" "), k, F.lit(" "))))
     rows = rows.withColumn("__keys", F.when(F.col("__spaced").isNotNull(), keys))
-    asked = F.filter(_rule_array(), lambda r: F.arrays_overlap(r["keywords"], F.col("__keys")))
+    asked = F.filter(_rule_array(), lambda r: F.exists(r["keywords"], lambda k: F.array_contains(F.col("__keys"), k)) & F.rlike(F.col("__spaced"), r["pattern"]))
     found = F.flatten(F.transform(asked, lambda r: _detections(F.col("__spaced"), r)))
     rows = rows.withColumn("__found", F.when(F.size("__keys") > 0, found))
     judged = F.transform("__found", lambda d: d.withField("suppressed", F.exists("__found", lambda e: _outranks(e, d))))
