@@ -8,16 +8,22 @@ from pyspark.sql import functions as F
 
 from graniteq.checkpoints import checkpointed
 
-__all__ = ["checkpointed", "column", "hex64", "output"]
+__all__ = ["checkpointed", "hex64", "output", "take"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def column(df: DataFrame, name: str) -> Column:
-    """The column of exactly this name, dots and all."""
-    if name not in df.columns:
-        raise ValueError(f"no column {name!r} among {df.columns}")
-    return F.col(f"`{name}`")
+def take(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns of ``df`` whose names are the values of ``names``, under its keys.
+
+    Goes by place, so other columns may have names that differ only in case. Of
+    columns with the same name the first is taken.
+    """
+    missing = [n for n in names.values() if n not in df.columns]
+    if missing:
+        raise ValueError(f"no columns {missing} among {df.columns}")
+    placed = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    return placed.select(*[F.col(f"c{df.columns.index(n)}").alias(alias) for alias, n in names.items()])
 
 
 def hex64(c: Column) -> Column:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graniteq.llm.common import checkpointed, column
+from graniteq.llm.common import checkpointed, take
 from graniteq.llm.components import connected_components
 
 MIN_COSINE = 0.98
@@ -305,11 +305,11 @@ def link_vectors(
     zero or holds null or non-finite components links with nothing, and so does
     one with a null label or id. ``component_id`` is the smallest id that links
     reach, the vector's own included; ``kept`` tells whether that is its own, and
-    is true for a null id. Rows that share an id and a vector count as several
+    is true for a null id. Components are read as 32-bit floats. Rows that share an id and a vector count as several
     vectors; ids should not repeat.
     """
     v = F.col("vec")
-    rows = df.select(column(df, id_col).cast("long").alias("id"), column(df, vector_col).cast("array<float>").alias("vec"), column(df, label_col).alias("label"))
+    rows = take(df, {"id": id_col, "vec": vector_col, "label": label_col}).select(F.col("id").cast("long"), F.col("vec").cast("array<float>"), "label")
     finite = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     usable = F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & finite, F.lit(False))
     group = F.xxhash64("label", F.size(v))

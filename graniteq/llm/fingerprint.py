@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graniteq.llm.common import checkpointed, column, hex64
+from graniteq.llm.common import checkpointed, hex64, take
 
 BITS = 128
 RADIUS = 3
@@ -64,7 +64,7 @@ def likeness(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each id: id, f0, f1 (two longs). Rows that share an id vote together; a null text is empty."""
-    rows = df.select(column(df, id_col).alias("id"), F.coalesce(column(df, text_col), F.lit("")).alias("text"))
+    rows = take(df, {"id": id_col, "text": text_col}).select("id", F.coalesce("text", F.lit("")).alias("text"))
     return _votes(rows, ["id"], "text").withColumnRenamed("id", id_col)
 
 
@@ -129,7 +129,7 @@ def edited_likeness(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     counted where they then are.
     """
     key = F.coalesce(F.shiftright(F.col("id"), _RANGE_BITS), F.lit(_NO_RANGE))
-    rows = df.select(column(df, id_col).cast("long").alias("id"), F.coalesce(column(df, text_col), F.lit("")).alias("text")).withColumn("range", key)
+    rows = take(df, {"id": id_col, "text": text_col}).select(F.col("id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("range", key)
     order = Window.partitionBy("range").orderBy(F.desc_nulls_last("id"), "text")
     placed = rows.select("*", F.row_number().over(order).alias("rn"), F.lead("text").over(order).alias("next_text"))
     inside = placed.filter("next_text is not null")

@@ -17,7 +17,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from graniteq.llm.common import column, output
+from graniteq.llm.common import output, take
 
 SMOOTHING = (0.25, 0.5, 0.25)  # the node before, the node itself, the node after
 THRESHOLD = 0.5  # of the mean score of the nodes that may be content
@@ -194,7 +194,7 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     The whole page is read. A null page counts as empty; a page without text
     that may be content has an empty text.
     """
-    rows = df.select(column(df, id_col).alias("id"), column(df, url_col).alias("url"), column(df, html_col).alias("html"))
+    rows = take(df, {"id": id_col, "url": url_col, "html": html_col})
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

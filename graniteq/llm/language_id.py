@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graniteq.llm.common import column, output
+from graniteq.llm.common import output, take
 
 MAX_N = 3
 PROFILE_SIZE = 1000
@@ -27,7 +27,7 @@ SAMPLE_DOCUMENTS = 2000
 UNKNOWN = "und"
 
 _CHAR_BITS = 21
-_BUCKETS = 32  # of a language's documents, so that none is chosen from in one task
+_BUCKETS = 256  # of a language's documents, so that none is chosen from in one task
 _AT_ONCE = 1 << 20
 _SPACE = 32
 
@@ -114,7 +114,7 @@ def learn_profiles(
     each language and bucket of ids, by the hash of their id; their whole texts
     are counted where they lie. The driver gets ``size`` n-grams for each language.
     """
-    rows = labelled.select(column(labelled, id_col).alias("id"), column(labelled, text_col).alias("text"), column(labelled, lang_col).alias("lang"))
+    rows = take(labelled, {"id": id_col, "text": text_col, "lang": lang_col})
     rows = rows.filter("id is not null and text is not null and lang is not null")
     key = F.col("id").cast("string")
     ids = rows.select("id", "lang", F.xxhash64(F.lit("spread"), key).alias("spread"), F.pmod(F.xxhash64(F.lit("bucket"), key), F.lit(_BUCKETS)).alias("bucket"))
@@ -149,7 +149,7 @@ def predict_languages(df: DataFrame, profiles: Profiles, id_col: str = "doc_id",
     A null text, or one without a letter, is ``und`` with score 0; so is every
     text where nothing was learned.
     """
-    rows = df.select(column(df, id_col).alias("id"), column(df, text_col).alias("text"))
+    rows = take(df, {"id": id_col, "text": text_col})
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,5 +187,6 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     id. A null id is not held out and teaches nothing. Repeated rows are judged
     each.
     """
-    profiles = learn_profiles(df.filter(~held_out(column(df, id_col))), id_col, text_col, lang_col, size)
-    return predict_languages(df, profiles, id_col, text_col).withColumn("held_out", held_out(F.col(f"`{id_col}`")))
+    rows = take(df, {"id": id_col, "text": text_col, "lang": lang_col})
+    profiles = learn_profiles(rows.filter(~held_out(F.col("id"))), "id", "text", "lang", size)
+    return predict_languages(rows, profiles, "id", "text").withColumn("held_out", held_out(F.col("id"))).withColumnRenamed("id", id_col)

@@ -18,7 +18,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graniteq.llm.common import column
+from graniteq.llm.common import take
 from graniteq.llm.native import let, running_totals, words_of
 
 
@@ -203,8 +203,7 @@ def detect(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = (), in
     if {into, "n_words"} & set(keep):
         raise ValueError(f"a kept column is named {into!r} or 'n_words'")
     # Lowering beyond A to Z neither adds nor removes words, and no phrase holds such letters.
-    lowered = F.lower(F.coalesce(column(df, text_col), F.lit("")))
-    rows = df.select(*[column(df, c) for c in keep], lowered.alias("__text"))
+    rows = take(df, {**{c: c for c in keep}, "__text": text_col}).withColumn("__text", F.lower(F.coalesce("__text", F.lit(""))))
     gate = reduce(or_, (F.contains(F.col("__text"), F.lit(k)) for k in GATE))
     rows = rows.select(*[F.col(f"`{c}`") for c in keep], words_of(F.col("__text")).alias("__words"), gate.alias("__gate"))
     spaced = F.when(F.col("__gate"), F.concat(F.lit(" "), F.array_join("__words", "  "), F.lit(" ")))
@@ -229,7 +228,7 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     ``labels`` are those of base phrases and of detections that aren't
     suppressed; the score is the greatest weight among these, or 0.
     """
-    rows = detect(df.select(column(df, id_col).alias("id"), column(df, text_col).alias("text")), "text", ("id",))
+    rows = detect(take(df, {"id": id_col, "text": text_col}), "text", ("id",))
     rows = rows.withColumn("base", F.filter("licenses", lambda d: d["base"])).withColumn("kept", F.filter("licenses", lambda d: d["base"] | ~d["suppressed"]))
     starts = F.transform("base", lambda d: d["start"])
     return rows.select(

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from graniteq.llm.common import column
+from graniteq.llm.common import take
 
 CAPACITY = 2048
 WINDOWS = 64  # of a batch
@@ -241,7 +241,7 @@ def pack_documents(
     """
     if capacity < 1 or capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
-    rows = df.select(column(df, id_col).alias("id"), column(df, text_col).alias("text"))
+    rows = take(df, {"id": id_col, "text": text_col})
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

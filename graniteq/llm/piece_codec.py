@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from graniteq.llm.common import column, output
+from graniteq.llm.common import output, take
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -287,7 +287,7 @@ def piece_model(path: str | None = None) -> PieceModel:
 
 def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:
     """One row for each row: id, and its ``ids`` as an array. A null text is empty."""
-    rows = df.select(column(df, id_col).alias("id"), column(df, text_col).alias("text"))
+    rows = take(df, {"id": id_col, "text": text_col})
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,7 +306,7 @@ def round_trip_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     A null text is empty: its ids are the begin and the end id.
     """
-    rows = df.select(column(df, id_col).alias("id"), column(df, text_col).alias("text"))
+    rows = take(df, {"id": id_col, "text": text_col})
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

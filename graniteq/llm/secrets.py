@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graniteq.llm.common import column
+from graniteq.llm.common import take
 from graniteq.llm.native import running_totals
 
 #: kind: (pattern, the group that is measured, its least length), in the order in which ties are listed
@@ -129,7 +129,7 @@ def _entropy_spans(text: Column) -> Column:
 
 
 _STRETCHES = f"""transform(
-    filter(transform(coalesce(candidates, array()), c -> named_struct('c', c, 'w', {_sliding('c.letters', 'c.alphabet', 'c.max')})), x -> x.w.last > 0),
+    filter(transform(coalesce(__candidates, array()), c -> named_struct('c', c, 'w', {_sliding('c.letters', 'c.alphabet', 'c.max')})), x -> x.w.last > 0),
     x -> named_struct(
         'start', x.c.start + x.w.first - {WINDOW}, 'rank', x.c.rank, 'end', x.c.start + x.w.last, 'kind', x.c.kind,
         'value', substring(x.c.value, x.w.first - {WINDOW} + 1, x.w.last - x.w.first + {WINDOW})))"""
@@ -145,11 +145,10 @@ def scan(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = (), into
     """
     if into in keep:
         raise ValueError(f"a kept column is named {into!r}")
-    text = F.coalesce(column(df, text_col), F.lit(""))
-    rows = df.select(*[column(df, c) for c in keep], text.alias("__text"))
+    rows = take(df, {**{c: c for c in keep}, "__text": text_col}).withColumn("__text", F.coalesce("__text", F.lit("")))
     body = F.col("__text")
     base = F.concat(*[_found(body, pattern, group, least, kind, i) for i, (kind, (pattern, group, least)) in enumerate(PATTERNS.items())])
-    rows = rows.withColumn("__base", base).withColumn("candidates", _entropy_spans(body)).withColumn("__more", F.expr(_STRETCHES))
+    rows = rows.withColumn("__base", base).withColumn("__candidates", _entropy_spans(body)).withColumn("__more", F.expr(_STRETCHES))
     apart = F.filter("__more", lambda m: ~F.exists("__base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
     return rows.select(*[F.col(f"`{c}`") for c in keep], F.array_sort(F.concat("__base", apart)).alias(into))
 
@@ -160,7 +159,7 @@ def _listed(spans: Column) -> Column:
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row: id, the numbers of findings by fixed pattern, base_sha256, spans, n_entropy."""
-    named = df.select(column(df, id_col).alias("id"), column(df, text_col).alias("text"))
+    named = take(df, {"id": id_col, "text": text_col})
     rows = scan(named, "text", ("id",)).withColumn("base", F.filter("secrets", lambda s: s["rank"] < len(PATTERNS)))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return rows.select(

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graniteq.llm.common import LOWER, UPPER, checkpointed, column, hex64, output
+from graniteq.llm.common import LOWER, UPPER, checkpointed, hex64, output, take
 from graniteq.llm.components import connected_components
 
 SHINGLE_WORDS = 3
@@ -58,7 +58,7 @@ def fingerprint_of(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``df``: id, and the fingerprint ``fp`` as a signed long."""
-    rows = df.select(column(df, id_col).cast("long").alias("id"), column(df, text_col).alias("text"))
+    rows = take(df, {"id": id_col, "text": text_col}).select(F.col("id").cast("long"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from graniteq.llm.common import LOWER, UPPER, column
+from graniteq.llm.common import LOWER, UPPER, take
 
 STRICT = (
     "adult", "casino", "camgirls", "escort", "escorts", "hentai", "malware", "phishing", "pills", "porn",
@@ -106,8 +106,8 @@ def judge_urls(
         for urls in batches:
             yield pd.DataFrame([hits(u, strict, soft) for u in urls], columns=["n_strict", "n_soft"])
 
-    url = column(df, url_col)
-    rows = df.select(column(df, id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"), count(url).alias("n"))
+    url = F.col("url")
+    rows = take(df, {"id": id_col, "url": url_col}).select("id", host_of(url).alias("host"), path_of(url).alias("path"), count(url).alias("n"))
     rows = rows.withColumns({"host": F.coalesce("host", F.lit("")), "path": F.coalesce("path", F.lit(""))})
     rule, verdict = F.lit(None).cast("string"), F.when((F.col("n.n_strict") > 0) | (F.col("n.n_soft") >= soft_terms), "block").otherwise("allow")
     for kind, host, path in sorted(rules, key=lambda r: (len(r[1] + r[2]), r[1] + r[2])):  # the longest is asked first
