@@ -96,8 +96,8 @@ def within_radius(queries: DataFrame, prints: DataFrame, radius: int = RADIUS) -
 
 # The next document in descending order of id. Ids are dealt by ranges, and what crosses a range is found from the ranges' summary.
 
-_RANGE_BITS = 6  # ids of a range
-_SUPER_BITS = 10  # ranges of a range of ranges
+_RANGE_BITS = 5  # of ids in a range
+_SUPER_BITS = 11  # of ranges in a range of ranges
 _NO_RANGE = -(1 << 60)  # of null ids, after all others
 
 
