@@ -50,7 +50,7 @@ CLASSES = (
 #: A candidate (lowered) that matches is no secret.
 ALLOWED = (
     r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|example|sample|placeholder|changeme|dummy|redacted|xxxx|0123456789|abcdefghij|"
-    r"^[a-z]+([-_/][a-z]+)*[-_/]?[0-9]{1,4}$|^([a-z0-9]+/){3,}[a-z0-9]*$|(.)\2{7,}"
+    r"^[a-z]+([-_/][a-z]+)*[-_/]?[0-9]{1,4}$|^([a-z0-9]+/){3,}[a-z0-9]*$|(.)\3{7,}"
 )
 #: What stands right before a candidate (lowered) and explains it.
 ALLOWED_BEFORE = r"(sha1|sha256|sha384|sha512|md5|checksum|integrity|commit|revision|etag|digest)[\"']?\x20*[-:=@]?\x20*[\"']?$"

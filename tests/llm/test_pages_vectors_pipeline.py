@@ -141,6 +141,11 @@ def test_pages(html, text):
     assert html_extract.extract_text(html) == text
 
 
+def test_broken_tags_take_linear_time():
+    html = page("<article><p>" + "<a \"x' word. " * 20_000 + "</article>")
+    assert "word." in html_extract.extract_text(html) or not html_extract.extract_text(html)
+
+
 def test_extract_keeps_every_page(spark):
     rows = [(1, "u", page(ARTICLE)), (2, None, None), (None, "v", ""), (1, "u", page(ARTICLE)), (4, "w", page("<article>" + "<p>word, word. " * 20_000))]
     out = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as text", "2 as n_chars")).collect()
