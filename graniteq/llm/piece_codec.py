@@ -19,7 +19,7 @@ import hashlib
 import heapq
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import pairwise
 
@@ -47,6 +47,22 @@ def _one_mark_each(error: UnicodeDecodeError) -> tuple[str, int]:
 codecs.register_error("graniteq.one_mark_each", _one_mark_each)
 
 
+class _Chunks(dict):
+    """The encoded ids of chunks, made when they are first asked for. Long chunks aren't remembered."""
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, chunk: str) -> bytes:
+        if len(self) >= REMEMBERED_CHUNKS:
+            self.clear()
+        ids = self.encode(chunk)
+        if len(chunk) < 64:
+            self[chunk] = ids
+        return ids
+
+
 class PieceModel:
     """A merge-type model without text normalisation, with byte fallback and a leading space mark."""
 
@@ -98,7 +114,7 @@ class PieceModel:
                 self.automaton.add_word(piece, len(piece))
         self.automaton.make_automaton()
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.chunks = _Chunks(self._chunk_ids)
 
     def _chunks(self, known: set[str]) -> str:
         """A pattern for chunks, such that no piece joins characters across the start of one.
@@ -229,16 +245,16 @@ class PieceModel:
     def _chunk_ids(self, chunk: str) -> bytes:
         word = chunk.lstrip(SPACE)
         marks = len(chunk) - len(word)
-        pieces = self._long(SPACE * bool(marks) + word) if word else []
+        whole = chunk if marks < 2 else SPACE + word
+        pieces = [] if not word else self._long(whole) if self.foreign.search(word) else self.pieces(whole)
         if marks > 1 or not word:  # runs of marks merge last, and among themselves
             if word and pieces[0] == SPACE:
                 pieces = self.merged(SPACE * marks) + pieces[1:]
             else:  # the word has taken its mark
                 pieces = self.merged(SPACE * (marks - bool(word))) + pieces
-        ids: list[int] = []
-        for p in pieces:
-            i = self.ids.get(p)
-            ids += [i] if i is not None else [self.byte_ids[b] for b in p.encode()]
+        ids = list(map(self.ids.get, pieces))
+        if None in ids:
+            ids = [i for p in pieces for i in ((self.ids[p],) if p in self.ids else map(self.byte_ids.__getitem__, p.encode()))]
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _long(self, text: str) -> list[str]:
@@ -254,19 +270,9 @@ class PieceModel:
 
     def encode(self, text: str) -> np.ndarray:
         """All ids, between the begin and the end id."""
-        known, out = self.chunks, [np.array([self.bos], "<u4").tobytes()]
-        if text:
-            for c in self.cut(SPACE + text.replace(" ", SPACE)):
-                ids = known.get(c)
-                if ids is None:
-                    if len(known) >= REMEMBERED_CHUNKS:
-                        known.clear()
-                    ids = self._chunk_ids(c)
-                    if len(c) < 64:
-                        known[c] = ids
-                out.append(ids)
-        out.append(np.array([self.eos], "<u4").tobytes())
-        return np.frombuffer(b"".join(out), "<u4")
+        begin, end = struct.pack("<I", self.bos), struct.pack("<I", self.eos)
+        chunks = self.cut(SPACE + text.replace(" ", SPACE)) if text else ()
+        return np.frombuffer(b"".join([begin, *map(self.chunks.__getitem__, chunks), end]), "<u4")
 
     def decode(self, ids) -> str:
         """The text of ids; a byte that belongs to no character becomes one replacement mark."""
