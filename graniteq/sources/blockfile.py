@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from graniteq.deploy import ship_package
 from graniteq.records import RECORD_SCHEMA, ROWS_PER_BLOCK, STRING_WIDTH
 
 # Fixed values of the format.
@@ -84,6 +85,7 @@ class BlockFileSource(DataSource):
 
 def read_blocks(spark: SparkSession, path: str, blocks_per_split: int = BLOCKS_PER_SPLIT) -> DataFrame:
     """The reserved slots of a block file, valid or not, with ``block_id`` and ``block_valid``."""
+    ship_package(spark)
     spark.dataSource.register(BlockFileSource)
     return spark.read.format("blockfile").option("path", path).option("blocks_per_split", blocks_per_split).load()
 
@@ -95,6 +97,7 @@ def write_blocks(df: DataFrame, folder: str) -> None:
     once it is whole, so a task that is run again leaves one file. The folder
     must be one that all executors share.
     """
+    ship_package(df.sparkSession)
     os.makedirs(folder)
     rows = df.select("recid", "num", "str", F.col("valid") if "valid" in df.columns else F.lit(True).alias("valid"))
 
