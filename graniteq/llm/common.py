@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graniteq.checkpoints import checkpointed
+from graniteq.deploy import ship_package
 
 __all__ = ["checkpointed", "hex64", "output", "take"]
 
@@ -17,11 +18,13 @@ def take(df: DataFrame, names: dict[str, str]) -> DataFrame:
     """The columns of ``df`` whose names are the values of ``names``, under its keys.
 
     Goes by place, so other columns may have names that differ only in case. Of
-    columns with the same name the first is taken.
+    columns with the same name the first is taken. As every operator starts
+    here, this also sees to it that workers can import the package.
     """
     missing = [n for n in names.values() if n not in df.columns]
     if missing:
         raise ValueError(f"no columns {missing} among {df.columns}")
+    ship_package(df.sparkSession)
     placed = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
     return placed.select(*[F.col(f"c{df.columns.index(n)}").alias(alias) for alias, n in names.items()])
 
