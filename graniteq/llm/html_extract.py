@@ -32,9 +32,9 @@ SCOPES = frozenset("html body article main section div ul ol dl table td th nav
 
 #: Words in a class, id or role that mark what isn't the article.
 MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies disqus "
-    "footer gdpr header login masthead menu menubar nav navbar navigation newsletter notice popup promo related respond search share sharing "
-    "sidebar signup social sponsor sponsored subscribe toolbar topbar widget".split()
+    "ad ads adsbygoogle advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies disqus "
+    "footer gdpr header login masthead menu menubar nav navbar navigation newsletter notice pager pagination popup promo related replies respond responses "
+    "search share sharing sidebar sidenav signup social sponsor sponsored subscribe toolbar topbar topnav widget widgets".split()
 )
 #: Beside one of these, "header" and "notice" name a part of the article.
 OWN = frozenset("article entry post story".split())
@@ -45,14 +45,18 @@ _TOKEN = re.compile(
     re.S,
 )
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_PARTS = re.compile(r"[a-z]+")
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_LETTERS = re.compile(r"[A-Za-z]+")
+#: A name that begins so tells of the page's layout: it stands on what surrounds the article too.
+_LAYOUT = re.compile(r"(?:has|no|with|without)[-_]", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?¡¿…。，、；：！？]")
 
 
 def _marked(attributes: str) -> bool:
     if "=" not in attributes:
         return False
-    words = {w for m in _NAMED.finditer(attributes) for w in _PARTS.findall((m[1] or m[2] or m[3] or "").lower())}
+    names = [n for m in _NAMED.finditer(attributes) for n in (m[1] or m[2] or m[3] or "").split() if not _LAYOUT.match(n)]
+    words = {w.lower() for n in names for w in (*_PARTS.findall(n), *_LETTERS.findall(n))}
     found = words & MARKS
     return bool(found - {"header", "notice"} or (found and not words & OWN))
 

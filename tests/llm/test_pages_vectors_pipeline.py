@@ -132,6 +132,8 @@ NOISE = (
         (page(ARTICLE), ARTICLE_TEXT),
         (page(NOISE.format(ARTICLE), "<script>if (a < b) { x('</p>') }</script>"), ARTICLE_TEXT),
         (page(NOISE.format("<div id='content'><h2>A title</h2><p>One sentence, and more of it, to read.</p><p>Short.</p><p>The last one, which is long, too.</p></div>")), "A title One sentence, and more of it, to read. Short. The last one, which is long, too."),
+        (page(f"<div class='layout has-sidebar no-ads'><div id=sideNav><p>Go here, or there, at once.</p></div><div id='mainMenu'>menu</div>{ARTICLE}</div>"), ARTICLE_TEXT),
+        (page(f"<main>{ARTICLE}<ol id='Replies'><li><p>A reader, who has much to say, and more.</p></li></ol><div class='widget_box'>Top, now.</div></main>"), ARTICLE_TEXT),
         (page("<nav>only</nav><footer>noise</footer>"), ""),
         (page("<article><p>cut in the mid &am"), "cut in the mid &am"),
         (page("<article><p a=\"x>y\">quoted</p><P>caf&eacute; &#x1F642; &lt;b&gt;</p></ARTICLE>after"), "quoted café 🙂 <b>"),
