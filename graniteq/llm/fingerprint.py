@@ -97,20 +97,34 @@ def within_radius(queries: DataFrame, prints: DataFrame, radius: int = RADIUS) -
 # The next document in descending order of id. Ids are dealt by ranges, and what crosses a range is found from the ranges' summary.
 
 _RANGE_BITS = 5  # of ids in a range
-_SUPER_BITS = 11  # of ranges in a range of ranges
-_NO_RANGE = -(1 << 60)  # of null ids, after all others
+_LEVEL_BITS = 20  # of ranges, or of the level below, in one of a level
+_LEVELS = 3  # with the ranges; the last has at most 2^21, as ranges are 61-bit numbers
+_NO_RANGE = -(1 << 60)  # the first of those of null ids, which come after all others
+
+
+def _range_of(id_: Column, text: Column) -> Column:
+    """The id's range; null ids are dealt out by a hash of the text."""
+    return F.coalesce(F.shiftright(id_, _RANGE_BITS), F.lit(_NO_RANGE) + F.shiftrightunsigned(F.xxhash64(text), 6))
 
 
 def _next_ranges(ids: DataFrame) -> DataFrame:
-    """(range, next_range): the next lower range that has rows; the lowest's is the highest."""
-    ranges = ids.select("range").distinct().withColumn("super", F.shiftright("range", _SUPER_BITS))
-    within = Window.partitionBy("super").orderBy(F.desc("range"))
-    ranges = ranges.withColumn("next", F.lead("range").over(within))
-    tops = ids.groupBy(F.shiftright("range", _SUPER_BITS).alias("super")).agg(F.max("range").alias("top"))
-    tops = tops.withColumn("after", F.lead("top").over(Window.orderBy(F.desc("super"))))  # a row for 65,536 ids
-    highest = tops.agg(F.max("top").alias("highest"))
-    tops = tops.crossJoin(F.broadcast(highest)).select("super", F.coalesce("after", "highest").alias("after"))  # one row
-    return ranges.join(tops, "super").select("range", F.coalesce("next", "after").alias("next_range"))
+    """(range, next_range): the next lower range that has rows; the lowest's is the highest.
+
+    Found level by level from the top. A window holds the ranges of one number
+    of the level above, at most 2^20; the topmost at most 2^21, whatever the ids.
+    """
+    levels = [ids.select(F.col("range").alias("own")).distinct()]
+    for _ in range(_LEVELS - 1):
+        levels.append(levels[-1].select(F.shiftright("own", _LEVEL_BITS).alias("own")).distinct())
+    falling = Window.orderBy(F.desc("own"))
+    nexts = levels.pop().select("own", F.coalesce(F.lead("own").over(falling), F.first("own").over(falling)).alias("next"))
+    for level in reversed(levels):
+        within = Window.partitionBy("parent").orderBy(F.desc("own"))
+        placed = level.withColumn("parent", F.shiftright("own", _LEVEL_BITS)).withColumn("next", F.lead("own").over(within))
+        tops = placed.groupBy("parent").agg(F.max("own").alias("top")).select(F.col("parent").alias("next"), "top")
+        after = nexts.join(tops, "next").select(F.col("own").alias("parent"), "top")
+        nexts = placed.join(after, "parent").select("own", F.coalesce("next", "top").alias("next"))
+    return nexts.select(F.col("own").alias("range"), F.col("next").alias("next_range"))
 
 
 def edited_likeness(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", searched_ids: int = 100) -> DataFrame:
@@ -118,8 +132,8 @@ def edited_likeness(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     The edited text's last half (floor of n_chars / 2) is the first as many code
     points of the next document, or all of it; documents follow one another by
-    descending id, then by text, null ids last, and the first one follows the
-    last. Returns id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
+    descending id, then by text, null ids last in an order that their texts'
+    hashes give, and the first one follows the last. Returns id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next, and n_within: for ids divisible by ``searched_ids``
     the number of rows whose fingerprints are within RADIUS bits, itself
     included, else null. A null text is empty; a text without words has
@@ -128,8 +142,7 @@ def edited_likeness(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     The texts are shuffled once, by ranges of ids; the fingerprints' votes are
     counted where they then are.
     """
-    key = F.coalesce(F.shiftright(F.col("id"), _RANGE_BITS), F.lit(_NO_RANGE))
-    rows = take(df, {"id": id_col, "text": text_col}).select(F.col("id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("range", key)
+    rows = take(df, {"id": id_col, "text": text_col}).select(F.col("id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("range", _range_of(F.col("id"), F.col("text")))
     order = Window.partitionBy("range").orderBy(F.desc_nulls_last("id"), "text")
     placed = rows.select("*", F.row_number().over(order).alias("rn"), F.lead("text").over(order).alias("next_text"))
     inside = placed.filter("next_text is not null")

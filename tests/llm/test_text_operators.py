@@ -268,6 +268,28 @@ def test_single_document_follows_itself(spark):
     assert x.edited_sha256 == hashlib.sha256(b"abcabc").hexdigest() and x.near_next == 1.0
 
 
+def test_scattered_and_null_ids_follow_one_another(spark):
+    r = random.Random(6)
+    ids = [*{r.getrandbits(64) - (1 << 63) for _ in range(40)}, *range(5), 1 << 40, -(1 << 63), (1 << 63) - 1]
+    rows = [(i, f"text {k:03d} of one length") for k, i in enumerate(ids)]
+    none = [(None, f"none {k:03d} of one length") for k in range(30)]
+    out = fingerprint.edited_likeness(spark.createDataFrame(rows + none, "doc_id long, text string")).collect()
+    order = sorted(rows, reverse=True)
+    text = lambda a, b: hashlib.sha256((a[1][: len(a[1]) - len(a[1]) // 2] + b[1][: len(a[1]) // 2]).encode()).hexdigest()
+    shown = {x.doc_id: x.edited_sha256 for x in out if x.doc_id is not None}
+    for a, b in zip(order, order[1:], strict=False):
+        assert shown[a[0]] == text(a, b)
+    # Those without an id come after the lowest id, each once, and the highest id after the last of them.
+    chain = {x.edited_sha256 for x in out if x.doc_id is None} | {shown[order[-1][0]]}
+    last = [n for n in none if text(n, order[0]) in chain]
+    assert len(last) == 1 and len(out) == len(rows) + len(none) and len(chain) == len(none) + 1
+    at, seen = order[-1], set()
+    for _ in none:
+        at = next(n for n in none if n not in seen and n != at and text(at, n) in chain)
+        seen.add(at)
+    assert len(seen) == len(none) and at == last[0]
+
+
 # Languages.
 
 
