@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graniteq.llm.common import take
-from graniteq.llm.native import let, running_totals, words_of
+from graniteq.llm.native import blocks_of_spans, let, running_totals, words_of
 
 
 @dataclass(frozen=True)
@@ -193,6 +193,11 @@ def _outranks(e: Column, d: Column) -> Column:
     return within & ((e["priority"] > d["priority"]) | ((e["priority"] == d["priority"]) & (longer | (same & (e["rule"] < d["rule"])))))
 
 
+def _suppressed(d: Column, blocks: Column) -> Column:
+    """Whether a detection in the blocks outranks d; only those of blocks that may hold one about d are compared."""
+    return F.exists(blocks, lambda b: (b["first"] <= d["start"]) & (b["reach"] >= d["end"]) & F.exists(b["spans"], lambda e: _outranks(e, d)))
+
+
 def detect(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = (), into: str = "licenses") -> DataFrame:
     """The columns ``keep`` of ``df``, ``n_words``, and ``into``: all detections of the rules.
 
@@ -213,7 +218,7 @@ def detect(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = (), in
     asked = F.filter(_rule_array(), lambda r: F.exists(r["keywords"], lambda k: F.array_contains(F.col("__keys"), k)) & F.rlike(F.col("__spaced"), r["pattern"]))
     found = F.flatten(F.transform(asked, lambda r: _detections(F.col("__spaced"), r)))
     rows = rows.withColumn("__found", F.when(F.size("__keys") > 0, found))
-    judged = F.transform("__found", lambda d: d.withField("suppressed", F.exists("__found", lambda e: _outranks(e, d))))
+    judged = let(blocks_of_spans(F.col("__found")), lambda blocks: F.transform("__found", lambda d: d.withField("suppressed", _suppressed(d, blocks))))
     none = F.array().cast("array<struct<start: bigint, end: bigint, label: string, priority: int, weight: double, base: boolean, rule: int, suppressed: boolean>>")
     return rows.select(*[F.col(f"`{c}`") for c in keep], "n_words", F.coalesce(judged, none).alias(into))
 

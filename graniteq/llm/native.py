@@ -32,6 +32,22 @@ def _totals(values: Column) -> Column:
     return let(whole, lambda before: F.flatten(F.transform(within, lambda block, i: F.transform(F.slice(block, F.lit(2), F.lit(_BLOCK)), lambda x: x + F.get(before, i)))))
 
 
+def blocks_of_spans(spans: Column) -> Column:
+    """Structs whose first field is start, and that have end, by start in blocks of few: first (start), reach (largest end), spans.
+
+    Whoever looks for spans about a place can pass over most blocks.
+    """
+
+    def block(rows: Column) -> Column:
+        return F.struct(F.get(rows, F.lit(0))["start"].alias("first"), F.array_max(F.transform(rows, lambda x: x["end"])).alias("reach"), rows.alias("spans"))
+
+    def cut(ordered: Column) -> Column:
+        starts = F.when(F.size(ordered) > 0, F.sequence(F.lit(1), F.size(ordered), F.lit(_BLOCK))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda s: let(F.slice(ordered, s, F.lit(_BLOCK)), block))
+
+    return let(F.array_sort(spans), cut)
+
+
 def words_of(lowered: Column) -> Column:
     """Runs of a to z, digits and characters beyond ASCII, in order.
 
