@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graniteq.llm.common import take
-from graniteq.llm.native import running_totals
+from graniteq.llm.native import blocks_of_spans, let, running_totals
 
 #: kind: (pattern, the group that is measured, its least length), in the order in which ties are listed
 PATTERNS = {
@@ -135,6 +135,11 @@ _STRETCHES = f"""transform(
         'value', substring(x.c.value, x.w.first - {WINDOW} + 1, x.w.last - x.w.first + {WINDOW})))"""
 
 
+def _meets(m: Column, blocks: Column) -> Column:
+    """Whether a span in the blocks overlaps m; only those of blocks that may hold one are compared."""
+    return F.exists(blocks, lambda b: (b["first"] < m["end"]) & (m["start"] < b["reach"]) & F.exists(b["spans"], lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"])))
+
+
 def scan(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = (), into: str = "secrets") -> DataFrame:
     """The columns ``keep`` of ``df`` and ``into``: the text's findings by start, then kind.
 
@@ -149,7 +154,7 @@ def scan(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = (), into
     body = F.col("__text")
     base = F.concat(*[_found(body, pattern, group, least, kind, i) for i, (kind, (pattern, group, least)) in enumerate(PATTERNS.items())])
     rows = rows.withColumn("__base", base).withColumn("__candidates", _entropy_spans(body)).withColumn("__more", F.expr(_STRETCHES))
-    apart = F.filter("__more", lambda m: ~F.exists("__base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    apart = let(blocks_of_spans(F.col("__base")), lambda blocks: F.filter("__more", lambda m: ~_meets(m, blocks)))
     return rows.select(*[F.col(f"`{c}`") for c in keep], F.array_sort(F.concat("__base", apart)).alias(into))
 
 
@@ -178,24 +183,49 @@ def redact(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ()) ->
     text stays null.
     """
     rows = scan(df, text_col, tuple(keep), "__secrets")
-    last = lambda acc: F.element_at(acc, -1)
-    cut = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
-    first = F.slice(F.transform("__secrets", cut), 1, 1)
+    body = F.col(f"`{text_col}`")
+    clean = F.when(F.size("__secrets") > 0, let(_joined(F.col("__secrets")), lambda cuts: _replaced(body, cuts))).otherwise(body)
+    return rows.withColumn(text_col, clean).select(*[F.col(f"`{c}`") for c in keep])
 
-    def add(acc: Column, s: Column) -> Column:
-        joined = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["end"], s["end"]).alias("end"), last(acc)["kind"].alias("kind"))))
-        return F.when(s["start"] < last(acc)["end"], joined).otherwise(F.array_append(acc, cut(s)))
 
-    rows = rows.withColumn("__cuts", F.when(F.size("__secrets") > 0, F.aggregate("__secrets", first, add)))
-    body = F.col(f"`{text_col}`")
+def _joined(spans: Column) -> Column:
+    """The stretches (start, end, kind of its first span) that overlapping spans, by start, cover together."""
+    covers = lambda e, at: (e["start"] < at) & (e["end"] > at)
+    before = lambda e, s: (e["start"] == s["start"]) & ((e["rank"] < s["rank"]) | ((e["rank"] == s["rank"]) & (e["end"] < s["end"])))
 
-    def piece(c: Column, i: Column) -> Column:
-        before = F.when(i > 0, F.get("__cuts", i - 1)["end"]).otherwise(F.lit(0))
-        return F.concat(F.substring(body, (before + 1).cast("int"), (c["start"] - before).cast("int")), F.lit("["), c["kind"], F.lit("]"))
+    def within(blocks: Column) -> Column:
+        later = lambda s: F.exists(blocks, lambda b: (b["first"] <= s["start"]) & (b["reach"] > s["start"]) & F.exists(b["spans"], lambda e: covers(e, s["start"]) | before(e, s)))
+        earlier = lambda s: F.exists(blocks, lambda b: (b["first"] < s["end"]) & (b["reach"] > s["end"]) & F.exists(b["spans"], lambda e: covers(e, s["end"])))
+        ends = F.array_sort(F.array_distinct(F.transform(F.filter(spans, lambda s: ~earlier(s)), lambda s: s["end"])))
+        return F.zip_with(F.filter(spans, lambda s: ~later(s)), ends, lambda s, e: F.struct(s["start"].alias("start"), e.alias("end"), s["kind"].alias("kind")))
 
-    rest = F.substring(body, (last(F.col("__cuts"))["end"] + 1).cast("int"), F.length(body))
-    clean = F.when(F.col("__cuts").isNull(), body).otherwise(F.concat(F.array_join(F.transform("__cuts", piece), ""), rest))
-    return rows.withColumn(text_col, clean).select(*[F.col(f"`{c}`") for c in keep])
+    return let(blocks_of_spans(spans), within)
+
+
+_CUTS_AT_ONCE = 128
+
+
+def _replaced(body: Column, cuts: Column) -> Column:
+    """The text with each cut's kind in its place.
+
+    Finding a place takes a walk from the text's start, so the text is first
+    divided into parts of a bounded number of cuts.
+    """
+
+    def part(at: Column) -> Column:
+        begin = F.when(at > 1, F.get(cuts, at - 2)["end"]).otherwise(F.lit(0))
+
+        def pieces(own: Column) -> Column:
+            text = F.substring(body, (begin + 1).cast("int"), (F.element_at(own, -1)["end"] - begin).cast("int"))
+            last = lambda i: F.when(i > 0, F.get(own, i - 1)["end"]).otherwise(begin)
+            piece = lambda t, c, i: F.concat(F.substring(t, (last(i) - begin + 1).cast("int"), (c["start"] - last(i)).cast("int")), F.lit("["), c["kind"], F.lit("]"))
+            return let(text, lambda t: F.array_join(F.transform(own, lambda c, i: piece(t, c, i)), ""))
+
+        return let(F.slice(cuts, at, F.lit(_CUTS_AT_ONCE)), pieces)
+
+    starts = F.sequence(F.lit(1), F.size(cuts), F.lit(_CUTS_AT_ONCE))
+    rest = F.substring(body, (F.element_at(cuts, -1)["end"] + 1).cast("int"), F.length(body))
+    return F.concat(F.array_join(F.transform(starts, part), ""), rest)
 
 
 def digests_sql(table: str = "documents") -> str:

@@ -124,6 +124,23 @@ def test_redaction(spark):
     assert out == {1: "a 🙂 [assign] b [access]", 2: None, 3: "plain", 4: "[assign]!"}
 
 
+def test_redaction_equals_brute_force(spark):
+    r = random.Random(4)
+    parts = ["token=secret=" + "0a" * 20, "password=AKIA" + "B" * 16, "api_key=" + "f" * 33 + "AKIA" + "7" * 14, "ab" * 17, "plain 🙂", *SECRETS]
+    texts = ["".join(r.choices(parts, k=k)) for k in (1, 2, 3, 5, 9) * 8] + [" ".join(r.choices(parts, k=900)), "".join(parts * 9)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for row in secrets.redact(df, "text", ("doc_id", "text")).collect():
+        text, cuts = texts[row.doc_id], []
+        for lo, _, hi, kind in spans_of(text)[1]:
+            if cuts and lo < cuts[-1][1]:
+                cuts[-1][1] = max(hi, cuts[-1][1])
+            else:
+                cuts.append([lo, hi, kind])
+        for lo, hi, kind in reversed(cuts):
+            text = f"{text[:lo]}[{kind}]{text[hi:]}"
+        assert row.text == text
+
+
 # Packing.
 
 
@@ -204,6 +221,16 @@ LICENSED = [
 ]
 
 
+def test_suppression_in_a_long_text_equals_brute_force(spark):
+    df = spark.createDataFrame([(1, " ; ".join(random.Random(2).choices(LICENSED, k=600)))], "doc_id long, text string")
+    found = licenses.detect(df, "text", ("doc_id",)).first().licenses
+    length = lambda d: d.end - d.start
+    for d in found:
+        around = [e for e in found if e.start <= d.start and e.end >= d.end]
+        assert d.suppressed == any((e.priority, length(e), -e.rule) > (d.priority, length(d), -d.rule) for e in around)
+    assert len(found) > 500 and 0 < sum(d.suppressed for d in found) < len(found)
+
+
 def test_licenses(spark):
     df = spark.createDataFrame(list(enumerate(LICENSED)), "doc_id long, text string")
     labels = {}
