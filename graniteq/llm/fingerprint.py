@@ -146,7 +146,7 @@ def edited_likeness(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     order = Window.partitionBy("range").orderBy(F.desc_nulls_last("id"), "text")
     placed = rows.select("*", F.row_number().over(order).alias("rn"), F.lead("text").over(order).alias("next_text"))
     inside = placed.filter("next_text is not null")
-    nexts = _next_ranges(rows.select("range"))
+    nexts = checkpointed(_next_ranges(rows.select("range")))  # used twice
     donors = placed.filter("rn = 1").select(F.col("range").alias("next_range"), F.col("text").alias("donated"))
     edge = placed.filter("next_text is null").drop("next_text").join(nexts, "range").join(donors, "next_range")
     edge = edge.select("id", "text", "range", "rn", F.col("donated").alias("next_text"))
