@@ -12,8 +12,6 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +39,7 @@ class Rule:
 LICENSES = {
     "0bsd": ("0bsd", "(bsd zero clause|zero clause bsd|0bsd)", "bsd 0bsd"),
     "afl-3.0": ("afl 3 0", "academic free license( version| v)?( 3| v3)( 0)?", "academic"),
-    "agpl-3.0": ("agpl 3 0( only| or later)?", "(gnu )?(affero general public license|agpl)( version| v)?( 3| v3|v3)?( 0)?", "agpl affero"),
+    "agpl-3.0": ("agpl 3 0( only| or later)?", "(gnu )?(affero general public license|agpl)( version| v)?( 3| v3|v3)?( 0)?", "agpl affero agplv3"),
     "apache-1.1": ("apache 1 1", "apache( software)? license( version| v)? 1 1", "apache"),
     "apache-2.0": ("apache 2 0", "apache( software)? license( version| v)?( 2| v2)( 0)?", "apache"),
     "artistic-1.0": ("artistic 1 0", "artistic license( version| v)? 1 0", "artistic"),
@@ -119,10 +117,10 @@ WORDING = (
     ("bsd-2-clause", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
     ("bsd-3-clause", "endorse", "neither the name of( [^ ]+){1,30} may be used to endorse or promote products"),
     ("bsd-4-clause", "advertising", "all advertising materials mentioning features or use of this software must display"),
-    ("apache-2.0", "apache", "you may not use this file except in compliance with the license"),
+    ("apache-2.0", "compliance", "you may not use this file except in compliance with the license"),
     ("apache-2.0", "apache", "apache org licenses license 2 0"),
-    ("gpl-2.0", "redistribute", "either version 2 of the license or at your option any later version"),
-    ("gpl-3.0", "redistribute", "either version 3 of the license or at your option any later version"),
+    ("gpl-2.0", "option", "either version 2 of the license or at your option any later version"),
+    ("gpl-3.0", "option", "either version 3 of the license or at your option any later version"),
     ("mpl-2.0", "mozilla", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("bsl-1.0", "boost", "distributed under the boost software license version 1 0"),
     ("unlicense", "domain", "this is free and unencumbered software released into the public domain"),
@@ -162,8 +160,10 @@ def rules() -> list[Rule]:
 RULES = rules()
 KEYWORDS = tuple(sorted({k for r in RULES for k in r.keywords}))
 
-#: Every rule needs one of these in the text.
-GATE = ("licen", *_VERBS.split("|")[1:], "spdx", *sorted({w for _, words, _ in WORDING for w in words.split()}))
+#: The SQL looks only at texts that hold one of these. Rules match texts without them too, such as "GPLv3".
+SQL_GATE = tuple(
+    "licen released distributed available published provided offered covered spdx advertising apache boost confidential damages domain endorse mozilla permission redistribute redistribution rights".split()
+)
 
 
 def _rule_array() -> Column:
@@ -209,12 +209,11 @@ def detect(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = (), in
         raise ValueError(f"a kept column is named {into!r} or 'n_words'")
     # Lowering beyond A to Z neither adds nor removes words, and no phrase holds such letters.
     rows = take(df, {**{c: c for c in keep}, "__text": text_col}).withColumn("__text", F.lower(F.coalesce("__text", F.lit(""))))
-    gate = reduce(or_, (F.contains(F.col("__text"), F.lit(k)) for k in GATE))
-    rows = rows.select(*[F.col(f"`{c}`") for c in keep], words_of(F.col("__text")).alias("__words"), gate.alias("__gate"))
-    spaced = F.when(F.col("__gate"), F.concat(F.lit(" "), F.array_join("__words", "  "), F.lit(" ")))
+    rows = rows.select(*[F.col(f"`{c}`") for c in keep], words_of(F.col("__text")).alias("__words"))
+    spaced = F.concat(F.lit(" "), F.array_join("__words", "  "), F.lit(" "))
     rows = rows.select(*[F.col(f"`{c}`") for c in keep], F.size("__words").cast("long").alias("n_words"), spaced.alias("__spaced"))
     keys = F.filter(F.array(*map(F.lit, KEYWORDS)), lambda k: F.contains(F.col("__spaced"), F.concat(F.lit(" "), k, F.lit(" "))))
-    rows = rows.withColumn("__keys", F.when(F.col("__spaced").isNotNull(), keys))
+    rows = rows.withColumn("__keys", keys)
     asked = F.filter(_rule_array(), lambda r: F.exists(r["keywords"], lambda k: F.array_contains(F.col("__keys"), k)) & F.rlike(F.col("__spaced"), r["pattern"]))
     found = F.flatten(F.transform(asked, lambda r: _detections(F.col("__spaced"), r)))
     rows = rows.withColumn("__found", F.when(F.size("__keys") > 0, found))
@@ -255,7 +254,7 @@ def digests_sql() -> str:
     total = lambda x: f"coalesce(list_sum(list_transform({x}, lambda y: {words('y')})), 0)::bigint"
     return f"""with r(rule, label, pattern, priority, weight, base) as (values {values}),
 d as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w, lower(coalesce(text, '')) as t from documents),
-s as (select doc_id, ' ' || array_to_string(w, '  ') || ' ' as spaced from d where regexp_matches(t, '{'|'.join(GATE)}')),
+s as (select doc_id, ' ' || array_to_string(w, '  ') || ' ' as spaced from d where regexp_matches(t, '{'|'.join(SQL_GATE)}')),
 m as (select doc_id, rule, string_split_regex(spaced, pattern) as gaps, regexp_extract_all(spaced, pattern) as hits from s, r where regexp_matches(spaced, pattern)),
 e as (select doc_id, rule, gaps, hits, unnest(range(1, len(hits) + 1)) as i from m),
 p as (select doc_id, rule, {total('gaps[1:i]')} + {total('hits[1:i-1]')} as start, {words('hits[i]')} as n from e),
