@@ -17,7 +17,7 @@ fingerprints must share too.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +51,7 @@ def fingerprint_of(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
     shingles = map(join, zip(*(words[i:] for i in range(k)), strict=False))
     ones, n = np.zeros(BITS, np.int64), len(words) - k + 1
     for at in range(0, n, _HASHES_AT_ONCE):
-        part = np.fromiter((hashed(s, seed) for s, _ in zip(shingles, range(min(_HASHES_AT_ONCE, n - at)), strict=False)), ">u8")
+        part = np.fromiter((hashed(s, seed) for s in islice(shingles, min(_HASHES_AT_ONCE, n - at))), ">u8")
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 

@@ -1,9 +1,10 @@
 """Cases in which an operator once did less than the whole job."""
 
 import itertools
+import random
 import re._parser
 
-from graniteq.llm import licenses
+from graniteq.llm import licenses, simhash_dedup
 
 # Licenses.
 
@@ -51,3 +52,14 @@ def test_acronyms_without_the_word_license(spark):
     rows = licenses.digests(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
     assert [r.labels for r in sorted(rows)] == ["gpl-3.0", "mpl-2.0", "agpl-3.0", "lgpl-3.0", "cddl-1.0", "wtfpl", "sspl-1.0", "odbl-1.0", "eupl-1.2", "cecill-2.1", "gpl-2.0", ""]
     assert all((r.score > 0) == bool(r.labels) for r in rows)
+
+
+# SimHash dedup.
+
+
+def test_every_shingle_of_a_long_text_counts(monkeypatch):
+    r = random.Random(7)
+    texts = [" ".join(r.choices("a b c d e f g".split(), k=k)) for k in (1, 3, 6, 7, 8, 50, 400) for _ in range(20)]
+    whole = [simhash_dedup.fingerprint_of(t) for t in texts]
+    monkeypatch.setattr(simhash_dedup, "_HASHES_AT_ONCE", 5)
+    assert [simhash_dedup.fingerprint_of(t) for t in texts] == whole
