@@ -52,6 +52,10 @@ ALLOWED = (
     r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|example|sample|placeholder|changeme|dummy|redacted|xxxx|0123456789|abcdefghij|"
     r"^[a-z]+([-_/][a-z]+)*[-_/]?[0-9]{1,4}$|^([a-z0-9]+/){3,}[a-z0-9]*$|(.)\3{7,}"
 )
+#: The operator's own rule for paths, on the candidate as it stands: three words or more, none of them of mixed letters and digits. The SQL keeps the rule in ALLOWED.
+_LOWERED_PATH = r"^([a-z0-9]+/){3,}[a-z0-9]*$|"
+_WORD = r"([A-Z]?[a-z]+([A-Z][a-z]{2,})*[0-9]{0,4}|[0-9]{1,4})"
+ALLOWED_PATH = rf"^({_WORD}/){{3,}}{_WORD}?$"
 #: What stands right before a candidate (lowered) and explains it.
 ALLOWED_BEFORE = r"(sha1|sha256|sha384|sha512|md5|checksum|integrity|commit|revision|etag|digest)[\"']?\x20*[-:=@]?\x20*[\"']?$"
 
@@ -110,6 +114,7 @@ def _entropy_spans(text: Column) -> Column:
     gaps = F.split(text, CANDIDATE, -1)
     placed = F.zip_with(_placed(gaps, hits), F.slice(gaps, F.lit(1), F.size(hits)), lambda s, g: F.struct(s["start"].alias("start"), F.right(g, F.lit(24)).alias("before")))
 
+    # An empty group takes the place of the path rule's, so that the back-reference after it holds.
     def stretch(s: Column, value: Column) -> Column:
         rank, limit, kind = F.lit(None).cast("int"), F.lit(None).cast("double"), F.lit(None).cast("string")
         for c in reversed(CLASSES):
@@ -117,7 +122,7 @@ def _entropy_spans(text: Column) -> Column:
             rank = F.when(fits, KINDS.index(c.kind)).otherwise(rank)
             limit = F.when(fits, WINDOW * (math.log2(WINDOW) - c.entropy)).otherwise(limit)
             kind = F.when(fits, c.kind).otherwise(kind)
-        allowed = F.lower(value).rlike(ALLOWED) | F.lower(s["before"]).rlike(ALLOWED_BEFORE)
+        allowed = F.lower(value).rlike(ALLOWED.replace(_LOWERED_PATH, "(?!)()|")) | value.rlike(ALLOWED_PATH) | F.lower(s["before"]).rlike(ALLOWED_BEFORE)
         letters = F.split(value, "", -1)
         return F.struct(
             s["start"].alias("start"), F.when(~allowed, rank).alias("rank"), kind.alias("kind"), limit.alias("max"), value.alias("value"), F.array_distinct(letters).alias("alphabet"), letters.alias("letters")
