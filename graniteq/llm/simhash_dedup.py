@@ -4,20 +4,22 @@ A fingerprint's bit is 1 if it is set in over half the hashes of the document's
 word shingles. Two documents link if their fingerprints differ in few bits; the
 groups are the connected components.
 
-Fingerprints that differ in at most 3 bits agree on at least three of six blocks
-of bits. So each distinct fingerprint goes to the 20 choices of three blocks;
-where the chosen blocks agree, the other bits form a binary trie, and a walk
-over pairs of its nodes adds up the differing bits and drops a pair of nodes
-once they exceed the budget. A walk emits a spanning forest of its links, never
-all pairs. A group of fingerprints that is too large for one walk is dealt out
-once more by four blocks of its other bits, one of which two linked
-fingerprints must share too.
+Fingerprints that differ in at most 3 bits agree on one of four blocks of bits.
+So each distinct fingerprint goes to four tables, and those that agree on a
+table's block form a binary trie of their other bits. A walk over pairs of its
+nodes, from the root pair down, adds up the differing bits and drops a pair of
+nodes once they exceed the budget. All tries of a batch are walked together,
+level by level. A walk emits a spanning forest of its links, never all pairs. The
+tries of blocks that too many fingerprints share aren't walked but dealt out once
+more, by four blocks of their remaining bits, and so on until they are small; what
+remains at the last level has 16 bits, and so a bounded number of fingerprints.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +35,14 @@ HASH_SEED = 42
 MAX_DIFFERING_BITS = 3
 
 BITS = 64
-BLOCKS = 6
-WALK_ROWS = 4096  # a larger group is dealt out once more
-LEAF_PAIRS = 2048  # node pairs of so few leaves are compared at once
-
+BLOCKS = MAX_DIFFERING_BITS + 1
+WALK_ROWS = 4096  # a larger trie is dealt out once more
+LEVELS = 5  # of dealing; the tries of the last one have 16 bits
+BATCH_ROWS = 1 << 15  # of tries that are walked together
+MAX_HOT_BROADCAST = 1 << 20  # keys, of 8 bytes; more are joined by a shuffle
+
+_PAIRS_AT_ONCE = 1 << 18
+_LINKS_AT_ONCE = 1 << 20
 _HASHES_AT_ONCE = 1 << 16
 _LOWERED = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
@@ -74,153 +80,166 @@ def _cuts(bits: int, parts: int) -> list[tuple[int, int]]:
     return [(bits - sum(widths[: i + 1]), w) for i, w in enumerate(widths)]
 
 
-def _gather(v: np.ndarray, blocks: list[tuple[int, int]]) -> np.ndarray:
-    """The blocks' bits, one after the other."""
-    out = np.zeros(len(v), np.uint64)
-    for low, width in blocks:
-        out = (out << np.uint64(width)) | ((v >> np.uint64(low)) & np.uint64((1 << width) - 1))
-    return out
+def _level_bits() -> list[int]:
+    """The bits that are left to deal by at each level, at most."""
+    bits = [BITS]
+    for _ in range(LEVELS):
+        bits.append(bits[-1] - min(w for _, w in _cuts(bits[-1], BLOCKS)))
+    return bits
 
 
-def _permutations() -> list[tuple[list[tuple[int, int]], list[tuple[int, int]]]]:
-    """(blocks that must agree, other blocks) of each table."""
-    cuts = _cuts(BITS, BLOCKS)
-    agree = BLOCKS - MAX_DIFFERING_BITS
-    return [([cuts[i] for i in c], [cuts[i] for i in range(BLOCKS) if i not in c]) for c in combinations(range(BLOCKS), agree)]
+def _dealt(bits: int):
+    """For each row (key, rest, node) a row for each block of the rest: key (with the block and its bits), rest without them, node."""
+    cuts = _cuts(bits, BLOCKS)
+    most = np.uint64(max(w for _, w in cuts))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, rest = (batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1))
+            for i, (low, width) in enumerate(cuts):
+                own = (rest >> np.uint64(low)) & np.uint64((1 << width) - 1)
+                above = np.uint64(0) if low + width == BITS else rest >> np.uint64(low + width)
+                others = (above << np.uint64(low)) | (rest & np.uint64((1 << low) - 1))
+                named = (((key << np.uint64(2)) | np.uint64(i)) << most) | own
+                yield output({"key": (pa.int64(), named.view(np.int64)), "rest": (pa.int64(), others.view(np.int64)), "node": (pa.int64(), batch.column(2))})
 
-_REST_BITS = 33  # the most that three blocks have
-_KEY_BITS = 33
+    return run
 
 
-def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each fingerprint and table: key (table and agreeing bits), rest, node."""
-    tables = _permutations()
-    for batch in batches:
-        v = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-        for t, (same, rest) in enumerate(tables):
-            key = _gather(v, same) | np.uint64(t << _KEY_BITS)
-            yield output({"key": (pa.int64(), key.view(np.int64)), "rest": (pa.int64(), _gather(v, rest).view(np.int64)), "node": (pa.int64(), batch.column(1))})
+_ROW_SQL = "key long, rest long, node long"
 
 
-def trie_links(v: np.ndarray, width: int, budget: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among sorted distinct values of ``width`` bits.
+def trie_links(v: np.ndarray, starts: np.ndarray, width: int, budget: int, tally: Counter | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect whatever links within each group of ``v``.
 
-    Two values link if they differ in at most ``budget`` bits. The sorted array is
-    the trie: a node is a range of it. Pairs of nodes of one depth are split on
-    the next bit; a pair of children that takes different branches costs one bit.
+    A group begins at each of ``starts``; its values, of ``width`` bits, are distinct
+    and sorted. Two values link if they differ in at most ``budget`` bits. A group's
+    sorted values are its trie: a node is a range of them that agree on the upper
+    bits. Pairs of nodes of one depth, at first each root with itself, are split on
+    the next bit; children that take different branches cost one of the budget,
+    and pairs without any left go no further. Two single leaves are followed to the
+    end at once. ``tally`` counts pairs of nodes, those pruned, and links.
     """
-    parent = list(range(len(v)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    links: list[tuple[int, int]] = []
-    todo = [(0, len(v), 0, len(v), width, budget)]
+    tally = Counter() if tally is None else tally
+    ends = np.r_[starts[1:], len(v)]
+    roots = np.flatnonzero(ends - starts > 1)
+    a0, a1 = starts[roots].astype(np.int32), ends[roots].astype(np.int32)
+    todo = [(width, a0, a1, a0, a1, np.full(len(a0), budget, np.int8))]
+    zeros: dict[int, np.ndarray] = {}  # by bit: how many values before each place have it unset
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    held = 0
     while todo:
-        a0, a1, b0, b1, bit, left = todo.pop()
-        if a0 >= a1 or b0 >= b1 or (a0 == b0 and a1 - a0 == 1):
+        bit, a0, a1, b0, b1, left = todo.pop()
+        if len(a0) > _PAIRS_AT_ONCE:
+            todo += [(bit, *(x[i : i + _PAIRS_AT_ONCE] for x in (a0, a1, b0, b1, left))) for i in range(0, len(a0), _PAIRS_AT_ONCE)]
             continue
-        if (a1 - a0) * (b1 - b0) <= LEAF_PAIRS or bit == 0:
-            near = np.bitwise_count(v[a0:a1, None] ^ v[None, b0:b1]) <= budget
-            for i, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
-                i, j = i + a0, j + b0
-                if i < j and (x := root(i)) != (y := root(j)):
-                    parent[y] = x
-                    links.append((i, j))
+        tally["pairs"] += len(a0)
+        leaves = (a1 - a0 == 1) & (b1 - b0 == 1)
+        if leaves.any():
+            i, j = a0[leaves], b0[leaves]
+            apart = np.bitwise_count((v[i] ^ v[j]) & np.uint64((1 << bit) - 1))
+            near = apart <= left[leaves]
+            tally["pruned"] += int((~near).sum())
+            tally["links"] += int(near.sum())
+            found.append((i[near], j[near]))
+            held += len(found[-1][0])
+            if held > _LINKS_AT_ONCE:
+                found = [forest(*(np.concatenate(x) for x in zip(*found, strict=True)))]
+                held = len(found[0][0])
+            a0, a1, b0, b1, left = (x[~leaves] for x in (a0, a1, b0, b1, left))
+        if not len(a0):
             continue
         bit -= 1
-        am, bm = _middle(v, a0, a1, bit), _middle(v, b0, b1, bit)
-        todo += [(a0, am, b0, bm, bit, left), (am, a1, bm, b1, bit, left)]
-        if left:
-            todo.append((a0, am, bm, b1, bit, left - 1))
-            if a0 != b0:
-                todo.append((am, a1, b0, bm, bit, left - 1))
-    return links
-
-
-def _middle(v: np.ndarray, lo: int, hi: int, bit: int) -> int:
-    """Where the values with that bit set begin, in a range that agrees on the bits above."""
-    edge = ((int(v[lo]) >> bit) | 1) << bit
-    return lo + int(np.searchsorted(v[lo:hi], np.uint64(edge)))
-
-
-def _walk(limit: int | None, width: int):
-    """Walks each key's rows, which come together and sorted by rest.
-
-    Emits links (a, b); the rows of a key with more than ``limit`` come out as
-    they are, with a null b.
-    """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("rest", pa.int64())])
-
-    def links_of(rest: np.ndarray, node: np.ndarray, out: list) -> None:
-        _, first = np.unique(rest, return_index=True)  # equal ones are the same fingerprint
-        own, v = node[first], rest[first].view(np.uint64)
-        out += [(int(own[i]), int(own[j])) for i, j in trie_links(v, width, MAX_DIFFERING_BITS)]
-
-    def emit(pairs: list) -> Iterator[pa.RecordBatch]:
-        if pairs:
-            a, b = zip(*pairs, strict=True)
-            none = [None] * len(a)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(none, pa.int64()), pa.array(none, pa.int64())], schema=schema)
-
-    def deferred(key, rest, node) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(node), pa.nulls(len(node), pa.int64()), pa.array(key), pa.array(rest)], schema=schema)
+        if bit not in zeros:
+            zeros[bit] = np.concatenate(([0], np.cumsum((v >> np.uint64(bit)) & np.uint64(1) == 0))).astype(np.int32)
+        c = zeros[bit]
+        am, bm, same = a0 + c[a1] - c[a0], b0 + c[b1] - c[b0], a0 == b0
+        crossing = [(a0, am, bm, b1, left - 1), (am[~same], a1[~same], b0[~same], bm[~same], left[~same] - 1)]
+        children = [np.concatenate(x) for x in zip((a0, am, b0, bm, left), (am, a1, bm, b1, left), *crossing, strict=True)]
+        whole = (children[0] < children[1]) & (children[2] < children[3])
+        kept = whole & (children[4] >= 0)
+        tally["pruned"] += int((whole & ~kept).sum())
+        kept &= (children[0] != children[2]) | (children[1] - children[0] > 1)  # a leaf with itself
+        if kept.any():
+            todo.append((bit, *(x[kept] for x in children)))
+    if not found:
+        return np.empty(0, np.int32), np.empty(0, np.int32)
+    return forest(*(np.concatenate(x) for x in zip(*found, strict=True)))
+
+
+def forest(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stars that connect what the links (x, y) connect."""
+    nodes, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+    i, j = at[: len(x)], at[len(x) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = label.copy()
+        both = np.minimum(label[i], label[j])
+        for k in (i, j, label[i], label[j]):
+            np.minimum.at(low, k, both)
+        low = low[low]
+        if (low == label).all():
+            break
+        label = low
+    own = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[own], nodes[label[own]]
+
+
+def _walk(width: int):
+    """Walks the tries of keys, whose rows come together and sorted by rest; emits links (a, b)."""
+
+    def linked(key: np.ndarray, rest: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        a, b = trie_links(rest.view(np.uint64), starts, width, MAX_DIFFERING_BITS)
+        if len(a):
+            yield output({"a": (pa.int64(), node[a]), "b": (pa.int64(), node[b])})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64)] * 3
-        passing = None  # the key whose rows are too many
+        held: list[list[np.ndarray]] = []
+        rows = 0
         for batch in batches:
-            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-            held = [np.concatenate(x) for x in zip(held, new, strict=True)] if len(held[0]) else new
-            key, rest, node = held
-            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
-            ends = np.r_[starts[1:], len(key)]
-            pairs: list = []
-            for lo, hi in zip(starts.tolist(), ends.tolist(), strict=True) if len(starts) < len(key) or passing is not None else ():
-                if hi == len(key):
-                    break
-                if key[lo] == passing or (limit and hi - lo > limit):
-                    yield deferred(key[lo:hi], rest[lo:hi], node[lo:hi])
-                elif hi - lo > 1:
-                    links_of(rest[lo:hi], node[lo:hi], pairs)
-            yield from emit(pairs)
-            last = int(starts[-1]) if len(starts) else 0
-            if len(key) and (key[last] == passing or (limit and len(key) - last > limit)):
-                yield deferred(key[last:], rest[last:], node[last:])
-                passing, last = key[last], len(key)
-            elif len(key):
-                passing = None
-            held = [x[last:] for x in held]
-        if len(held[0]) > 1:
-            pairs = []
-            links_of(held[1], held[2], pairs)
-            yield from emit(pairs)
-
-    return run, "a long, b long, key long, rest long"
-
-
-def _again(rows: DataFrame) -> DataFrame:
-    """Deferred rows under each of four blocks of their rest."""
-    blocks = _cuts(_REST_BITS, MAX_DIFFERING_BITS + 1)
-    most = max(w for _, w in blocks)
-    keys = [F.shiftleft(F.col("key"), 2 + most) + (i << most) + F.shiftrightunsigned("rest", low).bitwiseAND(F.lit((1 << w) - 1)) for i, (low, w) in enumerate(blocks)]
-    return rows.select(F.explode(F.array(*keys)).alias("key"), "rest", F.col("a").alias("node"))
+            if not batch.num_rows:
+                continue
+            held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
+            rows += batch.num_rows
+            if rows >= BATCH_ROWS:
+                key, rest, node = (np.concatenate(x) for x in zip(*held, strict=True))
+                last = int(np.searchsorted(key, key[-1]))  # the last key's rows may go on
+                if last:
+                    yield from linked(key[:last], rest[:last], node[:last])
+                held, rows = [[key[last:], rest[last:], node[last:]]], len(key) - last
+        if rows:
+            yield from linked(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return run
 
 
 def near_links(distinct: DataFrame, walk_rows: int = WALK_ROWS) -> DataFrame:
     """Links (a, b) that connect all of ``distinct`` (fp long, node long) within the budget of bits.
 
-    ``fp`` must not repeat. The links are a spanning forest of each table's
-    groups, not all pairs; their components are those of all pairs.
+    ``fp`` must not repeat. The links are a spanning forest of each trie's groups,
+    not all pairs; their components are those of all pairs. Rows are counted by
+    key before any task gets a key's rows; those of keys with more than
+    ``walk_rows`` go to the next level of dealing.
     """
-    dealt = distinct.select("fp", "node").mapInArrow(_dealt, "key long, rest long, node long")
-    first = checkpointed(dealt.repartition("key").sortWithinPartitions("key", "rest").mapInArrow(*_walk(walk_rows, _REST_BITS)))
-    rest = _again(first.filter("b is null")).repartition("key").sortWithinPartitions("key", "rest")
-    return first.filter("b is not null").select("a", "b").union(rest.mapInArrow(*_walk(None, _REST_BITS)).select("a", "b"))
+    rows = distinct.select(F.lit(0).cast("long").alias("key"), F.col("fp").alias("rest"), "node")
+    bits = _level_bits()
+    links = None
+    for level in range(LEVELS):
+        dealt = rows.mapInArrow(_dealt(bits[level]), _ROW_SQL)
+        small, hot, n_hot = dealt, None, 0
+        if level + 1 < LEVELS:
+            hot = checkpointed(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > walk_rows).select("key"))
+            n_hot = hot.count()
+        if n_hot:
+            hot = F.broadcast(hot) if n_hot <= MAX_HOT_BROADCAST else hot
+            small = dealt.join(hot, "key", "left_anti")
+        own = small.repartition("key").sortWithinPartitions("key", "rest").mapInArrow(_walk(bits[level + 1]), "a long, b long")
+        links = own if links is None else links.union(own)
+        if not n_hot:
+            break
+        rows = checkpointed(dealt.join(hot, "key", "left_semi").select("key", "rest", "node"))
+    return links
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", walk_rows: int = WALK_ROWS) -> DataFrame:
@@ -228,7 +247,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     ``component_id`` is the smallest id that links reach, the row's own
     included. A null text counts as empty; texts without words have fingerprint
-    zero and link like others. A row with a null id takes its fingerprint's
+    zero and link like others. Texts are read whole, however long. Repeated rows
+    are one row each in the result; an empty table gives none. A row with a null id takes its fingerprint's
     component but lends it no id; where no row of a component has an id, the
     component_id is null. Rows that share an id count as one document with
     several fingerprints.

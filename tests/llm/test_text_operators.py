@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -382,11 +383,8 @@ def test_components_equal_brute_force(spark, walk_rows):
 @settings(max_examples=100, deadline=None)
 def test_trie_walk_connects_what_links(values, budget):
     v = np.array(sorted(values), np.uint64)
-    old, simhash_dedup.LEAF_PAIRS = simhash_dedup.LEAF_PAIRS, 2
-    try:
-        links = simhash_dedup.trie_links(v, 10, budget)
-    finally:
-        simhash_dedup.LEAF_PAIRS = old
+    tally = Counter()
+    links = list(zip(*(x.tolist() for x in simhash_dedup.trie_links(v, np.array([0]), 10, budget, tally)), strict=True))
 
     def groups(pairs):
         label = list(range(len(v)))
@@ -396,7 +394,56 @@ def test_trie_walk_connects_what_links(values, budget):
         return label
 
     near = [(i, j) for i, j in itertools.combinations(range(len(v)), 2) if int(v[i] ^ v[j]).bit_count() <= budget]
-    assert groups(links) == groups(near) and set(links) <= set(near)
+    assert groups(links) == groups(near) and len(links) < len(v) and tally["links"] == len(near)
+
+
+def test_tries_of_a_batch_are_walked_apart():
+    r = random.Random(9)
+    groups = [sorted({r.getrandbits(16) for _ in range(n)}) for n in (1, 2, 300, 1, 900, 40)]
+    starts = np.cumsum([0, *map(len, groups)])[:-1]
+    v, tally = np.array(sum(groups, []), np.uint64), Counter()
+    a, b = simhash_dedup.trie_links(v, starts, 16, 3, tally)
+    near = [(x + s, y + s) for g, s in zip(groups, starts.tolist(), strict=True) for x, y in itertools.combinations(range(len(g)), 2) if (g[x] ^ g[y]).bit_count() <= 3]
+    assert tally["links"] == len(near)
+    root = list(range(len(v)))
+    for pairs in (near, zip(a.tolist(), b.tolist(), strict=True)):
+        label = list(range(len(v)))
+
+        def top(i, label=label):
+            while label[i] != i:
+                i = label[i]
+            return i
+
+        for i, j in pairs:
+            x, y = sorted((top(i), top(j)))
+            label[y] = x
+        label = [top(i) for i in range(len(v))]
+        root, before = label, root
+    assert root == before
+
+
+def test_walks_prune_on_the_tables(monkeypatch):
+    """The tables' fingerprints: node pairs are split and dropped, and far fewer are compared than there are pairs."""
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()
+    fps = np.unique(np.array([simhash_dedup.fingerprint_of(t) for t in texts], np.uint64))
+    tally, links = Counter(), set()
+    key, rest, node = np.zeros(len(fps), np.int64), fps.view(np.int64), np.arange(len(fps))
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(key), pa.array(rest), pa.array(node)], names=["key", "rest", "node"])
+    for t in simhash_dedup._dealt(64)(iter([batch])):
+        key, rest, node = (t.column(i).to_numpy() for i in range(3))
+        order = np.lexsort((rest, key))
+        key, rest, node = key[order], rest[order], node[order]
+        a, b = simhash_dedup.trie_links(rest.view(np.uint64), np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), 48, 3, tally)
+        links |= {tuple(sorted(x)) for x in zip(node[a].tolist(), node[b].tolist(), strict=True)}
+    whole = Counter()
+    a, b = simhash_dedup.trie_links(fps, np.array([0]), 64, 3, whole)
+    assert tally["pruned"] > 0 and whole["pruned"] > 10_000
+    every = np.bitwise_count(fps[:, None] ^ fps[None]) <= 3
+    assert whole["links"] == (every.sum() - len(fps)) // 2 and links <= {(i, j) for i, j in zip(*(x.tolist() for x in np.nonzero(every)), strict=True)}
 
 
 # SQL.
