@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,3 +46,21 @@ def _small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
     linked = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return linked.union(least.select("a", "m")).filter("a <> b").distinct()
+
+
+def forest(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stars that connect what the links (x, y) connect."""
+    nodes, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+    i, j = at[: len(x)], at[len(x) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = label.copy()
+        both = np.minimum(label[i], label[j])
+        for k in (i, j, label[i], label[j]):
+            np.minimum.at(low, k, both)
+        low = low[low]
+        if (low == label).all():
+            break
+        label = low
+    own = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[own], nodes[label[own]]

@@ -1,14 +1,17 @@
 """Near-duplicate embeddings by lattice hashing.
 
-Unit vectors are projected to eight dimensions several times, each time by other
-random directions, and decoded to the nearest point of the lattice E8: their
-cell. A vector meets those of its own cell and of the neighbouring cells that
-lie nearest to its projection. Cosines of those that meet are computed in double
-precision. A pair counts in the first table in which one finds the other.
-
-Identical vectors are one class from the start. A cell too large for one task is
-dealt out: its vectors are split into parts, and each part meets all that probe
-the cell. Tasks emit sums of links and a spanning forest of them, never pairs.
+Unit vectors are projected to two times eight dimensions in several tables, each
+time by other random directions, and each eight are decoded to the nearest point
+of the lattice E8; the two points are the vector's cell. A vector meets those of
+its own cell and of the neighbouring cells that replace one of the points by one
+of those next nearest to the projection. Cosines of those that meet are computed
+in double precision. A pair counts in the first table in which one finds the other.
+
+Identical vectors are one class from the start. First only cells and numbers of
+classes are shuffled, which shows the cells where two classes meet; only there
+vectors are sent. A cell too large for one task is dealt out: its classes are split
+into parts, and each part meets all that probe the cell. Tasks emit sums of links
+and a spanning forest of them, never pairs.
 """
 
 from __future__ import annotations
@@ -22,17 +25,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graniteq.llm.common import checkpointed, take
-from graniteq.llm.components import connected_components
+from graniteq.llm.common import checkpointed, output, take
+from graniteq.llm.components import connected_components, forest
 
 MIN_COSINE = 0.98
-TABLES = 3
-PROBES = 3  # neighbouring cells
-CELL = 1.6  # side of the lattice, in standard deviations of a projected unit vector
+TABLES = 4
+PROBES = 3  # neighbouring points of each of a cell's two
+CELL = 2.0  # side of the lattice, in standard deviations of a projected unit vector
 SEED = 17
-CELL_ROWS = 2048  # a cell with more members is dealt out
+CELL_ROWS = 16384  # a cell with more classes is dealt out
 ROWS_AT_ONCE = 1024
 
+_POINTS = 2  # of a cell
+
 
 @cache
 def neighbours() -> np.ndarray:
@@ -61,19 +66,22 @@ def decode(x: np.ndarray) -> np.ndarray:
 @cache
 def _projections(dims: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
     r = np.random.default_rng((SEED, dims))
-    return r.normal(size=(tables, dims, 8)) / CELL, r.uniform(0, 2, (tables, 8))
+    return r.normal(size=(tables, _POINTS, dims, 8)) / CELL, r.uniform(0, 2, (tables, _POINTS, 8))
+
 
+_MIX = np.array([0x9E3779B97F4A7C15, 0x85EBCA77C2B2AE63, 0xC2B2AE3D27D4EB4F, 0x27D4EB2F165667C5, 0x165667B19E3779F9, 0xD3A2646CBFD65E23, 0xFD7046C5AA2BE25B, 0xB55A4F09E2C6A4F5], np.uint64)
+_SCRAMBLE = np.uint64(0xBF58476D1CE4E5B9)
 
-_MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0xD3A2646D, 0xFD7046C5, 0xB55A4F09], np.uint64)
+
+def _scrambled(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * _SCRAMBLE
+    return h ^ (h >> np.uint64(29))
 
 
 def _named(points: np.ndarray) -> np.ndarray:
-    """Lattice points as 32-bit numbers; points that share one make a common cell."""
+    """Lattice points as 64-bit numbers; points that share one make a common cell."""
     with np.errstate(over="ignore"):
-        h = ((2 * points).astype(np.int64).view(np.uint64) * _MIX).sum(-1, dtype=np.uint64)
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-    return (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        return _scrambled(((2 * points).astype(np.int64).view(np.uint64) * _MIX).sum(-1, dtype=np.uint64))
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -86,206 +94,165 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 def cells(vectors: np.ndarray, tables: int = TABLES, probes: int = PROBES) -> np.ndarray:
     """For each unit vector and table the numbers of its own and its probed cells."""
     directions, offsets = _projections(vectors.shape[1], tables)
-    out = np.empty((len(vectors), tables, 1 + probes), np.int32)
+    out = np.empty((len(vectors), tables, 1 + _POINTS * probes), np.uint64)
+    around = neighbours().T
     for t in range(tables):
-        x = vectors @ directions[t] + offsets[t]
-        own = decode(x)
-        near = np.argsort(-((x - own) @ neighbours().T), axis=1, kind="stable")[:, :probes]
-        out[:, t, 0] = _named(own)
-        out[:, t, 1:] = _named(own[:, None, :] + neighbours()[near])
+        own, near = [], []
+        for directions_of, offset in zip(directions[t], offsets[t], strict=True):
+            x = vectors @ directions_of + offset
+            point = decode(x)
+            next_to = np.argpartition(-((x - point) @ around), probes, axis=1)[:, :probes] if probes else np.empty((len(x), 0), int)
+            own.append(_named(point))
+            near.append(_named(point[:, None, :] + neighbours()[next_to]))
+        with np.errstate(over="ignore"):
+            out[:, t, 0] = _scrambled(own[0] + own[1] * _SCRAMBLE)
+            out[:, t, 1 : 1 + probes] = _scrambled(near[0] + (own[1] * _SCRAMBLE)[:, None])
+            out[:, t, 1 + probes :] = _scrambled(own[0][:, None] + near[1] * _SCRAMBLE)
     return out
 
 
-# Rows that tasks exchange. role: 0 a member of the cell, 1 one that probes it.
-_ROW = pa.schema(
-    [("key", pa.int64()), ("role", pa.int32()), ("t", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("codes", pa.list_(pa.int32())), ("vec", pa.list_(pa.float32()))]
-)
-_ROW_SQL = "key long, role int, t int, id long, n long, codes array<int>, vec array<float>"
-_FOUND_SQL = f"a long, b long, links long, {_ROW_SQL}"
-
-
-def _lists(rows: np.ndarray, kind: pa.DataType) -> pa.ListArray:
-    ends = np.arange(0, rows.size + 1, rows.shape[1] or 1, dtype=np.int32) if rows.size else np.zeros(len(rows) + 1, np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(rows).ravel(), kind))
-
-
-def _matrix(lists: pa.ListArray) -> np.ndarray:
+def _matrix(lists: pa.Array) -> np.ndarray:
     """Lists of one length as a matrix."""
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
 
 
-def _deal(tables: int, probes: int):
-    """A row for each class and cell that it belongs to or probes."""
+def _coded(tables: int, probes: int):
+    """For each class (cid, group, vec) the keys of its own cells and of those it probes, in all tables."""
+
+    def lists(rows: np.ndarray) -> pa.ListArray:
+        ends = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(rows).ravel().view(np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = batch.column(3).value_lengths().to_numpy(zero_copy_only=False)
+            sizes = batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
             for size in np.unique(sizes):
                 at = np.flatnonzero(sizes == size)
                 for k in range(0, len(at), ROWS_AT_ONCE):
                     part = batch.take(pa.array(at[k : k + ROWS_AT_ONCE]))
-                    vectors = _matrix(part.column(3))
-                    codes = cells(unit(vectors), tables, probes)
-                    group = part.column(2).to_numpy(zero_copy_only=False)  # of label and length
-                    flat = _lists(codes.reshape(len(codes), -1), pa.int32())
-                    for t in range(tables):
-                        for p in range(1 + probes):
-                            with np.errstate(over="ignore"):
-                                key = group.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + codes[:, t, p].view(np.uint32).astype(np.uint64) * np.uint64(tables) + np.uint64(t)
-                            n = len(part)
-                            columns = [pa.array(key.view(np.int64)), pa.array(np.full(n, int(p > 0), np.int32)), pa.array(np.full(n, t, np.int32)), part.column(0), part.column(1), flat, part.column(3)]
-                            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, _ROW, strict=True)], schema=_ROW)
+                    group = part.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+                    with np.errstate(over="ignore"):
+                        keys = _scrambled(cells(unit(_matrix(part.column(2))), tables, probes) + (group * _MIX[0])[:, None, None] + np.arange(tables, dtype=np.uint64)[:, None])
+                    yield output({"cid": (None, part.column(0)), "own": (None, lists(keys[:, :, 0])), "probed": (None, lists(keys[:, :, 1:].reshape(len(keys), -1)))})
 
     return run
 
 
 class _Cell:
-    """Rows of one key as arrays."""
+    """Rows of one cell as arrays; their codes are made for those that are asked."""
+
+    def __init__(self, rows: pa.Table, tables: int, probes: int):
+        self.id, self.n = rows.column("cid").to_numpy(), rows.column("copies").to_numpy()
+        self.unit = unit(_matrix(rows.column("vec").combine_chunks()))
+        self.tables, self.probes = tables, probes
 
-    def __init__(self, rows: pa.RecordBatch | pa.Table, tables: int):
-        self.id = rows.column("id").to_numpy()
-        self.n = rows.column("n").to_numpy()
-        codes, vec = rows.column("codes"), rows.column("vec")
-        if isinstance(rows, pa.Table):
-            codes, vec = codes.combine_chunks(), vec.combine_chunks()
-        self.codes = _matrix(codes).reshape(len(self.id), tables, -1)
-        self.unit = unit(_matrix(vec))
+    def codes(self, at: np.ndarray) -> np.ndarray:
+        rows, back = np.unique(at, return_inverse=True)
+        return cells(self.unit[rows], self.tables, self.probes)[back]
 
 
 def _meet(who: _Cell, members: _Cell, t: int, least: float, out: dict) -> None:
     """Adds what ``who`` finds among ``members`` of a cell to ``out``: sums of links, and links that connect."""
     for lo in range(0, len(who.id), ROWS_AT_ONCE):
-        part = slice(lo, lo + ROWS_AT_ONCE)
-        i, j = np.nonzero(who.unit[part] @ members.unit.T >= least)
-        i += lo
-        apart = who.id[i] != members.id[j]
-        i, j = i[apart], j[apart]
-        a, b = who.codes[i], members.codes[j]
-        earlier = np.zeros(len(i), bool)
-        for e in range(t):
-            earlier |= (a[:, e] == b[:, e, :1]).any(1) | (b[:, e] == a[:, e, :1]).any(1)
-        back = (b[:, t] == a[:, t, :1]).any(1)  # then the other one finds this one in its own cell
-        i, j, back = i[~earlier], j[~earlier], back[~earlier]
-        x, y = who.id[i], members.id[j]
-        for ids, links in ((x, members.n[j]), (y[~back], who.n[i[~back]])):
-            own, at = np.unique(ids, return_inverse=True)
-            sums = np.zeros(len(own), np.int64)
-            np.add.at(sums, at, links)
-            out["links"].append((own, sums))
-        out["pairs"].append(_forest(x, y))
-
-
-def _forest(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Stars that connect what the links (x, y) connect."""
-    nodes, at = np.unique(np.concatenate([x, y]), return_inverse=True)
-    i, j = at[: len(x)], at[len(x) :]
-    label = np.arange(len(nodes))
-    while True:
-        low = label.copy()
-        both = np.minimum(label[i], label[j])
-        np.minimum.at(low, i, both)
-        np.minimum.at(low, j, both)
-        low = low[low]
-        if (low == label).all():
-            break
-        label = low
-    own = np.flatnonzero(label != np.arange(len(nodes)))
-    return nodes[own], nodes[label[own]]
+        for at in range(0, len(members.id), ROWS_AT_ONCE):
+            i, j = np.nonzero(who.unit[lo : lo + ROWS_AT_ONCE] @ members.unit[at : at + ROWS_AT_ONCE].T >= least)
+            i, j = i + lo, j + at
+            apart = who.id[i] != members.id[j]
+            i, j = i[apart], j[apart]
+            if not len(i):
+                continue
+            a, b = who.codes(i), members.codes(j)
+            earlier = np.zeros(len(i), bool)
+            for e in range(t):
+                earlier |= (a[:, e] == b[:, e, :1]).any(1) | (b[:, e] == a[:, e, :1]).any(1)
+            back = (b[:, t] == a[:, t, :1]).any(1)  # then the other one finds this one in its own cell
+            i, j, back = i[~earlier], j[~earlier], back[~earlier]
+            x, y = who.id[i], members.id[j]
+            for ids, links in ((x, members.n[j]), (y[~back], who.n[i[~back]])):
+                own, place = np.unique(ids, return_inverse=True)
+                sums = np.zeros(len(own), np.int64)
+                np.add.at(sums, place, links)
+                out["links"].append((own, sums))
+            out["pairs"].append(forest(x, y))
 
 
 def _results(out: dict) -> Iterator[pa.RecordBatch]:
-    nothing = lambda n: [pa.nulls(n, f.type) for f in _ROW]
-    names = ["a", "b", "links", *_ROW.names]
-    for a, b in out["pairs"]:
+    for kind, name, other in (("pairs", "b", "links"), ("links", "links", "b")):
+        a, x = (np.concatenate([np.empty(0, np.int64), *(p[i] for p in out[kind])]) for i in (0, 1))
         if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64()), *nothing(len(a))], names=names)
-    for a, n in out["links"]:
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.nulls(len(a), pa.int64()), pa.array(n), *nothing(len(a))], names=names)
-
+            columns = {"a": (pa.int64(), a), name: (pa.int64(), x), other: (pa.int64(), [None] * len(a))}
+            yield output({c: columns[c] for c in ("a", "b", "links")})
 
-def _runs(batches: Iterator[pa.RecordBatch], rows_at_most: int | None) -> Iterator[tuple[pa.Table, bool, bool]]:
-    """Tables of the rows of one key each, which come together: (rows, whether they are the key's first, whether all).
 
-    A key with more than ``rows_at_most`` rows comes in several tables.
-    """
-    held: list[pa.RecordBatch] = []
-    key, count, first = None, 0, True
+def _runs(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """(values of the columns, rows) for stretches of rows that agree on them; a long one comes in several."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = batch.column(0).to_numpy()
-        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True):
-            if key is not None and keys[lo] != key:
-                if held:
-                    yield pa.Table.from_batches(held), first, first
-                held, count, first = [], 0, True
-            key = keys[lo]
-            held.append(batch.slice(lo, hi - lo))
-            count += hi - lo
-            if rows_at_most is not None and count > rows_at_most:
-                yield pa.Table.from_batches(held), first, False
-                held, count, first = [], 0, False
-    if held:
-        yield pa.Table.from_batches(held), first, first
-
-
-def _compare(tables: int, least: float, cell_rows: int):
-    """Compares the rows of each key; those of a key with too many come out as they are."""
+        keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
+        new = np.zeros(batch.num_rows, bool)
+        new[0] = True
+        for k in keys:
+            new[1:] |= k[1:] != k[:-1]
+        starts = np.flatnonzero(new)
+        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows], strict=True):
+            yield tuple(int(k[lo]) for k in keys), batch.slice(lo, hi - lo)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, _, whole in _runs(batches, cell_rows):
-            if not whole:
-                none = pa.nulls(len(rows), pa.int64())
-                for b in rows.to_batches():
-                    none = pa.nulls(b.num_rows, pa.int64())
-                    yield pa.RecordBatch.from_arrays([none, none, none, *b.columns], names=["a", "b", "links", *_ROW.names])
-                continue
-            members = int((rows.column("role").to_numpy() == 0).sum())
-            if not members or len(rows) < 2:
-                continue
-            out: dict = {"links": [], "pairs": []}
-            everyone = _Cell(rows, tables)
-            _meet(everyone, _Cell(rows.slice(0, members), tables), int(rows.column("t")[0].as_py()), least, out)
-            yield from _results(out)
 
-    return run
+_SENT_SQL = "key long, part int, grp long, role int, t int, cid long, copies long, vec array<float>"
 
 
-def _compare_parts(tables: int, least: float):
-    """As above for parts of large cells: a part's members come first and are kept, those that probe it stream by."""
+def _compare(tables: int, probes: int, least: float):
+    """Compares the rows of each key, part and group: its members come first and are kept, those that probe it stream by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[pa.Table] = []
+        cell, t = None, 0
+        kept: list[pa.RecordBatch] = []
+        probing: list[pa.RecordBatch] = []
         members: _Cell | None = None
-        for rows, first, _ in _runs(batches, ROWS_AT_ONCE):
-            if first:
-                kept, members = [], None
-            roles = rows.column("role").to_numpy()
-            own = int((roles == 0).sum())
-            if own:
-                kept.append(rows.slice(0, own))
-                members = None
-            if own < len(rows) and kept:
-                members = members or _Cell(pa.concat_tables(kept), tables)
-                out: dict = {"links": [], "pairs": []}
-                probing = rows.slice(own)
-                _meet(_Cell(probing, tables), members, int(rows.column("t")[0].as_py()), least, out)
-                yield from _results(out)
+
+        def judged() -> Iterator[pa.RecordBatch]:
+            nonlocal members
+            out: dict = {"links": [], "pairs": []}
+            if members is None and kept:
+                members = _Cell(pa.Table.from_batches(kept), tables, probes)
+                _meet(members, members, t, least, out)
+            if members is not None and probing:
+                _meet(_Cell(pa.Table.from_batches(probing), tables, probes), members, t, least, out)
+            probing.clear()
+            yield from _results(out)
+
+        for own, rows in _runs(batches, ["key", "part", "grp", "role", "t"]):
+            if own[:3] != cell:
+                yield from judged()
+                cell, t, members = own[:3], own[4], None
+                kept.clear()
+            (probing if own[3] else kept).append(rows)
+            if sum(r.num_rows for r in probing) >= ROWS_AT_ONCE:
+                yield from judged()
+        yield from judged()
 
     return run
 
 
-def _in_parts(rows: DataFrame, cell_rows: int) -> DataFrame:
-    """Rows of large cells, dealt out: each member to one part, and everyone as probing to all parts."""
-    members = rows.filter("role = 0").groupBy("key").agg(F.count(F.lit(1)).alias("m"))
-    parts = members.select("key", F.ceil(F.col("m") / cell_rows).cast("int").alias("parts"))
-    sized = rows.join(parts, "key")
-    mine = sized.filter("role = 0").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    probing = sized.withColumn("role", F.lit(1)).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    both = mine.select("*").unionByName(probing)
-    return both.withColumn("key", F.xxhash64("key", "part")).select(*_ROW.names)
+def _meeting(coded: DataFrame, cell_rows: int) -> DataFrame:
+    """(cid, key, t, part, role) for every class in a cell where two meet. Role 0: a member of the part; 1: one that probes it.
+
+    A cell of more members than ``cell_rows`` has several parts; each member
+    belongs to one of them and probes the others.
+    """
+    members = coded.select("cid", F.posexplode("own").alias("t", "key"))
+    size = F.size("own")
+    probing = coded.select("cid", size.alias("tables"), (F.size("probed") / size).cast("int").alias("each"), F.posexplode("probed").alias("place", "key"))
+    probing = probing.select("cid", F.floor(F.col("place") / F.col("each")).cast("int").alias("t"), "key")
+    counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
+    found = checkpointed(probing.join(counts, "key").select("cid", "t", "key", "m"))
+    alive = found.select("key", "m").union(counts.filter("m > 1").select("key", "m")).distinct()
+    parts = F.ceil(F.col("m") / cell_rows).cast("int")
+    each = F.explode(F.sequence(F.lit(0), parts - 1))
+    own = members.join(alive, "key").select("cid", "t", "key", F.pmod(F.xxhash64("cid"), parts).cast("int").alias("mine"), each.alias("part"))
+    own = own.select("cid", "t", "key", "part", (F.col("part") != F.col("mine")).cast("int").alias("role"))
+    return own.union(found.select("cid", "t", "key", each.alias("part"), F.lit(1).alias("role")))
 
 
 def link_vectors(
@@ -305,42 +272,44 @@ def link_vectors(
     zero or holds null or non-finite components links with nothing, and so does
     one with a null label or id. ``component_id`` is the smallest id that links
     reach, the vector's own included; ``kept`` tells whether that is its own, and
-    is true for a null id. Components are read as 32-bit floats. Rows that share an id and a vector count as several
-    vectors; ids should not repeat.
+    is true for a null id. Components are read as 32-bit floats. Rows that share
+    an id are vectors of their own, whether they repeat a vector or not. An empty
+    table gives no rows; other columns may have clashing names.
     """
     v = F.col("vec")
     rows = take(df, {"id": id_col, "vec": vector_col, "label": label_col}).select(F.col("id").cast("long"), F.col("vec").cast("array<float>"), "label")
     finite = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     usable = F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & finite, F.lit(False))
-    group = F.xxhash64("label", F.size(v))
-    named = rows.select("id", F.when(usable, group).alias("group"), F.when(usable, F.xxhash64(F.lit("a"), v)).alias("h0"), F.when(usable, F.xxhash64(F.lit("b"), v)).alias("h1"))
-    same = ["group", "h0", "h1"]
-    members = checkpointed(named)
-    classes = members.filter("group is not null").groupBy(*same).agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("copies"))
-    classes = checkpointed(classes)
-
-    one = rows.filter(usable).select("id", v).join(classes.select(F.col("class").alias("id"), F.col("copies").alias("n"), "group"), "id").select("id", "n", "group", "vec")
-    dealt = one.dropDuplicates(["id", "group"]).mapInArrow(_deal(tables, probes), _ROW_SQL)
-    ordered = lambda d: d.repartition("key").sortWithinPartitions("key", "role")
-    found = checkpointed(ordered(dealt).mapInArrow(_compare(tables, min_cosine, cell_rows), _FOUND_SQL))
-    large = found.filter("key is not null").select(*_ROW.names)
-    more = checkpointed(ordered(_in_parts(large, cell_rows)).mapInArrow(_compare_parts(tables, min_cosine), _FOUND_SQL))
-    results = found.filter("key is null").select("a", "b", "links").union(more.select("a", "b", "links"))
-
-    links = results.filter("links is not null").groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("links"))
-    roots = connected_components(results.filter("b is not null").select("a", "b"))
-    classes = classes.join(links, "class", "left").join(roots.withColumnRenamed("node", "class"), "class", "left")
-    classes = classes.select(*same, (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "class").alias("component_id"))
-    out = members.join(classes, same, "left")
-    own = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(True)).alias("kept"))
+    named = rows.select("id", "vec", usable.alias("usable"), F.xxhash64("label", F.size(v)).alias("grp"), F.xxhash64(F.lit("a"), v).alias("h0"), F.xxhash64(F.lit("b"), v).alias("h1"))
+    same = ["grp", "h0", "h1"]
+    classes = named.filter("usable").groupBy(*same).agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.any_value("vec").alias("vec"))
+    classes = checkpointed(classes.withColumn("cid", F.monotonically_increasing_id()))  # the numbers stay once they are written
+
+    coded = checkpointed(classes.select("cid", "grp", "vec").mapInArrow(_coded(tables, probes), "cid long, own array<long>, probed array<long>"))
+    sent = _meeting(coded, cell_rows).join(classes.select("cid", "grp", "copies", "vec"), "cid").select("key", "part", "grp", "role", "t", "cid", "copies", "vec")
+    order = ["key", "part", "grp", "role"]
+    results = sent.repartition("key", "part").sortWithinPartitions(*order).mapInArrow(_compare(tables, probes, min_cosine), "a long, b long, links long")
+    results = checkpointed(results.filter("b is not null or links is not null"))
+
+    links = results.filter("links is not null").groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links"))
+    roots = connected_components(results.filter("b is not null").select("a", "b")).withColumnRenamed("node", "cid")
+    slim = classes.select("cid", *same, "least", "copies")
+    connected = slim.select("cid", "least").join(roots, "cid")
+    least = connected.groupBy("root").agg(F.min("least").alias("component_id"))
+    component = connected.select("cid", "root").join(least, "root").select("cid", "component_id")
+    linked = slim.join(links, "cid", "left").join(component, "cid", "left")
+    linked = linked.select(*same, (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
+    known = named.filter("usable").select("id", *same).join(linked, same).select("id", "n_links", "component_id")
+    out = known.union(named.filter("not usable").select("id", F.lit(0).cast("long"), "id"))
+    return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def link_vectors_sql() -> str:
     """DuckDB SQL: all pairs of a label, and the smallest id that each vector reaches."""
-    return f"""with recursive v as (select vec_id, label, embedding::double[] as e from embeddings
+    return f"""with recursive n as (select vec_id, embedding, label, row_number() over () as i from embeddings),
+v as (select i, label, embedding::double[] as e from n
   where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
-l as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= {MIN_COSINE!r}),
-r(a, b) as (select vec_id, vec_id from embeddings union select r.a, l.b from r join l on r.b = l.a),
-c as (select a, min(b) as component_id from r group by 1), n as (select a, count(*) as n_links from l group by 1)
-select vec_id, coalesce(n_links, 0) as n_links, component_id, vec_id = component_id as kept from embeddings join c on c.a = vec_id left join n on n.a = vec_id"""
+l as (select a.i as a, b.i as b from v a join v b on a.label = b.label and a.i <> b.i and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= {MIN_COSINE!r}),
+r(a, b) as (select i, i from n union select r.a, l.b from r join l on r.b = l.a),
+c as (select a, min(vec_id) as component_id from r join n on n.i = b group by 1), k as (select a, count(*) as n_links from l group by 1)
+select vec_id, coalesce(n_links, 0) as n_links, component_id, coalesce(vec_id = component_id, true) as kept from n join c on c.a = i left join k on k.a = i"""

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graniteq.llm.common import LOWER, UPPER, checkpointed, hex64, output, take
-from graniteq.llm.components import connected_components
+from graniteq.llm.components import connected_components, forest
 
 SHINGLE_WORDS = 3
 HASH_SEED = 42
@@ -167,24 +167,6 @@ def trie_links(v: np.ndarray, starts: np.ndarray, width: int, budget: int, tally
     return forest(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
 
-def forest(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Stars that connect what the links (x, y) connect."""
-    nodes, at = np.unique(np.concatenate([x, y]), return_inverse=True)
-    i, j = at[: len(x)], at[len(x) :]
-    label = np.arange(len(nodes))
-    while True:
-        low = label.copy()
-        both = np.minimum(label[i], label[j])
-        for k in (i, j, label[i], label[j]):
-            np.minimum.at(low, k, both)
-        low = low[low]
-        if (low == label).all():
-            break
-        label = low
-    own = np.flatnonzero(label != np.arange(len(nodes)))
-    return nodes[own], nodes[label[own]]
-
-
 def _walk(width: int):
     """Walks the tries of keys, whose rows come together and sorted by rest; emits links (a, b)."""
 
