@@ -35,6 +35,8 @@ CELL = 2.0  # side of the lattice, in standard deviations of a projected unit ve
 SEED = 17
 CELL_ROWS = 16384  # a cell with more classes is dealt out
 ROWS_AT_ONCE = 1024
+SMALL_ROWS = 8192  # of cells that are compared together
+PAIRS_AT_ONCE = 1 << 15
 
 _POINTS = 2  # of a cell
 
@@ -138,10 +140,11 @@ def _coded(tables: int, probes: int):
     return run
 
 
-class _Cell:
-    """Rows of one cell as arrays; their codes are made for those that are asked."""
+class _Rows:
+    """Rows as arrays; the codes of their cells are made for those that are asked."""
 
-    def __init__(self, rows: pa.Table, tables: int, probes: int):
+    def __init__(self, batches: list[pa.RecordBatch], tables: int, probes: int):
+        rows = pa.Table.from_batches(batches)
         self.id, self.n = rows.column("cid").to_numpy(), rows.column("copies").to_numpy()
         self.unit = unit(_matrix(rows.column("vec").combine_chunks()))
         self.tables, self.probes = tables, probes
@@ -151,29 +154,57 @@ class _Cell:
         return cells(self.unit[rows], self.tables, self.probes)[back]
 
 
-def _meet(who: _Cell, members: _Cell, t: int, least: float, out: dict) -> None:
-    """Adds what ``who`` finds among ``members`` of a cell to ``out``: sums of links, and links that connect."""
+def _count(who: _Rows, members: _Rows, i: np.ndarray, j: np.ndarray, t: np.ndarray | int, out: dict) -> None:
+    """Adds the links between ``who[i]`` and ``members[j]``, met in the cells of table ``t``, to ``out``: sums, and links that connect."""
+    apart = who.id[i] != members.id[j]
+    i, j, t = i[apart], j[apart], np.broadcast_to(t, len(apart))[apart]
+    for lo in range(0, len(i), PAIRS_AT_ONCE):
+        part = slice(lo, lo + PAIRS_AT_ONCE)
+        x, y, table = i[part], j[part], t[part]
+        a, b = who.codes(x), members.codes(y)
+        earlier = np.zeros(len(x), bool)
+        for e in range(int(table.max())):
+            earlier |= (table > e) & ((a[:, e] == b[:, e, :1]).any(1) | (b[:, e] == a[:, e, :1]).any(1))
+        row = np.arange(len(x))
+        back = (b[row, table] == a[row, table, :1]).any(1)  # then the other one finds this one in its own cell
+        x, y, back = x[~earlier], y[~earlier], back[~earlier]
+        if not len(x):
+            continue
+        first, second = who.id[x], members.id[y]
+        for ids, links in ((first, members.n[y]), (second[~back], who.n[x[~back]])):
+            own, place = np.unique(ids, return_inverse=True)
+            sums = np.zeros(len(own), np.int64)
+            np.add.at(sums, place, links)
+            out["links"].append((own, sums))
+        out["pairs"].append(forest(first, second))
+
+
+def _meet(who: _Rows, members: _Rows, t: int, least: float, out: dict) -> None:
+    """All of ``who`` against all members of one cell, block by block."""
     for lo in range(0, len(who.id), ROWS_AT_ONCE):
         for at in range(0, len(members.id), ROWS_AT_ONCE):
             i, j = np.nonzero(who.unit[lo : lo + ROWS_AT_ONCE] @ members.unit[at : at + ROWS_AT_ONCE].T >= least)
-            i, j = i + lo, j + at
-            apart = who.id[i] != members.id[j]
-            i, j = i[apart], j[apart]
-            if not len(i):
-                continue
-            a, b = who.codes(i), members.codes(j)
-            earlier = np.zeros(len(i), bool)
-            for e in range(t):
-                earlier |= (a[:, e] == b[:, e, :1]).any(1) | (b[:, e] == a[:, e, :1]).any(1)
-            back = (b[:, t] == a[:, t, :1]).any(1)  # then the other one finds this one in its own cell
-            i, j, back = i[~earlier], j[~earlier], back[~earlier]
-            x, y = who.id[i], members.id[j]
-            for ids, links in ((x, members.n[j]), (y[~back], who.n[i[~back]])):
-                own, place = np.unique(ids, return_inverse=True)
-                sums = np.zeros(len(own), np.int64)
-                np.add.at(sums, place, links)
-                out["links"].append((own, sums))
-            out["pairs"].append(forest(x, y))
+            if len(i):
+                _count(who, members, i + lo, j + at, t, out)
+
+
+def _meet_in_cells(rows: _Rows, starts: np.ndarray, members: np.ndarray, t: np.ndarray, least: float, out: dict) -> None:
+    """Each row against the members of its own small cell, which stand first in it; many cells at once."""
+    sizes = np.diff(np.r_[starts, len(rows.id)])
+    each = np.repeat(members, sizes)  # whom each row meets
+    first = np.repeat(starts, sizes)
+    ends = np.cumsum(each)
+    lo = 0
+    while lo < len(each):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS_AT_ONCE)))
+        own = each[lo:hi]
+        i = np.repeat(np.arange(lo, hi), own)
+        j = np.repeat(first[lo:hi], own) + np.arange(len(i)) - np.repeat(np.cumsum(own) - own, own)
+        near = np.einsum("ij,ij->i", rows.unit[i], rows.unit[j]) >= least
+        if near.any():
+            i, j = i[near], j[near]
+            _count(rows, rows, i, j, np.repeat(t, sizes)[i], out)
+        lo = hi
 
 
 def _results(out: dict) -> Iterator[pa.RecordBatch]:
@@ -206,31 +237,62 @@ def _compare(tables: int, probes: int, least: float):
     """Compares the rows of each key, part and group: its members come first and are kept, those that probe it stream by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, t = None, 0
-        kept: list[pa.RecordBatch] = []
+        key: tuple | None = None
+        t, cell_rows = 0, 0
+        kept: list[pa.RecordBatch] = []  # of the cell that is being read
         probing: list[pa.RecordBatch] = []
-        members: _Cell | None = None
+        members: _Rows | None = None
+        small: list[tuple[list[pa.RecordBatch], int, int, int]] = []  # cells: rows, how many, members, table
+        small_rows = 0
 
-        def judged() -> Iterator[pa.RecordBatch]:
+        def large() -> Iterator[pa.RecordBatch]:
+            """Judges what has been read of a cell that isn't small."""
             nonlocal members
             out: dict = {"links": [], "pairs": []}
             if members is None and kept:
-                members = _Cell(pa.Table.from_batches(kept), tables, probes)
+                members = _Rows(kept, tables, probes)
                 _meet(members, members, t, least, out)
             if members is not None and probing:
-                _meet(_Cell(pa.Table.from_batches(probing), tables, probes), members, t, least, out)
+                _meet(_Rows(probing, tables, probes), members, t, least, out)
             probing.clear()
             yield from _results(out)
 
+        def together() -> Iterator[pa.RecordBatch]:
+            """Judges the small cells that are held, those of one length of vectors at a time."""
+            nonlocal small_rows
+            by_length: dict[int, list] = {}
+            for c in small:
+                by_length.setdefault(len(c[0][0].column("vec")[0]), []).append(c)
+            for own in by_length.values():
+                out: dict = {"links": [], "pairs": []}
+                sizes = np.array([c[1] for c in own])
+                rows = _Rows([b for c in own for b in c[0]], tables, probes)
+                _meet_in_cells(rows, np.cumsum(sizes) - sizes, np.array([c[2] for c in own]), np.array([c[3] for c in own]), least, out)
+                yield from _results(out)
+            small.clear()
+            small_rows = 0
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            nonlocal small_rows
+            if members is not None or cell_rows > ROWS_AT_ONCE:
+                yield from large()
+            elif kept and cell_rows > 1:
+                small.append(([*kept, *probing], cell_rows, sum(b.num_rows for b in kept), t))
+                small_rows += cell_rows
+                if small_rows >= SMALL_ROWS:
+                    yield from together()
+
         for own, rows in _runs(batches, ["key", "part", "grp", "role", "t"]):
-            if own[:3] != cell:
-                yield from judged()
-                cell, t, members = own[:3], own[4], None
-                kept.clear()
+            if own[:3] != key:
+                yield from closed()
+                key, t, members, cell_rows = own[:3], own[4], None, 0
+                kept, probing = [], []
             (probing if own[3] else kept).append(rows)
+            cell_rows += rows.num_rows
             if sum(r.num_rows for r in probing) >= ROWS_AT_ONCE:
-                yield from judged()
-        yield from judged()
+                yield from large()
+        yield from closed()
+        yield from together()
 
     return run
 
