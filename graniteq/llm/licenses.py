@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graniteq.llm.common import take
+from graniteq.llm.license_rules import NAMES, NOTICES, TEXTS
 from graniteq.llm.native import blocks_of_spans, let, running_totals, words_of
 
 
@@ -109,27 +110,6 @@ LICENSES = {
     "zpl-2.1": ("zpl 2 1", "zope public license( version| v)?( 2 1)?", "zope"),
 }
 
-#: label, words of which the pattern has one, pattern: wording of the licenses' own texts and of notices
-WORDING = (
-    ("mit", "permission", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("mit", "permission", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
-    ("isc", "permission", "permission to use copy modify and( or)? distribute this software for any purpose with or without fee is hereby granted"),
-    ("bsd-2-clause", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("bsd-3-clause", "endorse", "neither the name of( [^ ]+){1,30} may be used to endorse or promote products"),
-    ("bsd-4-clause", "advertising", "all advertising materials mentioning features or use of this software must display"),
-    ("apache-2.0", "compliance", "you may not use this file except in compliance with the license"),
-    ("apache-2.0", "apache", "apache org licenses license 2 0"),
-    ("gpl-2.0", "option", "either version 2 of the license or at your option any later version"),
-    ("gpl-3.0", "option", "either version 3 of the license or at your option any later version"),
-    ("mpl-2.0", "mozilla", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("bsl-1.0", "boost", "distributed under the boost software license version 1 0"),
-    ("unlicense", "domain", "this is free and unencumbered software released into the public domain"),
-    ("zlib", "damages", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages"),
-    ("public-domain", "domain", "(dedicated|released|placed|donated|contributed) (in( )?to|in) the public domain"),
-    ("proprietary", "rights", "all rights reserved"),
-    ("proprietary", "confidential", "(proprietary and confidential|confidential and proprietary)"),
-)
-
 #: Phrases that are counted wherever their words stand.
 BASE = (("mit", "mit license"), ("apache", "apache license"), ("gpl", "general public license"))
 
@@ -143,8 +123,17 @@ def _over_words(pattern: str) -> str:
     return f" {pattern.replace(' ', '  ')} "
 
 
+def _written(text: str, priority: int, weight: float) -> list[Rule]:
+    lines = [line.split(" | ") for line in text.strip().splitlines()]
+    return [Rule(label, tuple(words.split()), _over_words(pattern), priority, weight) for label, words, pattern in lines]
+
+
 def rules() -> list[Rule]:
-    """All rules in order; each license's name and identifier make its rules for mentions, grants and links."""
+    """All rules in order: base phrases, those that identifiers and names of licenses make, and the written ones.
+
+    A text's own wording and an identifier outrank a grant, a grant outranks a
+    name, and a name outranks a notice.
+    """
     found = [Rule(label, ("license",), _over_words(p), 0, 0.5, True) for label, p in BASE]
     for label, (ident, name, words) in LICENSES.items():
         own = tuple(words.split())
@@ -154,17 +143,12 @@ def rules() -> list[Rule]:
             Rule(label, own, _over_words(f"{_GRANT} {name}( licen[cs]e)?"), 3, 0.9),
             Rule(label, own, _over_words(f"(the )?{name}( licen[cs]e)" + "?" * ("licen" in name)), 2, 0.7),
         ]
-    return found + [Rule(label, tuple(words.split()), _over_words(p), 4, 0.95) for label, words, p in WORDING]
+    return found + _written(TEXTS, 4, 0.95) + _written(NAMES, 2, 0.7) + _written(NOTICES, 1, 0.6)
 
 
 RULES = rules()
 KEYWORDS = tuple(sorted({k for r in RULES for k in r.keywords}))
 
-#: The SQL looks only at texts that hold one of these. Rules match texts without them too, such as "GPLv3".
-SQL_GATE = tuple(
-    "licen released distributed available published provided offered covered spdx advertising apache boost confidential damages domain endorse mozilla permission redistribute redistribution rights".split()
-)
-
 
 def _rule_array() -> Column:
     rows = [{"label": r.label, "keywords": r.keywords, "pattern": r.pattern, "priority": r.priority, "weight": r.weight, "base": r.base, "rule": i} for i, r in enumerate(RULES)]
@@ -203,20 +187,23 @@ def detect(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = (), in
 
     A detection has start and end (words from 0, end exclusive), label, priority,
     weight, base (whether its rule is a base phrase), rule (its number) and
-    suppressed. A null text is empty. Repeated rows are scanned each.
+    suppressed. A null text is empty, and a text of any length is read whole; of
+    detections that tie, the rule that comes first suppresses the other. Repeated
+    rows are scanned each, and an empty table gives no rows.
     """
     if {into, "n_words"} & set(keep):
         raise ValueError(f"a kept column is named {into!r} or 'n_words'")
     # Lowering beyond A to Z neither adds nor removes words, and no phrase holds such letters.
     rows = take(df, {**{c: c for c in keep}, "__text": text_col}).withColumn("__text", F.lower(F.coalesce("__text", F.lit(""))))
     rows = rows.select(*[F.col(f"`{c}`") for c in keep], words_of(F.col("__text")).alias("__words"))
+    rows = rows.withColumn("__keys", F.array_intersect("__words", F.array(*map(F.lit, KEYWORDS))))
+
+    def found(spaced: Column) -> Column:
+        asked = F.filter(_rule_array(), lambda r: F.exists(r["keywords"], lambda k: F.array_contains(F.col("__keys"), k)) & F.rlike(spaced, r["pattern"]))
+        return F.flatten(F.transform(asked, lambda r: _detections(spaced, r)))
+
     spaced = F.concat(F.lit(" "), F.array_join("__words", "  "), F.lit(" "))
-    rows = rows.select(*[F.col(f"`{c}`") for c in keep], F.size("__words").cast("long").alias("n_words"), spaced.alias("__spaced"))
-    keys = F.filter(F.array(*map(F.lit, KEYWORDS)), lambda k: F.contains(F.col("__spaced"), F.concat(F.lit(" "), k, F.lit(" "))))
-    rows = rows.withColumn("__keys", keys)
-    asked = F.filter(_rule_array(), lambda r: F.exists(r["keywords"], lambda k: F.array_contains(F.col("__keys"), k)) & F.rlike(F.col("__spaced"), r["pattern"]))
-    found = F.flatten(F.transform(asked, lambda r: _detections(F.col("__spaced"), r)))
-    rows = rows.withColumn("__found", F.when(F.size("__keys") > 0, found))
+    rows = rows.select(*[F.col(f"`{c}`") for c in keep], F.size("__words").cast("long").alias("n_words"), F.when(F.size("__keys") > 0, let(spaced, found)).alias("__found"))
     judged = let(blocks_of_spans(F.col("__found")), lambda blocks: F.transform("__found", lambda d: d.withField("suppressed", _suppressed(d, blocks))))
     none = F.array().cast("array<struct<start: bigint, end: bigint, label: string, priority: int, weight: double, base: boolean, rule: int, suppressed: boolean>>")
     return rows.select(*[F.col(f"`{c}`") for c in keep], "n_words", F.coalesce(judged, none).alias(into))
@@ -229,6 +216,7 @@ def _labels(detections: Column) -> Column:
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row: id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
+    Null ids are kept; other columns may have clashing names.
     ``labels`` are those of base phrases and of detections that aren't
     suppressed; the score is the greatest weight among these, or 0.
     """
@@ -253,8 +241,8 @@ def digests_sql() -> str:
     words = lambda x: f"((length({x}) - length(replace({x}, ' ', ''))) // 2)::bigint"
     total = lambda x: f"coalesce(list_sum(list_transform({x}, lambda y: {words('y')})), 0)::bigint"
     return f"""with r(rule, label, pattern, priority, weight, base) as (values {values}),
-d as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w, lower(coalesce(text, '')) as t from documents),
-s as (select doc_id, ' ' || array_to_string(w, '  ') || ' ' as spaced from d where regexp_matches(t, '{'|'.join(SQL_GATE)}')),
+d as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+s as (select doc_id, ' ' || array_to_string(w, '  ') || ' ' as spaced from d),
 m as (select doc_id, rule, string_split_regex(spaced, pattern) as gaps, regexp_extract_all(spaced, pattern) as hits from s, r where regexp_matches(spaced, pattern)),
 e as (select doc_id, rule, gaps, hits, unnest(range(1, len(hits) + 1)) as i from m),
 p as (select doc_id, rule, {total('gaps[1:i]')} + {total('hits[1:i-1]')} as start, {words('hits[i]')} as n from e),
