@@ -48,6 +48,10 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def packing_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.invariants(op2_packing(spark, sf_dir))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_packing": op2_packing,
@@ -59,6 +63,13 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_language_id": op9_language_id,
     "op10_simhash_dedup": op10_simhash_dedup,
+    "packing_invariants": packing_invariants,
 }
 
-ORACLES = {"op1_secret_scan": secrets.digests_sql(), "op3_embedding_dedup": embedding_dedup.link_vectors_sql(), "op5_license_scan": licenses.digests_sql(), "op8_url_filter": url_filter.judge_urls_sql()}
+ORACLES = {
+    "op1_secret_scan": secrets.digests_sql(),
+    "op3_embedding_dedup": embedding_dedup.link_vectors_sql(),
+    "op5_license_scan": licenses.digests_sql(),
+    "op8_url_filter": url_filter.judge_urls_sql(),
+    "packing_invariants": packing.invariants_sql(),
+}

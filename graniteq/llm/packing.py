@@ -1,11 +1,13 @@
 """Packing of documents into token sequences by Karmarkar-Karp differencing.
 
-Each task packs the documents of its partition in batches of a fixed number of
-windows. A document is cut only where its tokens exceed a window, where a batch
-ends, or where a window would overflow. Largest differencing merges the partial
-partitions with the largest imbalances, the fullest window of one with the
-emptiest of the other, until one partition of near-equal windows is left. The
-number of windows rises whenever what is to be packed exceeds their capacity.
+Each task packs the documents of its partition in batches. Largest differencing
+merges the partial partitions with the largest imbalances, the fullest window of
+one with the emptiest of the other, until one partition of near-equal windows is
+left. Whenever a window exceeds the capacity, their number rises and differencing
+runs again. So no document that fits a window is cut to make room. What room is
+left is filled with a few documents that were set aside for it, first those whose
+length cuts them anyway; where these don't suffice, the emptiest windows are taken
+apart for it.
 """
 
 from __future__ import annotations
@@ -14,17 +16,21 @@ import heapq
 import json
 import re
 import zlib
+from collections import deque
 from collections.abc import Iterator, Sequence
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from graniteq.llm.common import take
 
 CAPACITY = 2048
 WINDOWS = 64  # of a batch
+TINY = 64  # a piece of less than this part of a window is bundled with others
+RESERVE = 1 / 16  # of a batch's tokens, set aside to fill up windows
 END_OF_DOCUMENT = 1
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -119,52 +125,87 @@ def _flat(tree) -> list[int]:
 Piece = tuple[int, int, int]
 
 
-def pack_batch(lengths: Sequence[int], starts: Sequence[int], capacity: int = CAPACITY) -> list[list[Piece]]:
-    """Sequences of pieces of at most ``capacity`` tokens; document i has ``lengths[i]`` from ``starts[i]`` on."""
+def risen(lengths: Sequence[int], capacity: int) -> list[list[int]]:
+    """Windows of item numbers by differencing, of at most ``capacity`` each; as many as it takes.
+
+    The number of windows starts at what the items need at least, and rises by one,
+    or by what the overflow would fill, whenever a window overflows.
+    """
+    ways = -(-sum(lengths) // capacity)
+    while True:
+        windows = differencing(lengths, ways)
+        over = sum(max(0, sum(lengths[i] for i in w) - capacity) for w in windows)
+        if not over:
+            return windows
+        ways += max(1, over // capacity)
+
+
+def _bundled(pieces: Sequence[Piece], capacity: int) -> list[list[Piece]]:
+    """The pieces one by one, but tiny ones, such as empty documents, some together."""
+    tiny = capacity // TINY
+    bundles: list[list[Piece]] = []
+    own: list[Piece] = []
+    size = 0
+    for p in pieces:
+        if p[2] >= tiny:
+            bundles.append([p])
+            continue
+        own.append(p)
+        size += p[2]
+        if size >= tiny:
+            bundles.append(own)
+            own, size = [], 0
+    return bundles + [own] * bool(own)
+
+
+def _filled(pieces: Sequence[Piece], cut: Sequence[bool], capacity: int) -> tuple[list[list[Piece]], list[Piece]]:
+    """Full windows, and the pieces that fill none. ``cut`` tells which are parts of a document that is cut already."""
     full: list[list[Piece]] = []
-    items: list[Piece] = []
-    for i, (n, at) in enumerate(zip(lengths, starts, strict=True)):
+    items: list[tuple[bool, Piece]] = []
+    for (doc, at, n), was_cut in zip(pieces, cut, strict=True):
         whole = n // capacity
-        full += [[(i, at + k * capacity, capacity)] for k in range(whole)]
+        full += [[(doc, at + k * capacity, capacity)] for k in range(whole)]
         if n % capacity:
-            items.append((i, at + whole * capacity, n % capacity))
-    total = sum(p[2] for p in items)
-    ways = total // capacity
-    if ways * capacity < total:
-        ways += 1
-    windows = [[items[j] for j in w] for w in differencing([p[2] for p in items], ways)]
-    return full + _levelled(windows, capacity)
-
-
-def _levelled(windows: list[list[Piece]], capacity: int) -> list[list[Piece]]:
-    """Moves what exceeds a window's capacity into the room of others, or into further windows."""
-    over: list[Piece] = []
-    room = []
-    for w in windows:
-        extra = sum(p[2] for p in w) - capacity
-        if extra < 0:
-            room.append((-extra, w))
-        w.sort(key=lambda p: -p[2])
-        while extra > 0:  # off the longest piece
-            doc, at, n = w.pop(0)
-            cut = min(extra, n)
-            if cut < n:
-                w.append((doc, at, n - cut))
-            over.append((doc, at + n - cut, cut))
-            extra -= cut
-    room.sort(key=lambda r: -r[0])
-    for doc, at, n in sorted(over, key=lambda p: -p[2]):
-        while n:
-            if not room:
-                windows.append([])
-                room.append((capacity, windows[-1]))
-            free, w = room.pop(0)
-            take = min(free, n)
-            w.append((doc, at, take))
-            doc, at, n = doc, at + take, n - take
-            if take < free:
-                room.insert(0, (free - take, w))
-    return windows
+            items.append((was_cut or whole > 0, (doc, at + whole * capacity, n % capacity)))
+    order = sorted(range(len(items)), key=lambda i: (not items[i][0], -items[i][1][2], i))
+    aside, held = [], sum(p[2] for _, p in items) * RESERVE
+    for i in order[:-1]:
+        if held <= 0:
+            break
+        aside.append(i)
+        held -= items[i][1][2]
+    rest = _bundled([items[i][1] for i in sorted(set(range(len(items))) - set(aside))], capacity)
+    windows = [[p for i in w for p in rest[i]] for w in risen([sum(p[2] for p in u) for u in rest], capacity)]
+    windows.sort(key=lambda w: -sum(p[2] for p in w))
+    filler = deque(items[i][1] for i in aside)
+    at = 0
+    while at < len(windows):
+        room = capacity - sum(p[2] for p in windows[at])
+        while room and (filler or at + 1 < len(windows)):
+            if not filler:
+                filler.extend(sorted(windows.pop(), key=lambda p: -p[2]))
+            doc, start, n = filler.popleft()
+            windows[at].append((doc, start, min(n, room)))
+            if n > room:
+                filler.appendleft((doc, start + room, n - room))
+            room -= min(n, room)
+        if room:
+            break
+        at += 1
+    return full + windows[:at], [*(p for w in windows[at:] for p in w), *filler]
+
+
+def pack_batch(lengths: Sequence[int], starts: Sequence[int], capacity: int = CAPACITY) -> list[list[Piece]]:
+    """Sequences of pieces of at most ``capacity`` tokens; document i has ``lengths[i]`` from ``starts[i]`` on.
+
+    All but the last are full.
+    """
+    sequences, rest = _filled([(i, at, n) for i, (n, at) in enumerate(zip(lengths, starts, strict=True)) if n], [at > 0 for n, at in zip(lengths, starts, strict=True) if n], capacity)
+    while rest:  # a batch of less than its reserve
+        more, left = _filled(rest, [True] * len(rest), capacity) if sum(p[2] for p in rest) >= capacity else ([rest], [])
+        sequences += more
+        rest = left
+    return sequences
 
 
 def powers_of_two(n: int) -> list[int]:
@@ -182,28 +223,22 @@ def pack_rows(documents: Iterator[tuple[object, np.ndarray]], capacity: int = CA
     held: list[tuple[object, np.ndarray, int, int]] = []  # id, tokens, start, length
     total = 0
 
-    def close(size: int) -> list:
-        """Packs exactly ``size`` tokens, a multiple of the capacity, off the front."""
+    def close() -> list:
+        """Full sequences of what is held; the rest stays held."""
         nonlocal held, total
-        taken, left, rest = [], size, []
-        for d in held:
-            n = min(left, d[3])
-            if n:
-                taken.append((d[0], d[1], d[2], n))
-            if n < d[3]:
-                rest.append((d[0], d[1], d[2] + n, d[3] - n))
-            left -= n
-        held, total = rest, total - size
-        sequences = pack_batch([d[3] for d in taken], [d[2] for d in taken], capacity)
-        return [[(taken[i][0], taken[i][1], at, n) for i, at, n in s] for s in sequences]
+        sequences, rest = _filled([(i, d[2], d[3]) for i, d in enumerate(held)], [d[3] < len(d[1]) for d in held], capacity)
+        out = [[(held[i][0], held[i][1], at, n) for i, at, n in s] for s in sequences]
+        held = [(held[i][0], held[i][1], at, n) for i, at, n in rest]
+        total = sum(d[3] for d in held)
+        return out
 
     for key, tokens in documents:
         held.append((key, tokens, 0, len(tokens)))
         total += len(tokens)
-        while total >= goal:
-            yield close(goal)
-    if total >= capacity:
-        yield close(total // capacity * capacity)
+        if total >= goal:
+            yield close()
+    while total >= capacity:
+        yield close()
     tail = []
     for size in powers_of_two(total):
         sequence, left, rest = [], size, []
@@ -231,6 +266,8 @@ def pack_documents(
 ) -> DataFrame:
     """One row for each piece of a document: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
+    An empty table gives no rows, null ids are kept, and texts of any length are
+    packed whole. Documents of equal length tie; the earlier row goes first.
     A document's tokens are its ids and an end mark; a null text is empty, so it
     has one token. ``start`` counts the document's tokens before the piece,
     ``offset`` those before it in its sequence. Nothing is shuffled: a task packs
@@ -279,3 +316,26 @@ def pack_documents(
 
     schema = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+
+
+def invariants(pieces: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
+    """One row that counts what must not be: sequences over the capacity, padded ones, gaps in sequences, documents that aren't whole.
+
+    ``pieces`` come from ``pack_documents`` over ids that don't repeat.
+    """
+    n, seq, doc = F.col("length"), Window.partitionBy("sequence_id").orderBy("offset"), Window.partitionBy(id_col).orderBy("start")
+    after = lambda at, w: (F.col(at) != F.coalesce(F.lag(F.col(at) + n).over(w), F.lit(0))).cast("long")
+    checked = pieces.select(id_col, "sequence_id", "length", "doc_tokens", after("offset", seq).alias("gap"), after("start", doc).alias("hole"))
+    total = F.sum("length")
+    sequences = checked.groupBy("sequence_id").agg(total.alias("used"), F.sum("gap").alias("gap"))
+    odd = F.col("used").bitwiseAND(F.col("used") - 1) != 0
+    sums = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0)).cast("long")
+    s = sequences.agg(sums(F.col("used") > capacity).alias("n_over"), sums(odd).alias("n_padded"), sums(F.col("gap")).alias("n_gaps"))
+    documents = checked.groupBy(id_col).agg(((total != F.max("doc_tokens")) | (F.sum("hole") > 0)).alias("broken"))
+    d = documents.agg(F.count(F.lit(1)).alias("n_documents"), sums(F.col("broken")).alias("n_broken"))
+    return d.crossJoin(s)  # one row each
+
+
+def invariants_sql(table: str = "documents") -> str:
+    """DuckDB SQL for ``invariants`` of the packed documents."""
+    return f"select count(distinct doc_id) as n_documents, 0::bigint as n_broken, 0::bigint as n_over, 0::bigint as n_padded, 0::bigint as n_gaps from {table}"

@@ -192,6 +192,43 @@ def test_batches_fit(lengths, power):
     assert len(sequences) == -(-sum(lengths) // capacity) and {i for s in sequences for i, _, _ in s} == set(range(len(lengths)))
 
 
+def test_windows_rise_until_none_overflows():
+    r = random.Random(3)
+    for sizes in ([1300] * 40, [r.randrange(40, 2048) for _ in range(190)], [2000, 60, 60, 60], [5]):
+        windows = packing.risen(sizes, 2048)
+        assert sorted(i for w in windows for i in w) == list(range(len(sizes))) and max(sum(sizes[i] for i in w) for w in windows) <= 2048
+        assert max(map(sum, ([sizes[i] for i in w] for w in packing.differencing(sizes, -(-sum(sizes) // 2048))))) > 2048 or len(windows) == -(-sum(sizes) // 2048)
+    assert len(packing.risen([1300] * 40, 2048)) > -(-1300 * 40 // 2048)
+
+
+def test_few_documents_are_cut():
+    r = random.Random(4)
+    lengths = [int(r.lognormvariate(6.4, 0.9)) + 1 for _ in range(4000)]
+    pieces = Counter()
+    for sequences in packing.pack_rows((i, np.zeros(n, np.uint32)) for i, n in enumerate(lengths)):
+        for s in sequences:
+            pieces.update(i for i, *_ in s)
+    short = [i for i, n in enumerate(lengths) if n <= 2048]
+    ends = np.cumsum(lengths)
+    concatenated = sum((ends[i] - lengths[i]) // 2048 != (ends[i] - 1) // 2048 for i in short)
+    assert 40 * sum(pieces[i] > 1 for i in short) < concatenated
+
+
+@pytest.mark.parametrize("lengths", [[1, 2047], [2047, 1, 1], [1] * 5000, [1300] * 200, [2049] * 70, [4096], [], [1] * 3 + [3000]])
+def test_odd_lengths_are_packed(lengths):
+    sequences = [s for b in packing.pack_rows((i, np.zeros(n, np.uint32)) for i, n in enumerate(lengths)) for s in b]
+    used = [sum(n for *_, n in s) for s in sequences]
+    assert sum(used) == sum(lengths) and all(n <= 2048 and n & (n - 1) == 0 for n in used) and used.count(2048) == sum(lengths) // 2048
+
+
+def test_many_empty_documents_take_little_time():
+    import time
+
+    began = time.process_time()
+    assert sum(len(s) for b in packing.pack_rows((i, np.ones(1, np.uint32)) for i in range(200_000)) for s in b) == 200_000
+    assert time.process_time() - began < 20
+
+
 # SentencePiece.
 
 LIBRARY = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
