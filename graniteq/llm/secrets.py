@@ -50,10 +50,9 @@ CLASSES = (
 #: A candidate (lowered) that matches is no secret.
 ALLOWED = (
     r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|example|sample|placeholder|changeme|dummy|redacted|xxxx|0123456789|abcdefghij|"
-    r"^[a-z]+([-_/][a-z]+)*[-_/]?[0-9]{1,4}$|^([a-z0-9]+/){3,}[a-z0-9]*$|(.)\3{7,}"
+    r"^[a-z]+([-_/][a-z]+)*[-_/]?[0-9]{1,4}$|(.)\2{7,}"
 )
-#: The operator's own rule for paths, on the candidate as it stands: three words or more, none of them of mixed letters and digits. The SQL keeps the rule in ALLOWED.
-_LOWERED_PATH = r"^([a-z0-9]+/){3,}[a-z0-9]*$|"
+#: One that matches as it stands is a path: three words or more, none of them of mixed letters and digits.
 _WORD = r"([A-Z]?[a-z]+([A-Z][a-z]{2,})*[0-9]{0,4}|[0-9]{1,4})"
 ALLOWED_PATH = rf"^({_WORD}/){{3,}}{_WORD}?$"
 #: What stands right before a candidate (lowered) and explains it.
@@ -112,9 +111,9 @@ def _entropy_spans(text: Column) -> Column:
     """Stretches of high entropy in candidates that no allow-list explains."""
     hits = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
     gaps = F.split(text, CANDIDATE, -1)
-    placed = F.zip_with(_placed(gaps, hits), F.slice(gaps, F.lit(1), F.size(hits)), lambda s, g: F.struct(s["start"].alias("start"), F.right(g, F.lit(24)).alias("before")))
+    ahead = F.zip_with(F.concat(F.array(F.lit("")), hits), gaps, lambda h, g: F.right(F.concat(F.right(h, F.lit(24)), g), F.lit(24)))
+    placed = F.zip_with(_placed(gaps, hits), F.slice(ahead, F.lit(1), F.size(hits)), lambda s, b: F.struct(s["start"].alias("start"), b.alias("before")))
 
-    # An empty group takes the place of the path rule's, so that the back-reference after it holds.
     def stretch(s: Column, value: Column) -> Column:
         rank, limit, kind = F.lit(None).cast("int"), F.lit(None).cast("double"), F.lit(None).cast("string")
         for c in reversed(CLASSES):
@@ -122,7 +121,7 @@ def _entropy_spans(text: Column) -> Column:
             rank = F.when(fits, KINDS.index(c.kind)).otherwise(rank)
             limit = F.when(fits, WINDOW * (math.log2(WINDOW) - c.entropy)).otherwise(limit)
             kind = F.when(fits, c.kind).otherwise(kind)
-        allowed = F.lower(value).rlike(ALLOWED.replace(_LOWERED_PATH, "(?!)()|")) | value.rlike(ALLOWED_PATH) | F.lower(s["before"]).rlike(ALLOWED_BEFORE)
+        allowed = F.lower(value).rlike(ALLOWED) | value.rlike(ALLOWED_PATH) | F.lower(s["before"]).rlike(ALLOWED_BEFORE)
         letters = F.split(value, "", -1)
         return F.struct(
             s["start"].alias("start"), F.when(~allowed, rank).alias("rank"), kind.alias("kind"), limit.alias("max"), value.alias("value"), F.array_distinct(letters).alias("alphabet"), letters.alias("letters")
@@ -140,9 +139,14 @@ _STRETCHES = f"""transform(
         'value', substring(x.c.value, x.w.first - {WINDOW} + 1, x.w.last - x.w.first + {WINDOW})))"""
 
 
-def _meets(m: Column, blocks: Column) -> Column:
-    """Whether a span in the blocks overlaps m; only those of blocks that may hold one are compared."""
-    return F.exists(blocks, lambda b: (b["first"] < m["end"]) & (m["start"] < b["reach"]) & F.exists(b["spans"], lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"])))
+def _meets(start: Column, end: Column, blocks: Column) -> Column:
+    """Whether a span in the blocks overlaps the stretch; only those of blocks that may hold one are compared."""
+    return F.exists(blocks, lambda b: (b["first"] < end) & (start < b["reach"]) & F.exists(b["spans"], lambda s: (s["start"] < end) & (start < s["end"])))
+
+
+def _apart(m: Column, blocks: Column) -> Column:
+    """Whether the stretch's first or last window is free of the spans in the blocks."""
+    return ~_meets(m["start"], m["start"] + WINDOW, blocks) | ~_meets(m["end"] - WINDOW, m["end"], blocks)
 
 
 def scan(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = (), into: str = "secrets") -> DataFrame:
@@ -150,8 +154,10 @@ def scan(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = (), into
 
     A finding has start and end (code points, end exclusive), kind, its rank
     among the kinds, and value (what the pattern measures, or the stretch). A
-    stretch that overlaps a fixed pattern's finding is left out. A null text is
-    empty. Repeated rows are scanned each.
+    stretch whose first and last window both overlap fixed patterns' findings is
+    left out. A null text is empty; a text of any length is read whole. Findings
+    that start together are listed by kind. Repeated rows are scanned each, and an
+    empty table gives no rows.
     """
     if into in keep:
         raise ValueError(f"a kept column is named {into!r}")
@@ -159,7 +165,7 @@ def scan(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = (), into
     body = F.col("__text")
     base = F.concat(*[_found(body, pattern, group, least, kind, i) for i, (kind, (pattern, group, least)) in enumerate(PATTERNS.items())])
     rows = rows.withColumn("__base", base).withColumn("__candidates", _entropy_spans(body)).withColumn("__more", F.expr(_STRETCHES))
-    apart = let(blocks_of_spans(F.col("__base")), lambda blocks: F.filter("__more", lambda m: ~_meets(m, blocks)))
+    apart = let(blocks_of_spans(F.col("__base")), lambda blocks: F.filter("__more", lambda m: _apart(m, blocks)))
     return rows.select(*[F.col(f"`{c}`") for c in keep], F.array_sort(F.concat("__base", apart)).alias(into))
 
 
@@ -168,7 +174,10 @@ def _listed(spans: Column) -> Column:
 
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row: id, the numbers of findings by fixed pattern, base_sha256, spans, n_entropy."""
+    """One row for each row: id, the numbers of findings by fixed pattern, base_sha256, spans, n_entropy.
+
+    Null ids are kept; other columns may have clashing names.
+    """
     named = take(df, {"id": id_col, "text": text_col})
     rows = scan(named, "text", ("id",)).withColumn("base", F.filter("secrets", lambda s: s["rank"] < len(PATTERNS)))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -253,13 +262,13 @@ p as (select doc_id, rank, kind, list_sum(list_transform(gaps[1:i], lambda x: le
 base as (select doc_id, s as start, rank, s + n as stop, kind from p where m >= least),
 c as (select doc_id, string_split_regex(t, '{CANDIDATE}') as gaps, regexp_extract_all(t, '{CANDIDATE}') as hits from d where regexp_matches(t, '{CANDIDATE}')),
 ce as (select doc_id, gaps, hits, unnest(range(1, len(hits) + 1)) as i from c),
-cp as (select doc_id, hits[i] as v, right(gaps[i], 24) as before, list_sum(list_transform(gaps[1:i], lambda x: length(x)))::bigint + coalesce(list_sum(list_transform(hits[1:i-1], lambda x: length(x))), 0)::bigint as s from ce),
+cp as (select doc_id, hits[i] as v, right(coalesce(hits[i-1], '') || gaps[i], 24) as before, list_sum(list_transform(gaps[1:i], lambda x: length(x)))::bigint + coalesce(list_sum(list_transform(hits[1:i-1], lambda x: length(x))), 0)::bigint as s from ce),
 ck as (select *, {case(lambda c: KINDS.index(c.kind))} as rank, {case(lambda c: f"'{c.kind}'")} as kind, {case(lambda c: repr(c.entropy))} as least from cp
-  where not regexp_matches(lower(v), '{q(allowed)}') and not exists (select 1 from unnest(string_split('0123456789abcdefghijklmnopqrstuvwxyz+/_=-', '')) as u(x) where contains(lower(v), repeat(x, 8))) and not regexp_matches(lower(before), '{q(ALLOWED_BEFORE)}')),
+  where not regexp_matches(lower(v), '{q(allowed)}') and not regexp_matches(v, '{q(ALLOWED_PATH)}') and not exists (select 1 from unnest(string_split('0123456789abcdefghijklmnopqrstuvwxyz+/_=-', '')) as u(x) where contains(lower(v), repeat(x, 8))) and not regexp_matches(lower(before), '{q(ALLOWED_BEFORE)}')),
 cw as (select doc_id, s, rank, kind, least, v, unnest(range(1, length(v) - {WINDOW} + 2)) as w from ck where rank is not null),
 cs as (select doc_id, s, rank, kind, min(w) as lo, max(w) as hi from cw where list_entropy(string_split(substr(v, w, {WINDOW}), '')) >= least - 1e-9 group by all),
 more as (select doc_id, s + lo - 1 as start, rank, s + hi - 1 + {WINDOW} as stop, kind from cs),
-apart as (select * from more m where not exists (select 1 from base b where b.doc_id = m.doc_id and b.start < m.stop and m.start < b.stop)),
+apart as (select * from more m where not exists (select 1 from base b where b.doc_id = m.doc_id and b.start < m.start + {WINDOW} and m.start < b.stop) or not exists (select 1 from base b where b.doc_id = m.doc_id and b.start < m.stop and m.stop - {WINDOW} < b.stop)),
 al as (select * from base union all select * from apart),
 g as (select doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
   string_agg(kind || ':' || start || ':' || stop, ',' order by start, rank, stop) filter (rank < {len(PATTERNS)}) as b, string_agg(kind || ':' || start || ':' || stop, ',' order by start, rank, stop) as spans, count(*) filter (rank >= {len(PATTERNS)}) as n_entropy from al group by 1)
