@@ -1,8 +1,10 @@
 """URL filtering: host and path rules, and a weighted vocabulary.
 
 An Aho-Corasick automaton finds the vocabulary's terms in the whole URL (A-Z
-lowered). A hit counts where no letter or digit touches it on either side. One
-strict term rejects the URL, and so do two or more distinct soft terms.
+lowered). A hit counts where no letter or digit touches it on either side. A
+term has a weight, strict terms as much as two soft ones, and the distinct terms'
+weights are summed: one strict term rejects the URL, and so do two or more
+distinct soft terms.
 """
 
 from __future__ import annotations
@@ -17,17 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from graniteq.llm.common import LOWER, UPPER, take
+from graniteq.llm.url_terms import REJECT_WEIGHT, terms
 
-STRICT = (
-    "adult", "casino", "camgirls", "escort", "escorts", "hentai", "malware", "phishing", "pills", "porn",
-    "porno", "sex", "spam", "viagra", "warez", "xxx",
-)
-SOFT = (
-    "ad", "ads", "bet", "bets", "betting", "bonus", "cheap", "click", "coupon", "coupons", "deal", "deals", "discount",
-    "farm", "free", "gambling", "jackpot", "loan", "loans", "lottery", "nude", "pharma", "pharmacy", "poker", "popup",
-    "promo", "slots", "track", "tracker", "tracking", "win", "winner",
-)
-SOFT_TERMS_TO_REJECT = 2
+STRICT, SOFT = terms(2), terms(1)
+SOFT_TERMS_TO_REJECT = REJECT_WEIGHT  # as each weighs 1
 
 #: (verdict, host, path prefix)
 RULES = (
@@ -96,8 +91,10 @@ def judge_urls(
     A rule fits its host and all subdomains where the path starts with its own;
     of those that fit the longest (host and path) decides, else the vocabulary
     does. ``rules`` is a short list that becomes one expression. A null URL, or
-    one without ://, has an empty host and path, which no rule fits. Rows that
-    repeat are judged each.
+    one without ://, has an empty host and path, which no rule fits. URLs of any
+    length are searched whole; of rules that tie in length the one that comes last
+    in alphabetical order decides. Null ids are kept, rows that repeat are judged
+    each, an empty table gives no rows, and other columns may have clashing names.
     """
     strict, soft = tuple(strict), tuple(soft)
 
