@@ -71,5 +71,6 @@ ORACLES = {
     "op3_embedding_dedup": embedding_dedup.link_vectors_sql(),
     "op5_license_scan": licenses.digests_sql(),
     "op8_url_filter": url_filter.judge_urls_sql(),
+    "op9_language_id": language_id.identify_sql(),
     "packing_invariants": packing.invariants_sql(),
 }

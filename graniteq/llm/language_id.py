@@ -186,9 +186,31 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     """One row for each row: id, held_out, lang_pred, score.
 
     Profiles come from the rows that are not held out and have a language and an
-    id. A null id is not held out and teaches nothing. Repeated rows are judged
-    each.
+    id. A null id is not held out and teaches nothing. A null text, or one without a
+    letter, is ``und``; texts of any length are read whole. Languages that tie go
+    by their names. Repeated rows are judged each, an empty table gives no rows,
+    and other columns may have clashing names.
     """
     rows = take(df, {"id": id_col, "text": text_col, "lang": lang_col})
     profiles = learn_profiles(rows.filter(~held_out(F.col("id"))), "id", "text", "lang", size)
-    return predict_languages(rows, profiles, "id", "text").withColumn("held_out", held_out(F.col("id"))).withColumnRenamed("id", id_col)
+    return predict_languages(rows, profiles, "id", "text").select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "lang_pred", "score")
+
+
+def identify_sql(table: str = "documents") -> str:
+    """DuckDB SQL for ``identify``, for tables whose labelled documents all fit the sample.
+
+    Counts n-grams, ranks them, and sums the out-of-place distances as joins.
+    """
+    polynomial = 0xEDB88320
+    bits = "flatten(list_transform(string_split(doc_id::varchar, ''), lambda c: [ascii(c)::bigint, 0, 0, 0, 0, 0, 0, 0]))"
+    crc = f"xor(list_reduce(list_concat([4294967295::bigint], {bits}), lambda c, x: xor(xor(c, x) >> 1, (xor(c, x) & 1) * {polynomial}::bigint)), 4294967295::bigint)"
+    rank = "desc, length(gram), gram"
+    return f"""with d as (select row_number() over () as r, doc_id, lang, text, coalesce(doc_id is not null and {crc} % {FOLDS} = {HELD_OUT_FOLD}, false) as held_out,
+  ' ' || trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}]+', ' ', 'g')) || ' ' as t from {table}),
+z as (select r, unnest(list_zip(l, l[2:], l[3:])) as z from (select r, string_split(t, '') as l from d where length(t) > 2)),
+g as (select r, gram, count(*) as c from (select r, unnest([z[1], z[1] || z[2], z[1] || z[2] || z[3]]) as gram from z) where gram <> ' ' group by all),
+p as (select * from (select lang, gram, row_number() over (partition by lang order by sum(c) {rank}) - 1 as place from g join d using (r) where not held_out and lang is not null and doc_id is not null and text is not null group by lang, gram) where place < {PROFILE_SIZE}),
+o as (select * from (select r, gram, row_number() over (partition by r order by c {rank}) - 1 as place from g) where place < {PROFILE_SIZE}),
+s as (select r, x.lang, sum(case when p.place is null then {PROFILE_SIZE} else abs(p.place - o.place) end)::double as distance, count(*) as n from o cross join (select distinct lang from p) x left join p on p.lang = x.lang and p.gram = o.gram group by all),
+b as (select r, lang, 1.0::double - distance / ({PROFILE_SIZE} * n)::double as score from s qualify row_number() over (partition by r order by distance, lang) = 1)
+select doc_id, held_out, coalesce(b.lang, '{UNKNOWN}') as lang_pred, coalesce(score, 0)::double as score from d left join b using (r)"""
