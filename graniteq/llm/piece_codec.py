@@ -37,6 +37,10 @@ SPACE = "▁"
 REMEMBERED_CHUNKS = 500_000
 REMEMBERED_PAIRS = 400_000
 
+#: Places in one number of the bit field.
+_FIELD_BITS = 9
+_FIELD_MASK = (1 << _FIELD_BITS) - 1
+
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -210,12 +214,13 @@ class PieceModel:
         longest = [1] * n
         for end, size in self.automaton.iter(text):  # of those that start together the longest comes last
             longest[end + 1 - size] = size
-        open_places, pairs, shorter = (1 << (n + 1)) - 1, self.pairs, self.shorter
+        closed, pairs, shorter = [0] * ((n >> _FIELD_BITS) + 1), self.pairs, self.shorter  # a bit for each place from which no encoding goes on
         out: list[str] = []
         at, last, piece = 0, None, text[: longest[0]]
         while at < n:
             while True:
-                if open_places >> (at + len(piece)) & 1:
+                then = at + len(piece)
+                if not closed[then >> _FIELD_BITS] >> (then & _FIELD_MASK) & 1:
                     if last is None:
                         break
                     fits = pairs.get((last, piece))
@@ -236,7 +241,7 @@ class PieceModel:
                 if at < n:
                     piece = text[at : at + longest[at]]
             else:  # nothing may follow here: the last piece is taken back and a shorter one is tried
-                open_places &= ~(1 << at)
+                closed[at >> _FIELD_BITS] |= 1 << (at & _FIELD_MASK)
                 piece = out.pop()
                 at -= len(piece)
                 last = out[-1] if out else None
@@ -292,7 +297,12 @@ def piece_model(path: str | None = None) -> PieceModel:
 
 
 def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:
-    """One row for each row: id, and its ``ids`` as an array. A null text is empty."""
+    """One row for each row: id, and its ``ids`` as an array.
+
+    A null text is empty; texts of any length are encoded whole, in linear time.
+    Null ids are kept, repeated rows are encoded each, an empty table gives no
+    rows, and other columns may have clashing names.
+    """
     rows = take(df, {"id": id_col, "text": text_col})
     kind = rows.schema["id"].dataType.simpleString()
 
@@ -310,7 +320,8 @@ def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def round_trip_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:
     """One row for each row: id, n_tokens, ids_sha256, decoded_sha256, of the encoded and then decoded text.
 
-    A null text is empty: its ids are the begin and the end id.
+    A null text is empty: its ids are the begin and the end id. Else as
+    ``encode_documents``.
     """
     rows = take(df, {"id": id_col, "text": text_col})
     kind = rows.schema["id"].dataType.simpleString()

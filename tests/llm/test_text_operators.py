@@ -250,6 +250,21 @@ def test_pieces_equal_the_library(text):
     assert ids == LIBRARY.encode(text, add_bos=True, add_eos=True) and codec.decode(ids) == LIBRARY.decode(ids)
 
 
+def test_unbroken_texts_take_linear_time():
+    import time
+
+    codec, r = piece_codec.piece_model(), random.Random(8)
+    text = "".join(r.choices("etaoinshrdlu", k=400_000))
+    codec.pieces(text[:1000])
+    seconds = []
+    for n in (50_000, 400_000):
+        began = time.process_time()
+        assert "".join(codec.pieces(text[:n])) == text[:n]
+        seconds.append(time.process_time() - began)
+    assert seconds[1] < 16 * seconds[0]
+    assert codec.encode(text[:60_000]).tolist() == LIBRARY.encode(text[:60_000], add_bos=True, add_eos=True)
+
+
 def test_long_runs_and_foreign_bytes():
     codec = piece_codec.piece_model()
     for text in [" " * n for n in range(70)] + ["a" * 3000, "ab\n" * 3000, "x" + " " * 3001 + "the", "(.a).,!?" * 50, LONG]:
@@ -384,6 +399,40 @@ def test_profiles_rank_by_frequency_and_distance():
     assert language_id.ngram_counts(None)[0].size == 0 and language_id.Profiles({}, 2).predict("a") == ("und", 0.0)
 
 
+def plain_profiles(rows, size=1000):
+    """Ranked n-grams of each language of (text, lang), counted one by one."""
+    counts = {}
+    for text, lang in rows:
+        counts.setdefault(lang, Counter()).update(plain_ngrams(text))
+    return {lang: {g: i for i, (g, _) in enumerate(sorted(c.items(), key=lambda x: (-x[1], len(x[0]), x[0]))[:size])} for lang, c in counts.items()}
+
+
+def plain_ngrams(text):
+    words = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+    joined = f" {' '.join(words)} " if words else ""
+    return Counter(joined[i : i + n] for n in (1, 2, 3) for i in range(len(joined) - n + 1) if joined[i : i + n] != " ")
+
+
+def plain_prediction(text, profiles, size=1000):
+    """(language, score) by the out-of-place distance, rank by rank."""
+    own = [g for g, _ in sorted(plain_ngrams(text).items(), key=lambda x: (-x[1], len(x[0]), x[0]))[:size]]
+    if not own or not profiles:
+        return "und", 0.0
+    distance = {lang: sum(abs(p[g] - i) if g in p else size for i, g in enumerate(own)) for lang, p in profiles.items()}
+    best = min(sorted(distance), key=distance.get)
+    return best, 1.0 - distance[best] / (size * len(own))
+
+
+def test_predictions_equal_a_plain_out_of_place_distance(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("doc_id < 250").collect()
+    extra = [(9001, None, "en"), (9002, "12 !!", "en"), (9003, "É", None), (9004, "aab " * 3, "xx"), (None, "the of", "en")]
+    rows = [(r.doc_id, r.text, r.lang) for r in docs] + extra
+    learned = plain_profiles((t, lang) for i, t, lang in rows if i is not None and t is not None and lang is not None and zlib.crc32(str(i).encode()) % 3 != 1)
+    expected = sorted(((i, i is not None and zlib.crc32(str(i).encode()) % 3 == 1, *plain_prediction(t, learned)) for i, t, _ in rows), key=str)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 as Lang", "2 as score")
+    assert sorted(map(tuple, language_id.identify(df).collect()), key=str) == expected
+
+
 def test_long_texts_are_counted_whole(monkeypatch):
     text = "".join(random.Random(4).choices("abc d", k=5000))
     whole = language_id.ngram_counts(text)
