@@ -13,6 +13,8 @@ the block's bits, leads to all fingerprints within the radius.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,37 +96,69 @@ def within_radius(queries: DataFrame, prints: DataFrame, radius: int = RADIUS) -
     return found.groupBy(F.col("q0").alias("f0"), F.col("q1").alias("f1")).agg(F.sum("n").alias("n"))
 
 
-# The next document in descending order of id. Ids are dealt by ranges, and what crosses a range is found from the ranges' summary.
+# The next document in descending order of id. Ids are dealt by ranges; the first documents of a range also go to the range before it.
+
+RANGE_ROWS = 256
+MAX_RANGES = 1 << 16
+_SAMPLED = 8  # ids for each range
 
-_RANGE_BITS = 5  # of ids in a range
-_LEVEL_BITS = 20  # of ranges, or of the level below, in one of a level
-_LEVELS = 3  # with the ranges; the last has at most 2^21, as ranges are 61-bit numbers
-_NO_RANGE = -(1 << 60)  # the first of those of null ids, which come after all others
 
+def _constant(values: list[int]) -> Column:
+    return F.from_json(F.lit(json.dumps(values)), "array<bigint>")  # which the optimizer reads once
 
-def _range_of(id_: Column, text: Column) -> Column:
-    """The id's range; null ids are dealt out by a hash of the text."""
-    return F.coalesce(F.shiftright(id_, _RANGE_BITS), F.lit(_NO_RANGE) + F.shiftrightunsigned(F.xxhash64(text), 6))
 
+def _place(value: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are at most the value, by binary search."""
+    if not bounds:
+        return F.lit(0)
+    held = _constant(bounds)
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda lo, step: F.when(F.get(held, lo + step - 1) <= value, lo + step).otherwise(lo))
 
-def _next_ranges(ids: DataFrame) -> DataFrame:
-    """(range, next_range): the next lower range that has rows; the lowest's is the highest.
 
-    Found level by level from the top. A window holds the ranges of one number
-    of the level above, at most 2^20; the topmost at most 2^21, whatever the ids.
+class _Ranges:
+    """Ranges of ids that follow one another by descending id, then those of null ids, each with its first rows' key.
+
+    Only ids are read for them, and the texts of rows without one. The driver gets
+    at most ``MAX_RANGES`` keys and ``_SAMPLED`` sampled ids for each.
     """
-    levels = [ids.select(F.col("range").alias("own")).distinct()]
-    for _ in range(_LEVELS - 1):
-        levels.append(levels[-1].select(F.shiftright("own", _LEVEL_BITS).alias("own")).distinct())
-    falling = Window.orderBy(F.desc("own"))
-    nexts = levels.pop().select("own", F.coalesce(F.lead("own").over(falling), F.first("own").over(falling)).alias("next"))
-    for level in reversed(levels):
-        within = Window.partitionBy("parent").orderBy(F.desc("own"))
-        placed = level.withColumn("parent", F.shiftright("own", _LEVEL_BITS)).withColumn("next", F.lead("own").over(within))
-        tops = placed.groupBy("parent").agg(F.max("own").alias("top")).select(F.col("parent").alias("next"), "top")
-        after = nexts.join(tops, "next").select(F.col("own").alias("parent"), "top")
-        nexts = placed.join(after, "parent").select("own", F.coalesce("next", "top").alias("next"))
-    return nexts.select(F.col("own").alias("range"), F.col("next").alias("next_range"))
+
+    def __init__(self, rows: DataFrame):
+        ids = rows.select("id")
+        n, n_ids = ids.agg(F.count(F.lit(1)), F.count("id")).first()
+        wanted = min(MAX_RANGES, max(1, n_ids // RANGE_ROWS))
+        nth = max(1, n_ids // (wanted * _SAMPLED))
+        sample = ids.filter(F.col("id").isNotNull() & (F.pmod(F.xxhash64("id"), F.lit(nth)) == 0)).distinct().limit(2 * wanted * _SAMPLED)
+        own = sorted(r[0] for r in sample.collect()) if wanted > 1 else []
+        each = max(1, -(-len(own) // wanted))
+        self.bounds = own[each::each]
+        firsts = ids.filter("id is not null").groupBy(_place(F.col("id"), self.bounds).alias("at")).agg(F.max("id")).collect() if n_ids else []
+        self.numbers = {at: i for i, (at, _) in enumerate(sorted(firsts, reverse=True))}
+        self.firsts = [x for _, x in sorted(firsts, reverse=True)]
+        self.null_bits = min(MAX_RANGES, (n - n_ids) // RANGE_ROWS).bit_length()
+        nulls = rows.filter("id is null").groupBy(self._null_place().alias("at")).agg(F.min(F.xxhash64("text"))).collect() if n > n_ids else []
+        self.null_places = sorted(at for at, _ in nulls)
+        self.null_firsts = [x for _, x in sorted(nulls)]
+        self.count = max(1, len(self.firsts) + len(self.null_firsts))
+
+    def _null_place(self) -> Column:
+        return F.shiftrightunsigned(F.xxhash64("text"), 64 - self.null_bits) if self.null_bits else F.lit(0).cast("long")
+
+    def placed(self, rows: DataFrame) -> DataFrame:
+        """The rows (id, text), with ``range``, ``donor`` 0 and ``tie``; a range's first rows once more, with ``donor`` 1 in the range before."""
+        id_, tie = F.col("id"), F.when(F.col("id").isNull(), F.xxhash64("text"))
+        top = len(self.bounds)
+        place = top - _place(id_, self.bounds) if len(self.firsts) == top + 1 else F.get(_constant([self.numbers.get(i, 0) for i in range(top + 1)]), _place(id_, self.bounds)).cast("int")
+        first = id_ == F.get(_constant(self.firsts), F.col("range")) if self.firsts else F.lit(False)
+        if self.null_firsts:
+            null_place = F.array_position(_constant(self.null_places), self._null_place()).cast("int") - 1
+            place = F.when(id_.isNull(), null_place + len(self.firsts)).otherwise(place)
+            first = F.when(id_.isNull(), F.col("tie") == F.get(_constant(self.null_firsts), F.col("range") - len(self.firsts))).otherwise(first)
+        rows = rows.select("id", "text", place.alias("range"), tie.alias("tie"))
+        own = F.struct(F.col("range").alias("range"), F.lit(0).alias("donor"))
+        before = F.struct(F.pmod(F.col("range") - 1, F.lit(self.count)).cast("int").alias("range"), F.lit(1).alias("donor"))
+        both = F.when(F.coalesce(first, F.lit(False)), F.array(own, before)).otherwise(F.array(own))
+        return rows.select("id", "text", "tie", F.explode(both).alias("to")).select("id", "text", "tie", "to.range", "to.donor")
 
 
 def edited_likeness(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", searched_ids: int = 100) -> DataFrame:
@@ -137,31 +171,23 @@ def edited_likeness(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     near_edited, near_next, and n_within: for ids divisible by ``searched_ids``
     the number of rows whose fingerprints are within RADIUS bits, itself
     included, else null. A null text is empty; a text without words has
-    fingerprint zero. Rows that share an id are documents of their own.
+    fingerprint zero; texts of any length are read whole. Rows that share an id
+    are documents of their own. An empty table gives no rows, and other columns
+    may have clashing names.
 
-    The texts are shuffled once, by ranges of ids; the fingerprints' votes are
-    counted where they then are.
+    The ranges are found from the ids alone. Then the texts are shuffled once, to
+    their ranges, whatever the ids are; all votes are counted where they then are.
     """
-    rows = take(df, {"id": id_col, "text": text_col}).select(F.col("id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("range", _range_of(F.col("id"), F.col("text")))
-    order = Window.partitionBy("range").orderBy(F.desc_nulls_last("id"), "text")
-    placed = rows.select("*", F.row_number().over(order).alias("rn"), F.lead("text").over(order).alias("next_text"))
-    inside = placed.filter("next_text is not null")
-    nexts = checkpointed(_next_ranges(rows.select("range")))  # used twice
-    donors = placed.filter("rn = 1").select(F.col("range").alias("next_range"), F.col("text").alias("donated"))
-    edge = placed.filter("next_text is null").drop("next_text").join(nexts, "range").join(donors, "next_range")
-    edge = edge.select("id", "text", "range", "rn", F.col("donated").alias("next_text"))
-
-    done = checkpointed(_edited(inside).union(_edited(edge)))
-    following = done.select(F.col("range").alias("r"), F.col("rn").alias("n"), F.col("f0").alias("n0"), F.col("f1").alias("n1"))
-    last = done.groupBy("range").agg(F.max("rn").alias("last"))
-    # The last of a range is followed by the first of the next range.
-    ends = last.join(nexts, "range").select("range", F.col("last").alias("rn"), F.col("next_range").alias("r"), F.lit(1).alias("n"))
-    steps = done.select("range", "rn").join(ends, ["range", "rn"], "left").select("range", "rn", F.coalesce("r", "range").alias("r"), F.coalesce("n", F.col("rn") + 1).alias("n"))
-    out = done.join(steps, ["range", "rn"]).join(following, ["r", "n"])
+    rows = take(df, {"id": id_col, "text": text_col}).select(F.col("id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    order = Window.partitionBy("range").orderBy("donor", F.desc_nulls_last("id"), "tie", "text")
+    placed = _Ranges(rows).placed(rows).select("*", F.row_number().over(order).alias("rn"), F.lead("text").over(order).alias("next_text"))
+    follow = Window.partitionBy("range").orderBy("rn")
+    done = _edited(placed).select("*", F.lead("f0").over(follow).alias("n0"), F.lead("f1").over(follow).alias("n1"))
+    done = checkpointed(done.filter("donor = 0").drop("range", "rn", "donor"))
 
     sought = F.col("id") % searched_ids == 0
     counts = within_radius(done.filter(sought), done).withColumnRenamed("n", "n_within").withColumn("sought", F.lit(True))
-    out = out.withColumn("sought", F.coalesce(sought, F.lit(False))).join(counts, ["sought", "f0", "f1"], "left")
+    out = done.withColumn("sought", F.coalesce(sought, F.lit(False))).join(counts, ["sought", "f0", "f1"], "left")
     shown = lambda a, b: F.concat(hex64(F.col(a)), hex64(F.col(b)))
     f, e, n = (F.col("f0"), F.col("f1")), (F.col("e0"), F.col("e1")), (F.col("n0"), F.col("n1"))
     return out.select(
@@ -177,17 +203,20 @@ def edited_likeness(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def _edited(rows: DataFrame) -> DataFrame:
-    """For each row (range, rn): id, n_chars, edited_sha256, and both fingerprints."""
+    """For each row (range, rn): donor, id, n_chars, edited_sha256, and both fingerprints; of a donor only its own."""
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.left("text", F.length("text") - half), F.left("next_text", half))
-    rows = rows.select("id", "range", "rn", "text", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"))
-    keys = ["range", "rn", "which", "id", "n_chars", "edited_sha256"]
-    both = F.array(F.struct(F.lit(0).alias("which"), F.lit("").alias("sha"), F.col("text").alias("body")), F.struct(F.lit(1).alias("which"), F.coalesce(F.sha2("edited", 256), F.lit("")).alias("sha"), F.col("edited").alias("body")))
-    split = rows.select("range", "rn", "id", "n_chars", F.explode(both).alias("x"))
-    split = split.select("range", "rn", F.col("x.which").alias("which"), "id", "n_chars", F.col("x.sha").alias("edited_sha256"), F.col("x.body").alias("body"))
+    rows = rows.select("id", "range", "rn", "donor", "text", F.length("text").cast("long").alias("n_chars"), F.when(F.col("donor") == 0, edited).alias("edited"))
+    keys = ["range", "rn", "which", "donor", "id", "n_chars", "edited_sha256"]
+    own = F.struct(F.lit(0).alias("which"), F.lit("").alias("sha"), F.col("text").alias("body"))
+    other = F.struct(F.lit(1).alias("which"), F.coalesce(F.sha2("edited", 256), F.lit("")).alias("sha"), F.col("edited").alias("body"))
+    both = F.when(F.col("donor") == 0, F.array(own, other)).otherwise(F.array(own))
+    split = rows.select("range", "rn", "donor", "id", "n_chars", F.explode(both).alias("x"))
+    split = split.select("range", "rn", "donor", F.col("x.which").alias("which"), "id", "n_chars", F.col("x.sha").alias("edited_sha256"), F.col("x.body").alias("body"))
     votes = _votes(split, keys, "body")
     pick = lambda w, c: F.max(F.when(F.col("which") == w, F.col(c)))
     return votes.groupBy("range", "rn").agg(
+        F.max("donor").alias("donor"),
         F.max("id").alias("id"),
         F.max("n_chars").alias("n_chars"),
         F.max("edited_sha256").alias("edited_sha256"),

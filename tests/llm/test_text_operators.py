@@ -333,7 +333,9 @@ def simhash(text):
     return "".join("%016x" % sum(1 << j for j in range(64) if bits[k + j]) for k in (0, 64))
 
 
-def test_fingerprints_equal_brute_force(spark):
+@pytest.mark.parametrize("range_rows", [1, 7, 256])
+def test_fingerprints_equal_brute_force(spark, monkeypatch, range_rows):
+    monkeypatch.setattr(fingerprint, "RANGE_ROWS", range_rows)
     r = random.Random(5)
     texts = [" ".join(r.choices(["alpha", "beta", "gamma", "Δelta", "🙂", "of"], k=r.randrange(0, 60))) for _ in range(150)] + ["", "one", "same copy of it"] + ["same copy of it"] * 30
     ids = r.sample(range(100_000), len(texts) - 2) + [100, 200]
@@ -357,7 +359,29 @@ def test_single_document_follows_itself(spark):
     assert x.edited_sha256 == hashlib.sha256(b"abcabc").hexdigest() and x.near_next == 1.0
 
 
-def test_scattered_and_null_ids_follow_one_another(spark):
+def test_rows_of_one_id_follow_by_text(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "RANGE_ROWS", 2)
+    rows = [(i % 5, f"text {i:03d} of one length") for i in range(60)]
+    out = fingerprint.edited_likeness(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as range", "2 as Text", "3 as donor")).collect()
+    order = sorted(rows, key=lambda x: (-x[0], x[1]))
+    edited = lambda a, b: a[1][: len(a[1]) - len(a[1]) // 2] + b[1][: len(a[1]) // 2]
+    expected = sorted((a[0], hashlib.sha256(edited(a, b).encode()).hexdigest()) for a, b in zip(order, order[1:] + order[:1], strict=True))
+    assert sorted((x.doc_id, x.edited_sha256) for x in out) == expected
+
+
+def test_texts_are_shuffled_once_for_any_ids(spark, monkeypatch):
+    from graniteq.plans import plan_nodes
+
+    plans = []
+    monkeypatch.setattr(fingerprint, "checkpointed", lambda df: plans.append(df) or df)
+    df = spark.createDataFrame([(i * 7919 % 100_003, f"text {i}") for i in range(2000)], "doc_id long, text string")
+    fingerprint.edited_likeness(df)
+    assert len([n for n in plan_nodes(plans[0]) if n == "Exchange"]) == 1 and not [n for n in plan_nodes(plans[0]) if "Python" in n or "Arrow" in n or "Join" in n]
+
+
+@pytest.mark.parametrize("range_rows", [1, 4, 256])
+def test_scattered_and_null_ids_follow_one_another(spark, monkeypatch, range_rows):
+    monkeypatch.setattr(fingerprint, "RANGE_ROWS", range_rows)
     r = random.Random(6)
     ids = [*{r.getrandbits(64) - (1 << 63) for _ in range(40)}, *range(5), 1 << 40, -(1 << 63), (1 << 63) - 1]
     rows = [(i, f"text {k:03d} of one length") for k, i in enumerate(ids)]
