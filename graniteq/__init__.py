@@ -11,6 +11,7 @@ from graniteq.operators import (
     equi_join,
     flatten_pairs,
     sort_by,
+    sort_chunks,
     sort_runs,
     unique_count,
     with_position,
@@ -26,6 +27,7 @@ __all__ = [
     "flatten_pairs",
     "resolve_key",
     "sort_by",
+    "sort_chunks",
     "sort_runs",
     "unique_count",
     "with_position",

@@ -1,5 +1,5 @@
 """Column expressions."""
 
-from graniteq.functions.random_text import random_letters, random_long
+from graniteq.functions.random_text import random_letters, random_letters_sql, random_long, random_long_sql
 
-__all__ = ["random_letters", "random_long"]
+__all__ = ["random_letters", "random_letters_sql", "random_long", "random_long_sql"]

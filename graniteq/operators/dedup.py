@@ -35,12 +35,14 @@ def distinct_on(
         return rows.distinct()
     ahead = [c for c in (order or ()) if c not in names]
     rest = [*ahead, *(c for c in df.columns if c not in names and c not in ahead)]
-    least = rows.groupBy(*names).agg(F.min(F.struct(*rest)).alias("__row"))
-    return least.select([F.col(c) if c in names else F.col(f"__row.{c}").alias(c) for c in df.columns])
+    if "__row" in names:
+        raise ValueError("a key column is named '__row'")
+    least = rows.groupBy(*[F.col(f"`{n}`") for n in names]).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("__row"))
+    return least.select([F.col(f"`{c}`") if c in names else F.col("__row").getField(c).alias(c) for c in df.columns])
 
 
 def unique_count(df: DataFrame, key: int | str | Sequence[str], valid: Column | str | None = None) -> DataFrame:
     """One row: ``nunique``, the number of distinct keys among valid rows; null counts as a key."""
     names = resolve_key(key, df.columns)
-    keys = keep_valid(df, valid).select(*names).distinct()
+    keys = keep_valid(df, valid).select(*[F.col(f"`{n}`") for n in names]).distinct()
     return keys.agg(F.count(F.lit(1)).alias("nunique"))

@@ -21,6 +21,14 @@ def _estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+#: A partition of the side that is built into a hash table may have this many bytes on average; a merge spills beyond.
+MAX_BUILD_PARTITION_BYTES = 256 << 20
+
+
+def _hash_limit(df: DataFrame) -> int:
+    return MAX_BUILD_PARTITION_BYTES * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def equi_join(
     left: DataFrame,
     right: DataFrame,
@@ -37,8 +45,8 @@ def equi_join(
     ``right_key`` names the right side's columns where they differ, one for each
     of ``key``. The strategy "merge" sorts both sides, "hash" builds a hash table
     from the smaller one in each partition, "broadcast" sends the right side to
-    every executor if its estimated size allows and merges otherwise, "auto"
-    leaves the choice to the optimizer. ``prefixes`` go before every column name
+    every executor; where the estimated sizes don't allow one of these two, the
+    sides are merged. "auto" leaves the choice to the optimizer. ``prefixes`` go before every column name
     of the left and the right side, which tells clashing names apart; without
     them a name in both inputs raises ValueError. ``in_order`` sorts the result
     by the left key.
@@ -50,13 +58,15 @@ def equi_join(
     if len(left_names) != len(right_names):
         raise ValueError(f"keys differ in length: {left_names} and {right_names}")
     first, second = prefixes or ("", "")
-    clash = {first + c for c in left.columns} & {second + c for c in right.columns}
+    clash = {(first + c).lower() for c in left.columns} & {(second + c).lower() for c in right.columns}  # Spark heeds no case
     if clash:
         raise ValueError(f"both sides have columns named {sorted(clash)}; give prefixes")
     a = _prefixed(keep_valid(left, left_valid), first)
     b = _prefixed(keep_valid(right, right_valid), second)
     if strategy == "broadcast" and _estimated_bytes(b) > MAX_BROADCAST_BYTES:
         strategy = "merge"
+    if strategy == "hash" and min(map(_estimated_bytes, (a, b))) > _hash_limit(a):
+        strategy = "merge"
     if strategy != "auto":
         b = b.hint(_HINTS[strategy])
     equal = [F.col(f"`{first}{x}`") == F.col(f"`{second}{y}`") for x, y in zip(left_names, right_names, strict=True)]
@@ -81,6 +91,6 @@ def flatten_pairs(pairs: DataFrame, left_prefix: str, right_prefix: str, pair_id
     if set(names) != set(others):
         raise ValueError(f"the sides differ: {names} and {others}")
     side = lambda p: F.struct(*[F.col(f"`{p}{n}`").alias(n) for n in names])
-    kept = [F.col(c) for c in pair_id]
+    kept = [F.col(f"`{c}`") for c in pair_id]
     flat = pairs.select(*kept, F.posexplode(F.array(side(left_prefix), side(right_prefix))).alias("pos", "__row"))
-    return flat.select(*pair_id, "pos", *[F.col(f"__row.{n}").alias(n) for n in names])
+    return flat.select(*kept, "pos", *[F.col("__row").getField(n).alias(n) for n in names])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graniteq.checkpoints import checkpointed
-from graniteq.keys import resolve_key
+from graniteq.keys import check_memory_blocks, resolve_key
 from graniteq.records import keep_valid
 
 _ROW_BITS = 33  # monotonically_increasing_id: the partition above, the row within it below
@@ -18,7 +18,7 @@ def _order(df: DataFrame, key, tie_break: Sequence[str] | str | None) -> list[Co
     names = resolve_key(key, df.columns)
     if tie_break == "all":
         tie_break = [c for c in df.columns if c not in names]
-    return [F.col(n).asc_nulls_first() for n in [*names, *(tie_break or ())]]
+    return [F.col(f"`{n}`").asc_nulls_first() for n in [*names, *(tie_break or ())]]
 
 
 def sort_by(
@@ -54,6 +54,28 @@ def sort_runs(
     return rows.sortWithinPartitions(*order)
 
 
+def sort_chunks(
+    df: DataFrame,
+    key: int | str | Sequence[str],
+    block_id: str,
+    nmem_blocks: int,
+    valid: Column | str | None = None,
+    tie_break: Sequence[str] | str | None = "all",
+) -> DataFrame:
+    """Valid rows with ``run``, the chunk of ``nmem_blocks`` blocks they lie in, and ``run_pos``, their place in it, from 1.
+
+    ``block_id`` is an SQL expression. A chunk, which the memory bounds, is sorted
+    in one task.
+    """
+    check_memory_blocks(nmem_blocks)
+    clash = {c.lower() for c in df.columns} & {"run", "run_pos"}
+    if clash:
+        raise ValueError(f"the columns {sorted(clash)} are there already")
+    order = _order(df, key, tie_break)
+    rows = keep_valid(df, valid).withColumn("run", F.floor(F.expr(block_id) / nmem_blocks))
+    return rows.withColumn("run_pos", F.row_number().over(Window.partitionBy("run").orderBy(*order)).cast("long"))
+
+
 def with_position(
     df: DataFrame,
     key: int | str | Sequence[str],
@@ -69,6 +91,9 @@ def with_position(
     same partitions.
     """
     mark, part, start = "__mark", "__part", "__start"
+    taken = {c.lower() for c in df.columns} & {name.lower(), mark, part, start}
+    if taken:
+        raise ValueError(f"the columns {sorted(taken)} are there already")
     local = checkpointed(sort_by(df, key, valid, tie_break).withColumn(mark, F.monotonically_increasing_id()))
     local = local.withColumn(part, F.shiftright(mark, _ROW_BITS))
     counts = local.groupBy(part).agg(F.count(F.lit(1)).alias("__n"))

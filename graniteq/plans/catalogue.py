@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import asdict
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graniteq.operators import distinct_on, equi_join, flatten_pairs, sort_by, unique_count, with_position
-from graniteq.plans.stats import sort_pass_stats, sort_run_counts
-from graniteq.records import ROWS_PER_BLOCK, size_in_blocks
-from graniteq.sources import generate_relation, table
+from graniteq.checkpoints import new_folder
+from graniteq.operators import distinct_on, equi_join, flatten_pairs, sort_by, sort_chunks, unique_count, with_position
+from graniteq.plans import counters_sql
+from graniteq.plans.stats import Blocked, dedup_stats, hash_join_stats, merge_join_stats, sort_pass_stats, sort_run_counts
+from graniteq.records import ROWS_PER_BLOCK, describe, size_in_blocks, valid_records
+from graniteq.sources import generate_pair, generate_relation, generate_relation_sql, read_blocks, table, write_blocks
 
 VALID = "l_partkey % 50 <> 0"
 MEMORY = 22
@@ -95,7 +99,7 @@ _joins(
 )
 _joins(
     "string",
-    ("merge", "hash"),
+    ("merge", "hash", "broadcast"),
     ("documents", ["doc_id", "text"]),
     ("documents", ["doc_id", "text"]),
     "text",
@@ -105,7 +109,7 @@ _joins(
 )
 _joins(
     "composite",
-    ("merge", "hash"),
+    ("merge", "hash", "broadcast"),
     ("customer", ["c_custkey", "c_nationkey", "c_mktsegment"]),
     ("customer", ["c_custkey", "c_nationkey", "c_mktsegment"]),
     ["c_nationkey", "c_mktsegment"],
@@ -155,6 +159,30 @@ def join_skewed_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("l_orderkey").alias("orderkey"), F.col("l_linenumber").alias("linenumber"), F.col("l_partkey").alias("partkey"), "flag")
 
 
+@_query(
+    "join_hot_key",
+    """select l_orderkey as line_order, l_linenumber as linenumber, l_partkey as partkey, o_orderkey as orderkey
+from (select *, case when l_orderkey % 3 = 0 then 0 else l_orderkey end as k from lineitem) a join (select *, case when o_orderkey % 7500 = 0 then 0 else o_orderkey end as k from orders) b on a.k = b.k""",
+)
+def join_hot_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the left side has one key, which repeats on the right side too."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.expr("case when l_orderkey % 3 = 0 then 0 else l_orderkey end").alias("k"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.expr("case when o_orderkey % 7500 = 0 then 0 else o_orderkey end").alias("k"))
+    pairs = equi_join(lines, orders, "k", strategy="merge", prefixes=("a_", "b_"))
+    return pairs.select(F.col("a_l_orderkey").alias("line_order"), F.col("a_l_linenumber").alias("linenumber"), F.col("a_l_partkey").alias("partkey"), F.col("b_o_orderkey").alias("orderkey"))
+
+
+@_query(
+    "join_merge_in_order",
+    "select c_nationkey as nationkey, s_suppkey as suppkey, c_custkey as custkey, row_number() over (order by c_nationkey, s_suppkey, c_custkey) as sort_pos from supplier join customer on s_nationkey = c_nationkey",
+)
+def join_merge_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    pairs = equi_join(suppliers, customers, "s_nationkey", "c_nationkey", strategy="merge")
+    return with_position(pairs.select(F.col("c_nationkey").alias("nationkey"), F.col("s_suppkey").alias("suppkey"), F.col("c_custkey").alias("custkey")), "nationkey")
+
+
 @_query(
     "join_pairs_flat",
     "with p as (select s_suppkey as l, c_custkey as r, s_nationkey as n from supplier join customer on s_nationkey = c_nationkey) select l as pair_left, r as pair_right, 0 as pos, l as key, n as nation from p union all select l, r, 1, r, n from p",
@@ -256,6 +284,118 @@ def relation_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return size_in_blocks(table(spark, sf_dir, "orders"))
 
 
+_PLACED_ORDERS = f"(select *, (row_number() over (order by o_orderkey) - 1) // {ROWS_PER_BLOCK} as block from orders)"
+
+
+@_query(
+    "sort_chunk_runs",
+    f"select o_orderkey, o_custkey, run, row_number() over (partition by run order by o_custkey, o_orderkey) as run_pos from (select *, block // {MEMORY} as run from {_PLACED_ORDERS}) where o_custkey % 50 <> 0",
+)
+def sort_chunk_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sort_chunks(_placed(spark, sf_dir), "o_custkey", _BLOCK, MEMORY, valid=_IS_VALID, tie_break=["o_orderkey"]).select("o_orderkey", "o_custkey", "run", "run_pos")
+
+
+@_query(
+    "sort_valid_blocks",
+    f"select o_orderkey, o_custkey, block, row_number() over (order by o_custkey, o_orderkey) as sort_pos from {_PLACED_ORDERS} where block % 7 <> 0 and o_custkey % 50 <> 0",
+)
+def sort_valid_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both levels of validity: that of a row's block, and its own."""
+    rows = _placed(spark, sf_dir).select("o_orderkey", "o_custkey", F.expr(_BLOCK).alias("block"), F.expr(_IS_VALID).alias("valid"), F.expr(f"{_BLOCK} % 7 <> 0").alias("block_valid"))
+    return with_position(rows, "o_custkey", valid=valid_records(), tie_break=["o_orderkey"]).select("o_orderkey", "o_custkey", "block", "sort_pos")
+
+
+def _row(spark: SparkSession, *rows: dict) -> DataFrame:
+    """A DataFrame of rows of counters, all of whose values are long or text."""
+    schema = ", ".join(f"{k} {'string' if isinstance(v, str) else 'long'}" for k, v in rows[0].items())
+    return spark.createDataFrame([tuple(r.values()) for r in rows], schema)
+
+
+def _blocked(spark: SparkSession, sf_dir: str, name: str, place: str, key: str, valid: str = "true") -> Blocked:
+    rows = table(spark, sf_dir, name).select(place, F.expr(key).cast("long").alias("k"), F.expr(valid).alias("ok"))
+    return Blocked(with_position(rows, place, tie_break=None), _BLOCK, "ok", "k")
+
+
+def _counted(place: str, key: str, source: str, valid: str = "true") -> str:
+    return f"select (row_number() over (order by {place}) - 1) // {ROWS_PER_BLOCK} as b, ({key})::bigint as k, {valid} as ok from {source}"
+
+
+_ORDERS_BY_CUSTOMER = _counted("o_orderkey", "o_custkey", "orders", "o_custkey % 50 <> 0")
+
+
+@_query("dedup_stats_in_memory", counters_sql.dedup(_counted("c_custkey", "c_nationkey", "customer"), MEMORY))
+def dedup_stats_in_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = dedup_stats(_blocked(spark, sf_dir, "customer", "c_custkey", "c_nationkey"), MEMORY)
+    return _row(spark, {"nunique": s.nunique, "nios": s.nios})
+
+
+@_query("dedup_stats_external", counters_sql.dedup(_ORDERS_BY_CUSTOMER, MEMORY))
+def dedup_stats_external(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SQL covers inputs of up to 21 runs; the operator itself any number."""
+    s = dedup_stats(_blocked(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_custkey % 50 <> 0"), MEMORY)
+    return _row(spark, {"nunique": s.nunique, "nios": s.nios})
+
+
+@_query("hash_join_stats", counters_sql.hash_join(_counted("c_custkey", "c_custkey", "customer"), _ORDERS_BY_CUSTOMER, MEMORY))
+def hash_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = hash_join_stats(_blocked(spark, sf_dir, "customer", "c_custkey", "c_custkey"), _blocked(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_custkey % 50 <> 0"), MEMORY)
+    return _row(spark, {"nres": s.nres, "nios": s.nios})
+
+
+#: name: both sides as (table, place, key)
+_MERGES = {
+    "merge_join_stats_held": (("customer", "c_custkey", "c_custkey + 300"), ("orders", "o_orderkey", "o_custkey")),
+    "merge_join_stats_window": (("orders", "o_orderkey", "o_custkey"), ("events", "event_id", "user_id * 3")),
+    "merge_join_stats_moved_back": (("orders", "o_orderkey", "o_custkey % 4"), ("events", "event_id", "event_id % 4 + 1")),
+}
+
+for _name, (_left, _right) in _MERGES.items():
+
+    @_query(_name, counters_sql.merge_join(_counted(*_left[1:], _left[0]), _counted(*_right[1:], _right[0]), MEMORY))
+    def merge_stats(spark: SparkSession, sf_dir: str, left=_left, right=_right) -> DataFrame:
+        """The SQL covers inputs of up to 21 runs; the operator itself any number."""
+        s = merge_join_stats(_blocked(spark, sf_dir, *left), _blocked(spark, sf_dir, *right), MEMORY)
+        return _row(spark, {"nres": s.nres, "nios": s.nios})
+
+
+# Block files, printing and the generated relations.
+
+
+@_query("block_file_round_trip", "select o_orderkey as recid, o_custkey as num, o_orderpriority as str, o_custkey % 50 <> 0 as valid from orders")
+def block_file_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written as block files and read again."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("recid"), F.col("o_custkey").alias("num"), F.col("o_orderpriority").alias("str"), F.expr(_IS_VALID).alias("valid"))
+    folder = new_folder(spark, "blocks")
+    write_blocks(rows, folder)
+    return read_blocks(spark, folder, blocks_per_split=50).select("recid", "num", "str", "valid")
+
+
+@_query("printed_records", f"select 'BL ' || block_id || ', RC ' || recid || ', ' || num || ', ' || str as line from ({generate_relation_sql(76, 1)}) where valid")
+def printed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return describe(generate_relation(spark, 76, seed=1))
+
+
+@_query("generate_two_relations", f"select 0 as side, recid, num, str, valid, block_id from ({generate_relation_sql(7, 3)}) union all select 1, recid, num, str, valid, block_id from ({generate_relation_sql(5, 13)})")
+def generate_two_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left, right = (r.drop("block_valid") for r in generate_pair(spark, 7, 5, seed=3))
+    return left.select(F.lit(0).alias("side"), "*").union(right.select(F.lit(1).alias("side"), "*"))
+
+
+DEMO_BLOCKS = (76, 60)
+
+
+@_query("demo_counters", counters_sql.demo(generate_relation_sql(DEMO_BLOCKS[0], 1), generate_relation_sql(DEMO_BLOCKS[1], 11), MEMORY))
+def demo_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counters of a sort by num, a hash join by str, a duplicate elimination by num and str, and a merge join by recid."""
+    left, right = generate_pair(spark, *DEMO_BLOCKS, seed=1)
+    side = lambda df, key: Blocked(df, "block_id", "valid and block_valid", key)
+    sort = sort_pass_stats(left, "block_id", "valid and block_valid", MEMORY)
+    hashed, unique = hash_join_stats(side(left, 2), side(right, 2), MEMORY), dedup_stats(side(left, 3), MEMORY)
+    merged = merge_join_stats(side(left, 0), side(right, 0), MEMORY)
+    found = (("sort", sort), ("hash join", hashed), ("dedup", unique), ("merge join", merged))
+    return _row(spark, *({"call": call, "counter": c, "value": v} for call, x in found for c, v in asdict(x).items() if v is not None))
+
+
 # Composition.
 
 
@@ -272,6 +412,6 @@ def pipeline_dedup_join_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_position(pairs.select("o_custkey", "o_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice"), "o_custkey")
 
 
-@_query("generate_relation")
+@_query("generate_relation", generate_relation_sql(76, 1))
 def generated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generate_relation(spark, 76, seed=1)

@@ -2,15 +2,18 @@
 
 A file is a sequence of blocks. Each block has a header, a fixed number of
 record slots and a trailer; numbers are little-endian. ``BlockFileSource`` splits
-a file into ranges of whole blocks, so executors read it in parallel; it opens
-the path itself, so the path must be one that every executor can open.
+files into ranges of whole blocks, so executors read them in parallel, as Arrow
+batches. Paths go through pyarrow's file systems: a plain path or a URI such as
+file:, hdfs: or s3:, which every executor must be able to open.
 """
 
 from __future__ import annotations
 
-import os
+import re
 
 import numpy as np
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -39,10 +42,21 @@ BLOCK = np.dtype(
 BLOCKS_PER_SPLIT = 5_000
 
 
+BLOCKS_AT_ONCE = 64
+SUFFIX = ".blocks"
+
+
+def _located(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path within it."""
+    if re.match(r"file:/+", path):
+        return fs.LocalFileSystem(), re.sub(r"^file:/+", "/", path)
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
 class BlockRange(InputPartition):
-    def __init__(self, first: int, count: int):
-        super().__init__((first, count))
-        self.first, self.count = first, count
+    def __init__(self, path: str, first: int, count: int):
+        super().__init__((path, first, count))
+        self.path, self.first, self.count = path, first, count
 
 
 class BlockFileReader(DataSourceReader):
@@ -50,23 +64,44 @@ class BlockFileReader(DataSourceReader):
         self.path, self.blocks_per_split = path, blocks_per_split
 
     def partitions(self):
-        size = os.path.getsize(self.path)
-        if size % BLOCK.itemsize:
-            raise ValueError(f"{self.path}: {size} bytes are not a whole number of blocks of {BLOCK.itemsize}")
-        total, step = size // BLOCK.itemsize, self.blocks_per_split
-        return [BlockRange(i, min(step, total - i)) for i in range(0, total, step)] or [BlockRange(0, 0)]
+        system, path = _located(self.path)
+        info = system.get_file_info(path)
+        if info.type == fs.FileType.NotFound:
+            raise FileNotFoundError(self.path)
+        files = [info] if info.type == fs.FileType.File else sorted((f for f in system.get_file_info(fs.FileSelector(path)) if f.path.endswith(SUFFIX)), key=lambda f: f.path)
+        out, step = [], self.blocks_per_split
+        for f in files:
+            if f.size % BLOCK.itemsize:
+                raise ValueError(f"{f.path}: {f.size} bytes are not a whole number of blocks of {BLOCK.itemsize}")
+            total = f.size // BLOCK.itemsize
+            out += [BlockRange(f.path, i, min(step, total - i)) for i in range(0, total, step)]
+        return out or [BlockRange("", 0, 0)]
 
     def read(self, partition):
         if not partition.count:
             return
-        with open(self.path, "rb") as f:
-            f.seek(partition.first * BLOCK.itemsize)
-            for i in range(partition.count):
-                block = np.frombuffer(f.read(BLOCK.itemsize), BLOCK)[0]
-                block_valid = bool(block["valid"])
-                for r in block["entries"][: block["nreserved"]]:
-                    text = r["str"].tobytes().split(b"\0", 1)[0].decode("utf-8", "replace")
-                    yield int(r["recid"]), int(r["num"]), text, bool(r["valid"]), partition.first + i, block_valid
+        system, _ = _located(self.path)
+        with system.open_input_file(partition.path) as f:
+            for at in range(partition.first, partition.first + partition.count, BLOCKS_AT_ONCE):
+                n = min(BLOCKS_AT_ONCE, partition.first + partition.count - at)
+                yield _records(np.frombuffer(f.read_at(n * BLOCK.itemsize, at * BLOCK.itemsize), BLOCK), at)
+
+
+def _records(blocks: np.ndarray, first: int) -> pa.RecordBatch:
+    """The reserved slots of blocks, the first of which has number ``first`` in its file."""
+    reserved = np.arange(ROWS_PER_BLOCK) < blocks["nreserved"][:, None]
+    block, slot = np.nonzero(reserved)
+    r = blocks["entries"][block, slot]
+    text = [x.split(b"\0", 1)[0].decode("utf-8", "replace") for x in np.ascontiguousarray(r["str"]).view(f"S{STRING_WIDTH}").ravel().tolist()]
+    columns = [
+        pa.array(r["recid"].astype(np.int64)),
+        pa.array(r["num"].astype(np.int64)),
+        pa.array(text, pa.string()),
+        pa.array(r["valid"].astype(bool)),
+        pa.array(block + first, pa.int64()),
+        pa.array(blocks["valid"][block].astype(bool)),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=RECORD_SCHEMA.names)
 
 
 class BlockFileSource(DataSource):
@@ -84,7 +119,7 @@ class BlockFileSource(DataSource):
 
 
 def read_blocks(spark: SparkSession, path: str, blocks_per_split: int = BLOCKS_PER_SPLIT) -> DataFrame:
-    """The reserved slots of a block file, valid or not, with ``block_id`` and ``block_valid``."""
+    """The reserved slots of a block file, or of all those in a folder, valid or not, with ``block_id`` (within its file) and ``block_valid``."""
     ship_package(spark)
     spark.dataSource.register(BlockFileSource)
     return spark.read.format("blockfile").option("path", path).option("blocks_per_split", blocks_per_split).load()
@@ -98,40 +133,50 @@ def write_blocks(df: DataFrame, folder: str) -> None:
     must be one that all executors share.
     """
     ship_package(df.sparkSession)
-    os.makedirs(folder)
+    system, inside = _located(folder)
+    if system.get_file_info(inside).type != fs.FileType.NotFound:
+        raise FileExistsError(folder)
+    system.create_dir(inside)
     rows = df.select("recid", "num", "str", F.col("valid") if "valid" in df.columns else F.lit(True).alias("valid"))
 
     def write(batches):
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        out = os.path.join(folder, f"part-{context.partitionId():05d}.blocks")
+        system, inside = _located(folder)
+        out = f"{inside}/part-{context.partitionId():05d}{SUFFIX}"
         part = f"{out}.{context.taskAttemptId()}"
-        written, held = 0, []
-
-        def flush(f, records):
-            nonlocal written
-            block = np.zeros(1, BLOCK)
-            block["blockid"], block["nreserved"], block["valid"] = written, len(records), 1
-            for i, (recid, num, text, valid) in enumerate(records):
-                raw = text.encode()
-                if len(raw) >= STRING_WIDTH:
-                    raise ValueError(f"recid {recid}: {len(raw)} bytes of text; at most {STRING_WIDTH - 1} fit")
-                slot = block["entries"][0, i : i + 1]
-                slot["recid"], slot["num"], slot["valid"] = recid, num, valid
-                slot["str"] = np.void(raw.ljust(STRING_WIDTH, b"\0"))
-            f.write(block.tobytes())
-            written += 1
-
-        with open(part, "wb") as f:
+        written, held = 0, pa.table({})
+
+        with system.open_output_stream(part) as f:
             for batch in batches:
-                held.extend(batch.itertuples(index=False, name=None))
-                while len(held) >= ROWS_PER_BLOCK:
-                    flush(f, held[:ROWS_PER_BLOCK])
-                    del held[:ROWS_PER_BLOCK]
-            if held:
-                flush(f, held)
-        os.replace(part, out)
+                new = pa.Table.from_batches([batch])
+                held = pa.concat_tables([held, new]) if len(held) else new
+                whole = len(held) // ROWS_PER_BLOCK * ROWS_PER_BLOCK
+                if whole:
+                    f.write(_blocks_of(held.slice(0, whole), written))
+                    written += whole // ROWS_PER_BLOCK
+                    held = held.slice(whole)
+            if len(held):
+                f.write(_blocks_of(held, written))
+        system.move(part, out)
         return iter(())
 
-    rows.mapInPandas(write, rows.schema).write.format("noop").mode("overwrite").save()
+    rows.mapInArrow(write, rows.schema).write.format("noop").mode("overwrite").save()
+
+
+def _blocks_of(rows: pa.Table, first: int) -> bytes:
+    """Block images of records, numbered from ``first``; only the last may be partly filled."""
+    n = len(rows)
+    raw = [x.encode() for x in rows.column("str").to_pylist()]
+    longest = max(range(n), key=lambda i: len(raw[i]))
+    if len(raw[longest]) >= STRING_WIDTH:
+        raise ValueError(f"recid {rows.column('recid')[longest].as_py()}: {len(raw[longest])} bytes of text; at most {STRING_WIDTH - 1} fit")
+    count = -(-n // ROWS_PER_BLOCK)
+    entries = np.zeros(count * ROWS_PER_BLOCK, RECORD)
+    entries["recid"][:n], entries["num"][:n], entries["valid"][:n] = (rows.column(c).to_numpy() for c in ("recid", "num", "valid"))
+    entries["str"][:n] = np.array(raw, f"S{STRING_WIDTH}").view(f"V{STRING_WIDTH}")
+    blocks = np.zeros(count, BLOCK)
+    blocks["blockid"], blocks["valid"], blocks["entries"] = np.arange(first, first + count), 1, entries.reshape(count, ROWS_PER_BLOCK)
+    blocks["nreserved"] = np.minimum(ROWS_PER_BLOCK, n - ROWS_PER_BLOCK * np.arange(count))
+    return blocks.tobytes()

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from graniteq import distinct_on, equi_join, flatten_pairs, sort_by, sort_runs, unique_count, with_position
+from graniteq import distinct_on, equi_join, flatten_pairs, sort_by, sort_chunks, sort_runs, unique_count, with_position
 from graniteq.plans import plan_nodes
 from graniteq.records import RECORD_SCHEMA, valid_records
 from graniteq.sources import generate_relation
@@ -134,6 +134,35 @@ def test_wrong_arguments(spark):
         distinct_on(df, 1, keep="last")
 
 
+def test_names_that_clash_or_hold_dots(spark):
+    df = spark.createDataFrame([(1, 2, "x"), (1, 1, "y"), (2, 3, "z")], "`a.b` long, k long, `c d` string")
+    assert sorted(map(tuple, distinct_on(df, "a.b").collect())) == [(1, 1, "y"), (2, 3, "z")]
+    assert unique_count(df, "a.b").first().nunique == 2
+    assert [r[0] for r in sort_by(df, "a.b", tie_break="all").collect()] == [1, 1, 2]
+    assert sorted(r.sort_pos for r in with_position(df, "a.b").collect()) == [1, 2, 3]
+    pairs = equi_join(df, df, "a.b", prefixes=("l_", "r_"))
+    assert pairs.count() == 5 and flatten_pairs(pairs.withColumn("p.q", F.lit(1)), "l_", "r_", ["p.q"]).count() == 10
+    for name in ("sort_pos", "SORT_POS", "__mark", "__start"):
+        with pytest.raises(ValueError):
+            with_position(df.withColumn(name, F.lit(1)), "k")
+    with pytest.raises(ValueError):
+        equi_join(df.select("k"), df.select(F.col("k").alias("K")), "k", "K")
+    with pytest.raises(ValueError):
+        sort_chunks(df.withColumn("Run", F.lit(1)), "k", "k", 3)
+
+
+def test_hot_key_on_both_sides(spark):
+    a = spark.range(4000).selectExpr("id", "if(id % 3 = 0, 0, id) as k")
+    b = spark.range(4000).selectExpr("id", "if(id % 400 = 0, 0, id) as k")
+    out = equi_join(a, b, "k", strategy="merge", prefixes=("l_", "r_"))
+    assert "SortMergeJoin" in plan_nodes(out) and out.count() == 1334 * 10 + sum(1 for i in range(4000) if i % 3 and i % 400)
+
+
+def test_hash_tables_are_built_of_sides_of_a_checked_size_only(spark):
+    a, b = (spark.range(10**13).withColumnRenamed("id", x) for x in "ab")
+    assert "ShuffledHashJoin" not in plan_nodes(equi_join(a, b, "a", "b", strategy="hash"))
+
+
 def test_generated_relation(spark):
     df = generate_relation(spark, 3, seed=5)
     rows = df.collect()

@@ -65,10 +65,23 @@ def test_block_files_round_trip(spark, tmp_path):
     columns = ["recid", "num", "str", "valid"]
     assert sorted(map(tuple, back.select(columns).collect())) == sorted(map(tuple, df.select(columns).collect()))
     assert back.agg(F.max("block_id")).first()[0] == 2
-    assert describe(back).count() == df.filter("valid").count()
+    assert sorted(r.line for r in describe(back).collect()) == sorted(f"BL {r.block_id}, RC {r.recid}, {r.num}, {r.str}" for r in back.collect() if r.valid)
+    assert sorted(map(tuple, read_blocks(spark, f"file://{tmp_path}/out").select(columns).collect())) == sorted(map(tuple, df.select(columns).collect()))
     assert table_exists(spark, str(files[0])) and not table_exists(spark, str(tmp_path / "none"))
 
 
+def test_many_files_and_odd_texts(spark, tmp_path):
+    rows = [(2**32 - 1 - i, i, t, i % 3 > 0) for i, t in enumerate(["", "a", "é" * 59, "x" * 119, "naïve"] * 90)]
+    df = spark.createDataFrame(rows, "recid long, num long, str string, valid boolean").repartition(3)
+    write_blocks(df, f"file:{tmp_path}/many")
+    back = read_blocks(spark, f"{tmp_path}/many").select("recid", "num", "str", "valid")
+    assert sorted(map(tuple, back.collect())) == sorted(rows)
+    with pytest.raises(FileExistsError):
+        write_blocks(df, f"{tmp_path}/many")
+    with pytest.raises(Exception, match="at most 119"):
+        write_blocks(spark.createDataFrame([(1, 1, "x" * 120, True)], df.schema), f"{tmp_path}/long")
+
+
 def test_block_file_of_a_wrong_size(spark, tmp_path):
     (tmp_path / "x").write_bytes(b"abc")
     with pytest.raises(Exception, match="whole number"):
