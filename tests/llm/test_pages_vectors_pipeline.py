@@ -8,10 +8,12 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
-from pyspark.sql import functions as F
 
 import corpus_pipeline
-from graniteq.llm import catalogue, embedding_dedup, html_extract, language_id, packing, secrets, url_filter
+import public_tokenizers
+from graniteq.llm import catalogue, embedding_dedup, html_extract, url_filter
+from test_text_operators import plain_prediction, plain_profiles, spans_of
+from tokenizers import Tokenizer
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -210,8 +212,8 @@ def test_stages_equal_brute_force(spark):
 
     known = stages["language_id"](spark, docs, SMALL)
     assert known.columns == docs.columns
-    profiles = language_id.learn_profiles(docs.filter(~language_id.held_out(F.col("doc_id"))))
-    kept = {i for i, r in rows.items() if profiles.predict(r.text)[1] > 0}
+    learned = plain_profiles((r.text, r.lang) for i, r in rows.items() if r.text is not None and r.lang is not None and zlib.crc32(str(i).encode()) % 3 != 1)
+    kept = {i for i, r in rows.items() if plain_prediction(r.text, learned)[1] > 0}
     assert {r.doc_id for r in known.collect()} == kept == set(rows) - {5000, 5001}
 
     one = stages["simhash_dedup"](spark, known, SMALL)
@@ -231,16 +233,15 @@ def test_stages_equal_brute_force(spark):
     assert one.columns == docs.columns and {r.doc_id for r in one.collect()} == singles and 5003 not in singles
 
     clean = {r.doc_id: r for r in stages["secret_scan"](spark, one, SMALL).collect()}
-    found = {r.doc_id: r.secrets for r in secrets.scan(one, keep=("doc_id",)).collect()}
     assert set(clean) == singles
     for i, r in clean.items():
         text, out, at = rows[i].text, [], 0
         spans = []
-        for s in found[i]:
-            if spans and s.start < spans[-1][1]:
-                spans[-1][1] = max(spans[-1][1], s.end)
+        for lo, _, hi, kind in spans_of(text)[1]:
+            if spans and lo < spans[-1][1]:
+                spans[-1][1] = max(spans[-1][1], hi)
             else:
-                spans.append([s.start, s.end, s.kind])
+                spans.append([lo, hi, kind])
         for start, end, kind in spans:
             out += [text[at:start], f"[{kind}]"]
             at = end
@@ -248,13 +249,31 @@ def test_stages_equal_brute_force(spark):
     assert clean[5002].text == "clean words with a [assign] inside"
 
     cleaned = spark.createDataFrame(list(clean.values()), docs.schema)
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    plain.encode_special_tokens = True
     pieces = sorted(stages["packing"](spark, cleaned, SMALL).collect(), key=lambda p: (p.doc_id, p.start))
     for i, r in clean.items():
         own = [p for p in pieces if p.doc_id == i]
-        assert [t for p in own for t in p.ids] == packing.token_ids(r.text).tolist()
+        assert [t for p in own for t in p.ids] == [*plain.encode(r.text or "", add_special_tokens=False).ids, 1]
         assert all(p.ids_crc32 == zlib.crc32(np.array(p.ids, "<u4").tobytes()) for p in own)
 
 
+def test_stages_with_clashing_columns_long_texts_and_ties(spark):
+    long = "the same words of a very long text, and more of it again " * 20_000
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate([long, long, long + "tail", "short text of the day", "short text of the day", "password = hunter2hunter2 of the day"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    wide = docs.selectExpr("1 as Text", "2 as DOC_ID", "*", "'x' as Lang", "3 as id", "4 as fp", "5 as component_id")
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("language_id", "simhash_dedup", "secret_scan"):
+        out = stages[name](spark, wide, SMALL)
+        assert out.columns == docs.columns
+        got = {r.doc_id: r for r in out.collect()}
+        assert set(got) == ({0, 3, 5} if name == "simhash_dedup" else {0, 1, 2, 3, 4, 5})
+        assert got[0].text == long and got[5].text == ("[assign] of the day" if name == "secret_scan" else rows[5][1])
+    pieces = stages["packing"](spark, wide, SMALL).collect()
+    assert {p.doc_id for p in pieces} == set(range(6)) and max(p.offset + p.length for p in pieces) == 2048
+
+
 def test_pipeline_on_edges(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     for name, rows in {"none": [], "nulls": [(None, None, None, None, None)], "unlabelled": [(1, "some words here", None, None, 15), (2, "", None, None, 0)]}.items():
