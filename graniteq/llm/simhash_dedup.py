@@ -35,9 +35,8 @@ HASH_SEED = 42
 MAX_DIFFERING_BITS = 3
 
 BITS = 64
-BLOCKS = MAX_DIFFERING_BITS + 1
 WALK_ROWS = 4096  # a larger trie is dealt out once more
-LEVELS = 5  # of dealing; the tries of the last one have 16 bits
+LEVELS = 5  # of dealing; with a budget of 3 the tries of the last one have 16 bits
 BATCH_ROWS = 1 << 15  # of tries that are walked together
 MAX_HOT_BROADCAST = 1 << 20  # keys, of 8 bytes; more are joined by a shuffle
 
@@ -62,16 +61,20 @@ def fingerprint_of(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``df``: id, and the fingerprint ``fp`` as a signed long."""
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, check_words: int | None = None) -> DataFrame:
+    """One row for each row of ``df``: id, the fingerprint ``fp`` as a signed long, and ``other``, that of ``check_words`` words, or 0."""
     rows = take(df, {"id": id_col, "text": text_col}).select(F.col("id").cast("long"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint_of(t.as_py()) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield output({"id": (pa.int64(), batch.column(0)), "fp": (pa.int64(), fps.view(np.int64))})
+            texts = [t.as_py() for t in batch.column(1)]
+            columns = {"id": (pa.int64(), batch.column(0))}
+            for name, words in (("fp", shingle_words), ("other", check_words)):
+                fps = np.fromiter((fingerprint_of(t, words) if words else 0 for t in texts), np.uint64, batch.num_rows)
+                columns[name] = (pa.int64(), fps.view(np.int64))
+            yield output(columns)
 
-    return rows.mapInArrow(run, "id long, fp long")
+    return rows.mapInArrow(run, "id long, fp long, other long")
 
 
 def _cuts(bits: int, parts: int) -> list[tuple[int, int]]:
@@ -80,18 +83,18 @@ def _cuts(bits: int, parts: int) -> list[tuple[int, int]]:
     return [(bits - sum(widths[: i + 1]), w) for i, w in enumerate(widths)]
 
 
-def _level_bits() -> list[int]:
+def _level_bits(blocks: int) -> list[int]:
     """The bits that are left to deal by at each level, at most."""
     bits = [BITS]
     for _ in range(LEVELS):
-        bits.append(bits[-1] - min(w for _, w in _cuts(bits[-1], BLOCKS)))
+        bits.append(bits[-1] - min(w for _, w in _cuts(bits[-1], blocks)))
     return bits
 
 
-def _dealt(bits: int):
-    """For each row (key, rest, node) a row for each block of the rest: key (with the block and its bits), rest without them, node."""
-    cuts = _cuts(bits, BLOCKS)
-    most = np.uint64(max(w for _, w in cuts))
+def _dealt(bits: int, blocks: int):
+    """For each row (key, rest, node, other) a row for each block of the rest: key (with the block and its bits), rest without them, node, other."""
+    cuts = _cuts(bits, blocks)
+    most, numbered = np.uint64(max(w for _, w in cuts)), np.uint64((blocks - 1).bit_length())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,16 +103,18 @@ def _dealt(bits: int):
                 own = (rest >> np.uint64(low)) & np.uint64((1 << width) - 1)
                 above = np.uint64(0) if low + width == BITS else rest >> np.uint64(low + width)
                 others = (above << np.uint64(low)) | (rest & np.uint64((1 << low) - 1))
-                named = (((key << np.uint64(2)) | np.uint64(i)) << most) | own
-                yield output({"key": (pa.int64(), named.view(np.int64)), "rest": (pa.int64(), others.view(np.int64)), "node": (pa.int64(), batch.column(2))})
+                named = (((key << numbered) | np.uint64(i)) << most) | own
+                yield output({"key": (pa.int64(), named.view(np.int64)), "rest": (pa.int64(), others.view(np.int64)), "node": (None, batch.column(2)), "other": (None, batch.column(3))})
 
     return run
 
 
-_ROW_SQL = "key long, rest long, node long"
+_ROW_SQL = "key long, rest long, node long, other long"
 
 
-def trie_links(v: np.ndarray, starts: np.ndarray, width: int, budget: int, tally: Counter | None = None) -> tuple[np.ndarray, np.ndarray]:
+def trie_links(
+    v: np.ndarray, starts: np.ndarray, width: int, budget: int, tally: Counter | None = None, others: np.ndarray | None = None, check_bits: int = BITS
+) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect whatever links within each group of ``v``.
 
     A group begins at each of ``starts``; its values, of ``width`` bits, are distinct
@@ -118,7 +123,8 @@ def trie_links(v: np.ndarray, starts: np.ndarray, width: int, budget: int, tally
     bits. Pairs of nodes of one depth, at first each root with itself, are split on
     the next bit; children that take different branches cost one of the budget,
     and pairs without any left go no further. Two single leaves are followed to the
-    end at once. ``tally`` counts pairs of nodes, those pruned, and links.
+    end at once; they link only if their ``others`` differ in at most ``check_bits``
+    bits. ``tally`` counts pairs of nodes, those pruned, and links.
     """
     tally = Counter() if tally is None else tally
     ends = np.r_[starts[1:], len(v)]
@@ -139,6 +145,8 @@ def trie_links(v: np.ndarray, starts: np.ndarray, width: int, budget: int, tally
             i, j = a0[leaves], b0[leaves]
             apart = np.bitwise_count((v[i] ^ v[j]) & np.uint64((1 << bit) - 1))
             near = apart <= left[leaves]
+            if others is not None and check_bits < BITS:
+                near &= np.bitwise_count(others[i] ^ others[j]) <= check_bits
             tally["pruned"] += int((~near).sum())
             tally["links"] += int(near.sum())
             found.append((i[near], j[near]))
@@ -167,12 +175,12 @@ def trie_links(v: np.ndarray, starts: np.ndarray, width: int, budget: int, tally
     return forest(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
 
-def _walk(width: int):
+def _walk(width: int, budget: int, check_bits: int):
     """Walks the tries of keys, whose rows come together and sorted by rest; emits links (a, b)."""
 
-    def linked(key: np.ndarray, rest: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def linked(key: np.ndarray, rest: np.ndarray, node: np.ndarray, other: np.ndarray) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        a, b = trie_links(rest.view(np.uint64), starts, width, MAX_DIFFERING_BITS)
+        a, b = trie_links(rest.view(np.uint64), starts, width, budget, None, other.view(np.uint64), check_bits)
         if len(a):
             yield output({"a": (pa.int64(), node[a]), "b": (pa.int64(), node[b])})
 
@@ -182,33 +190,35 @@ def _walk(width: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
+            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
             rows += batch.num_rows
             if rows >= BATCH_ROWS:
-                key, rest, node = (np.concatenate(x) for x in zip(*held, strict=True))
-                last = int(np.searchsorted(key, key[-1]))  # the last key's rows may go on
+                columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+                last = int(np.searchsorted(columns[0], columns[0][-1]))  # the last key's rows may go on
                 if last:
-                    yield from linked(key[:last], rest[:last], node[:last])
-                held, rows = [[key[last:], rest[last:], node[last:]]], len(key) - last
+                    yield from linked(*(c[:last] for c in columns))
+                held, rows = [[c[last:] for c in columns]], len(columns[0]) - last
         if rows:
             yield from linked(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return run
 
 
-def near_links(distinct: DataFrame, walk_rows: int = WALK_ROWS) -> DataFrame:
-    """Links (a, b) that connect all of ``distinct`` (fp long, node long) within the budget of bits.
+def near_links(distinct: DataFrame, walk_rows: int = WALK_ROWS, budget: int = MAX_DIFFERING_BITS, check_bits: int = BITS) -> DataFrame:
+    """Links (a, b) that connect all of ``distinct`` (fp long, node long, other long) within the budget of bits.
 
-    ``fp`` must not repeat. The links are a spanning forest of each trie's groups,
-    not all pairs; their components are those of all pairs. Rows are counted by
-    key before any task gets a key's rows; those of keys with more than
-    ``walk_rows`` go to the next level of dealing.
+    ``fp`` must not repeat. Linked rows' ``other`` differ in at most ``check_bits`` bits.
+    The links are a spanning forest of each trie's groups, not all pairs; their
+    components are those of all pairs. Rows are counted by key before any task gets
+    a key's rows; those of keys with more than ``walk_rows`` go to the next level of
+    dealing.
     """
-    rows = distinct.select(F.lit(0).cast("long").alias("key"), F.col("fp").alias("rest"), "node")
-    bits = _level_bits()
+    rows = distinct.select(F.lit(0).cast("long").alias("key"), F.col("fp").alias("rest"), "node", "other")
+    blocks = budget + 1
+    bits = _level_bits(blocks)
     links = None
     for level in range(LEVELS):
-        dealt = rows.mapInArrow(_dealt(bits[level]), _ROW_SQL)
+        dealt = rows.mapInArrow(_dealt(bits[level], blocks), _ROW_SQL)
         small, hot, n_hot = dealt, None, 0
         if level + 1 < LEVELS:
             hot = checkpointed(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > walk_rows).select("key"))
@@ -216,17 +226,31 @@ def near_links(distinct: DataFrame, walk_rows: int = WALK_ROWS) -> DataFrame:
         if n_hot:
             hot = F.broadcast(hot) if n_hot <= MAX_HOT_BROADCAST else hot
             small = dealt.join(hot, "key", "left_anti")
-        own = small.repartition("key").sortWithinPartitions("key", "rest").mapInArrow(_walk(bits[level + 1]), "a long, b long")
+        own = small.repartition("key").sortWithinPartitions("key", "rest").mapInArrow(_walk(bits[level + 1], budget, check_bits), "a long, b long")
         links = own if links is None else links.union(own)
         if not n_hot:
             break
-        rows = checkpointed(dealt.join(hot, "key", "left_semi").select("key", "rest", "node"))
+        rows = checkpointed(dealt.join(hot, "key", "left_semi").select("key", "rest", "node", "other"))
     return links
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", walk_rows: int = WALK_ROWS) -> DataFrame:
+def near_duplicates(
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    walk_rows: int = WALK_ROWS,
+    shingle_words: int = SHINGLE_WORDS,
+    max_bits: int = MAX_DIFFERING_BITS,
+    check_words: int | None = None,
+    check_bits: int = BITS,
+) -> DataFrame:
     """One row for each row of ``df``: id, fingerprint and component_id.
 
+    Fingerprints are of shingles of ``shingle_words`` words; they link at
+    ``max_bits`` or fewer differing bits, and where ``check_words`` is given only if
+    those of so many words differ in at most ``check_bits`` bits too. Of texts that
+    share a fingerprint the least such check fingerprint stands for all.
+
     ``component_id`` is the smallest id that links reach, the row's own
     included. A null text counts as empty; texts without words have fingerprint
     zero and link like others. Texts are read whole, however long. Repeated rows
@@ -235,10 +259,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     component_id is null. Rows that share an id count as one document with
     several fingerprints.
     """
-    prints = checkpointed(fingerprints(df, id_col, text_col))
-    distinct = checkpointed(prints.groupBy("fp").agg(F.min("id").alias("least"))).withColumn("node", F.col("fp"))
+    prints = checkpointed(fingerprints(df, id_col, text_col, shingle_words, check_words))
+    distinct = checkpointed(prints.groupBy("fp").agg(F.min("id").alias("least"), F.min("other").alias("other"))).withColumn("node", F.col("fp"))
     by_id = distinct.filter("least is not null")
-    links = near_links(distinct)
+    links = near_links(distinct, walk_rows, max_bits, check_bits)
     same_id = _repeated_ids(prints)
     roots = connected_components(links.union(same_id))
     members = by_id.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

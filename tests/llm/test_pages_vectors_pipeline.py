@@ -195,9 +195,9 @@ def test_pages_of_the_tables(spark):
 # The pipeline.
 
 
-def fingerprint(text):
+def fingerprint(text, k):
     words = (text or "").encode().lower().split()
-    hashes = [xxhash.xxh64_intdigest(b" ".join(words[i : i + 3]), 42) for i in range(max(len(words) - 2, 1))] if words else []
+    hashes = [xxhash.xxh64_intdigest(b" ".join(words[i : i + k]), 42) for i in range(max(len(words) - k + 1, 1))] if words else []
     ones = sum((np.array([h >> b & 1 for b in range(64)]) for h in hashes), np.zeros(64, int))
     return sum(1 << b for b in range(64) if 2 * ones[b] > len(hashes))
 
@@ -217,7 +217,7 @@ def test_stages_equal_brute_force(spark):
     assert {r.doc_id for r in known.collect()} == kept == set(rows) - {5000, 5001}
 
     one = stages["simhash_dedup"](spark, known, SMALL)
-    prints, ids, parent = {i: fingerprint(rows[i].text) for i in kept}, sorted(kept), {i: i for i in kept}
+    (prints, checks), ids, parent = ({i: fingerprint(rows[i].text, k) for i in kept} for k in (2, 5)), sorted(kept), {i: i for i in kept}
 
     def root(i):
         while parent[i] != i:
@@ -226,7 +226,7 @@ def test_stages_equal_brute_force(spark):
 
     for k, i in enumerate(ids):
         for j in ids[k + 1 :]:
-            if (prints[i] ^ prints[j]).bit_count() <= 3:
+            if prints[i] == prints[j] or (prints[i] ^ prints[j]).bit_count() <= 6 and (checks[i] ^ checks[j]).bit_count() <= 12:
                 a, b = sorted((root(i), root(j)))
                 parent[b] = a
     singles = {i for i in ids if root(i) == i}
@@ -258,6 +258,30 @@ def test_stages_equal_brute_force(spark):
         assert all(p.ids_crc32 == zlib.crc32(np.array(p.ids, "<u4").tobytes()) for p in own)
 
 
+def test_near_copies_of_the_tables_go_and_others_stay(spark):
+    """Pairs of texts by their exact similarity over five-word shingles."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").filter("text is not null")
+    texts = {r.doc_id: r.text.lower().split() for r in docs.collect()}
+    shingles = {i: {tuple(w[j : j + 5]) for j in range(max(len(w) - 4, 1))} for i, w in texts.items()}
+    by = {}
+    for i, own in shingles.items():
+        for x in own:
+            by.setdefault(x, []).append(i)
+    shared = {}
+    for ids in by.values():
+        for a in ids if len(ids) <= 60 else ():
+            for b in ids:
+                if a < b:
+                    shared[a, b] = shared.get((a, b), 0) + 1
+    alike = {p: n / (len(shingles[p[0]]) + len(shingles[p[1]]) - n) for p, n in shared.items()}
+    near = {p for p, j in alike.items() if j >= 0.8}
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["simhash_dedup"](spark, docs, SMALL).collect()}
+    caught = sum(not (a in kept and b in kept) for a, b in near)
+    assert caught >= 0.9 * len(near) > 0
+    some = {i for p, j in alike.items() if j >= 0.4 for i in p} | {i for i, w in texts.items() if len(w) < 5}
+    assert set(texts) - some <= kept
+
+
 def test_stages_with_clashing_columns_long_texts_and_ties(spark):
     long = "the same words of a very long text, and more of it again " * 20_000
     rows = [(i, t, "en", "s", len(t)) for i, t in enumerate([long, long, long + "tail", "short text of the day", "short text of the day", "password = hunter2hunter2 of the day"])]

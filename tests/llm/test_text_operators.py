@@ -467,8 +467,8 @@ def test_long_texts_are_counted_whole(monkeypatch):
 # SimHash dedup.
 
 
-@pytest.mark.parametrize("walk_rows", [2, 4096])
-def test_components_equal_brute_force(spark, walk_rows):
+@pytest.mark.parametrize(("walk_rows", "max_bits", "shingle", "check"), [(2, 3, 3, None), (4096, 3, 3, None), (2, 6, 2, 12), (4096, 6, 2, 12), (4096, 6, 2, 4)])
+def test_components_equal_brute_force(spark, walk_rows, max_bits, shingle, check):
     r = random.Random(6)
     base = [" ".join(r.choices("a b c d e f g h".split(), k=400)) for _ in range(12)]
     texts = [None, "", "  ", "One", "one", "one two", *base]
@@ -480,20 +480,26 @@ def test_components_equal_brute_force(spark, walk_rows):
             texts.append(" ".join(words))
     ids = r.sample(range(10_000), len(texts))
     df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
-    prints = []
-    for t in texts:
+
+    def fingerprint_of(t, k):
         w = [x.lower() for x in (t or "").split()]
-        hs = [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]), 42) for i in range(max(len(w) - 2, 1))] if w else []
-        prints.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs)))
+        hs = [xxhash.xxh64_intdigest(" ".join(w[i : i + k]), 42) for i in range(max(len(w) - k + 1, 1))] if w else []
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+    prints = [fingerprint_of(t, shingle) for t in texts]
+    others = {}  # of texts that share a fingerprint the least, as a signed number
+    for t, p in zip(texts, prints, strict=True):
+        o = fingerprint_of(t, 5) if check else 0
+        others[p] = min(others.get(p, o), o, key=lambda x: x - (1 << 64) * (x >> 63))
     least = list(ids)
     changed = True
     while changed:
         changed = False
         for i, j in itertools.combinations(range(len(texts)), 2):
-            if (prints[i] ^ prints[j]).bit_count() <= 3 and least[i] != least[j]:
+            if least[i] != least[j] and (prints[i] ^ prints[j]).bit_count() <= max_bits and (not check or prints[i] == prints[j] or (others[prints[i]] ^ others[prints[j]]).bit_count() <= check):
                 least[i] = least[j] = min(least[i], least[j])
                 changed = True
-    out = {x.doc_id: (x.fingerprint, x.component_id) for x in simhash_dedup.near_duplicates(df, walk_rows=walk_rows).collect()}
+    out = {x.doc_id: (x.fingerprint, x.component_id) for x in simhash_dedup.near_duplicates(df, "doc_id", "text", walk_rows, shingle, max_bits, 5 if check else None, check or 64).collect()}
     assert out == {i: (f"{p:016x}", c) for i, p, c in zip(ids, prints, least, strict=True)}
     assert len(set(least)) < len(set(prints)) < len(texts)
 
@@ -551,8 +557,8 @@ def test_walks_prune_on_the_tables(monkeypatch):
     key, rest, node = np.zeros(len(fps), np.int64), fps.view(np.int64), np.arange(len(fps))
     import pyarrow as pa
 
-    batch = pa.RecordBatch.from_arrays([pa.array(key), pa.array(rest), pa.array(node)], names=["key", "rest", "node"])
-    for t in simhash_dedup._dealt(64)(iter([batch])):
+    batch = pa.RecordBatch.from_arrays([pa.array(key), pa.array(rest), pa.array(node), pa.array(key)], names=["key", "rest", "node", "other"])
+    for t in simhash_dedup._dealt(64, 4)(iter([batch])):
         key, rest, node = (t.column(i).to_numpy() for i in range(3))
         order = np.lexsort((rest, key))
         key, rest, node = key[order], rest[order], node[order]
