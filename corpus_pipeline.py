@@ -19,6 +19,10 @@ from graniteq.sources import table
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+#: Six bits of fingerprints of word pairs, and 12 of those of five words: of two texts of similarity 0.8 these differ in 10 on average.
+NEAR = {"shingle_words": 2, "max_bits": 6, "check_words": 5, "check_bits": 12}
+
+
 def _own(docs: DataFrame) -> DataFrame:
     """The columns of documents, by place; others may have names that differ only in case."""
     return take(docs, {c: c for c in COLUMNS})
@@ -43,12 +47,16 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate group; documents without an id stay.
 
-    Links are op10's: fingerprints of three-word shingles of the whole texts, null
-    ones empty, that differ in at most 3 of 64 bits. Rows that repeat an id are one
-    document, and all of them stay or go; no rows give none.
+    Copies are documents of a similarity of about 0.8 or more over five-word
+    shingles, as their fingerprints tell it: candidates come from the walk over
+    fingerprints of word pairs, of which few edits change few bits, and link only if
+    the fingerprints of five-word shingles are near too. The query of the operator
+    has its own contract of three words and 3 bits. Texts are read whole, null ones
+    are empty. Rows that repeat an id are one document, and all of them stay or go;
+    no rows give none.
     """
     docs = _own(docs)
-    groups = simhash_dedup.near_duplicates(docs)
+    groups = simhash_dedup.near_duplicates(docs, **NEAR)
     copies = groups.filter("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(copies.hint("shuffle_hash"), "doc_id", "left_anti").select(*COLUMNS)
 
