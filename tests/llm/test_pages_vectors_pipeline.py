@@ -226,7 +226,7 @@ def test_stages_equal_brute_force(spark):
 
     for k, i in enumerate(ids):
         for j in ids[k + 1 :]:
-            if prints[i] == prints[j] or (prints[i] ^ prints[j]).bit_count() <= 6 and (checks[i] ^ checks[j]).bit_count() <= 12:
+            if prints[i] == prints[j] or (prints[i] ^ prints[j]).bit_count() <= 5 and (checks[i] ^ checks[j]).bit_count() <= 12:
                 a, b = sorted((root(i), root(j)))
                 parent[b] = a
     singles = {i for i in ids if root(i) == i}
