@@ -294,17 +294,20 @@ def _article(page: Page, mass: list[float]) -> int:
     """The smallest element that holds all of the content, or a near article or main element that holds as much.
 
     Where the content lies in several elements, an article or main element among
-    them that has most of it is taken.
+    them that has most of it is taken, unless others beside it have its path.
     """
     heaviest: dict[int, int] = {}
+    alike: Counter[tuple[int, int]] = Counter()
     for i in range(1, len(mass)):
         p = page.parents[i]
-        if mass[i] > 0 and (p not in heaviest or mass[i] > mass[heaviest[p]]):
-            heaviest[p] = i
+        if mass[i] > 0:
+            alike[p, page.paths[i]] += 1
+            if p not in heaviest or mass[i] > mass[heaviest[p]]:
+                heaviest[p] = i
     at = 0
     while at in heaviest:
         c = heaviest[at]
-        if mass[c] >= mass[at] * (1 - 1e-9) or (page.tags[c] in ARTICLES and 2 * mass[c] > mass[at]):
+        if mass[c] >= mass[at] * (1 - 1e-9) or (page.tags[c] in ARTICLES and 2 * mass[c] > mass[at] and alike[at, page.paths[c]] == 1):
             at = c
         else:
             break
@@ -340,9 +343,12 @@ def content_blocks(page: Page, threshold: float = THRESHOLD) -> list[int]:
         own = [i for i in allowed if chosen <= page.owners[i] <= last]
         heads = [i for i in allowed if i < own[0] and page.tags[page.owners[i]] == "h1"]
         return (heads[-1:] if all(page.tags[page.owners[i]] != "h1" for i in own) else []) + own
-    held = [i for i in allowed if page.paths[page.owners[i]] in content]
-    prose = lambda i: 2 * page.linked[i] < len(page.texts[i]) and (held[0] < i < held[-1] or page.tags[page.owners[i]] in PROSE)
-    return [i for i in allowed if page.paths[page.owners[i]] in content or prose(i)]
+    # Nothing but the page surrounds the content: text outside of it counts where prose stands, links don't.
+    unlinked = lambda i: 2 * page.linked[i] < len(page.texts[i])
+    held = [i for i in allowed if page.paths[page.owners[i]] in content and unlinked(i)]
+    inner = lambda i: held[0] <= i <= held[-1] and page.paths[page.owners[i]] in content
+    prose = lambda i: unlinked(i) and (held[0] < i < held[-1] or page.tags[page.owners[i]] in PROSE)
+    return [i for i in allowed if inner(i) or prose(i)] if held else []
 
 
 def _within_article(page: Page, element: int) -> bool:

@@ -157,6 +157,27 @@ def test_marks_around_the_whole_page_count_for_nothing():
     assert html_extract.extract_text(html).count("long sentence") == 2 and html_extract.extract_text(html).startswith("T ")
 
 
+PAGES = {
+    "articles side by side": (f"<main><article><h2>A</h2>{LONG}</article><article><h2>B</h2>{LONG * 2}</article></main>", "A L B L L"),
+    "teasers below": (f"<main><article><h1>A</h1>{LONG * 4}</article><section><h2>More</h2><article><h3>x</h3><p>Teaser, short.</p></article></section></main>", "A L L L L"),
+    "flat, links around": (f"<p><a href=x>Up, there</a></p><h1>T</h1>{LONG}<p><a href=x>a linked one</a></p>{LONG}<hr><p><a href=x>Back to index</a></p>", "T L a linked one L"),
+    "flat, list at the end": (f"<h1>T</h1>{LONG * 2}<ul><li>first</li></ul><div>Login</div>", "T L L first"),
+    "columns": (f"<div class=wrap><div class=left><ul><li><a href=x>a</a></li></ul><p>Sign up, please.</p></div><div class=story><h1>T</h1><div class=byline>By Me</div>{LONG * 3}<div class=caption>c</div>{LONG}</div><div class=sidebar>{LONG}</div></div>", "T By Me L L L c L"),
+    "table layout": (f"<table><tr><td><ul><li><a href=x>a</a></li></ul></td><td><h1>T</h1>{LONG * 2}<p>Short.</p></td></tr></table><div>foot</div>", "T L L Short."),
+    "line breaks": ("<div class=menu><a href=x>A</a></div><div id=text><h1>T</h1>One sentence, of a text.<br><br>Two.</div>", "T One sentence, of a text. Two."),
+    "sections": (f"<div class=doc><section><h2>One</h2>{LONG * 2}</section><section><h2>Two</h2><p>Tiny.</p></section></div>", "One L L Two Tiny."),
+    "title outside": (f"<header>Site</header><h1>T</h1><div class=text>{LONG * 3}</div><div class=related>{LONG}</div>", "T L L L"),
+    "noise inside": (f"<article><h1>T</h1><div class=sidebar>{LONG}</div>{LONG}<div class='newsletter-signup'><p>Join, now.</p></div>{LONG}</article>", "T L L"),
+}
+
+
+@pytest.mark.parametrize("name", PAGES)
+def test_layouts(name):
+    html, text = PAGES[name]
+    plain = "A long sentence, with commas, and more of it; it goes on, and on, to its end."
+    assert html_extract.extract_text(f"<body><nav><a href=x>m</a></nav>{html}<footer>f</footer></body>") == " ".join(plain if w == "L" else w for w in text.split(" "))
+
+
 def test_edges():
     assert html_extract.extract_text("<div><a href=x>only, links.</a></div>") == ""
     assert html_extract.extract_text("<article><a href=x>a linked story</a></article>") == "a linked story"
