@@ -330,10 +330,11 @@ def invariants(pieces: DataFrame, id_col: str = "doc_id", capacity: int = CAPACI
     sequences = checked.groupBy("sequence_id").agg(total.alias("used"), F.sum("gap").alias("gap"))
     odd = F.col("used").bitwiseAND(F.col("used") - 1) != 0
     sums = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0)).cast("long")
-    s = sequences.agg(sums(F.col("used") > capacity).alias("n_over"), sums(odd).alias("n_padded"), sums(F.col("gap")).alias("n_gaps"))
+    names, none = ("n_documents", "n_broken", "n_over", "n_padded", "n_gaps"), F.lit(0).cast("long")
+    s = sequences.agg(none, none, sums(F.col("used") > capacity), sums(odd), sums(F.col("gap")))
     documents = checked.groupBy(id_col).agg(((total != F.max("doc_tokens")) | (F.sum("hole") > 0)).alias("broken"))
-    d = documents.agg(F.count(F.lit(1)).alias("n_documents"), sums(F.col("broken")).alias("n_broken"))
-    return d.crossJoin(s)  # one row each
+    d = documents.agg(F.count(F.lit(1)), sums(F.col("broken")), none, none, none)
+    return d.toDF(*names).union(s.toDF(*names)).agg(*[F.sum(n).alias(n) for n in names])
 
 
 def invariants_sql(table: str = "documents") -> str:
