@@ -41,12 +41,16 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 SCOPES = frozenset("html body article main section div ul ol dl table td th nav aside header footer form blockquote".split())
 
 #: Words in a class, id or role that mark an advert.
-ADVERTS = frozenset("ad ads adsbygoogle advert adverts advertisement advertising promo promoted sponsor sponsored".split())
+ADVERTS = frozenset(
+    "ad ads adbanner adblock adbox adcontainer adsbygoogle adsense adslot adunit adwrapper advert adverts advertisement advertisements advertising advertorial outbrain promo promoted "
+    "sponsor sponsored sponsors taboola".split()
+)
 #: Those that mark what else isn't the article.
 MARKS = ADVERTS | frozenset(
-    "alertdialog banner breadcrumb breadcrumbs comment comments commentbox commentform commentlist complementary consent contentinfo cookie cookies copyright disqus "
-    "footer gdpr header login masthead menu menubar nav navbar navigation newsletter notice pager pagination popup related replies respond responses "
-    "search share sharing sidebar sidenav signup skiplink social subscribe toolbar topbar topnav widget widgets".split()
+    "addthis alertdialog banner breadcrumb breadcrumbs comment comments commentbox commentform commentlist commentsection complementary consent contentinfo cookie cookiebanner cookiebar cookieconsent cookies copyright disqus "
+    "dropdown footer gdpr header leftbar login loginform mainmenu masthead menu menubar nav navbar navigation newsletter notice noticebar offcanvas pagefooter pageheader pager pagination popup readercomments related "
+    "relatedarticles relatedposts replies respond responses rightbar search searchbox searchform share sharebar sharebuttons sharethis sharing sidebar sidecolumn sidenav signup signupform sitefooter siteheader sitenav "
+    "skiplink social submenu subscribe subscribeform toolbar topbar topmenu topnav usercomments widget widgets".split()
 )
 #: Beside one of these, "header" and "notice" name a part of the article.
 OWN = frozenset("article entry post story".split())
