@@ -52,6 +52,14 @@ def packing_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.invariants(op2_packing(spark, sf_dir))
 
 
+def piece_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_sentencepiece(spark, sf_dir).select("doc_id", "decoded_sha256")
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_packing": op2_packing,
@@ -64,6 +72,8 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_simhash_dedup": op10_simhash_dedup,
     "packing_invariants": packing_invariants,
+    "piece_decoding": piece_decoding,
+    "edited_texts": edited_texts,
 }
 
 ORACLES = {
@@ -73,4 +83,6 @@ ORACLES = {
     "op8_url_filter": url_filter.judge_urls_sql(),
     "op9_language_id": language_id.identify_sql(),
     "packing_invariants": packing.invariants_sql(),
+    "piece_decoding": piece_codec.decoded_sql(),
+    "edited_texts": fingerprint.edited_sql(),
 }

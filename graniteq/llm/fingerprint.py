@@ -222,3 +222,10 @@ def _edited(rows: DataFrame) -> DataFrame:
         F.max("edited_sha256").alias("edited_sha256"),
         *[pick(w, c).alias(n) for w, c, n in ((0, "f0", "f0"), (0, "f1", "f1"), (1, "f0", "e0"), (1, "f1", "e1"))],
     )
+
+
+def edited_sql(table: str = "documents") -> str:
+    """DuckDB SQL for the lengths and edited texts' digests of ``edited_likeness``, for rows with ids."""
+    order = "order by doc_id desc, coalesce(text, '')"
+    return f"""with d as (select doc_id, coalesce(text, '') as t, coalesce(lead(coalesce(text, '')) over ({order}), first_value(coalesce(text, '')) over ({order})) as after from {table})
+select doc_id, length(t) as n_chars, sha256(left(t, length(t) - length(t) // 2) || left(after, length(t) // 2)) as edited_sha256 from d"""

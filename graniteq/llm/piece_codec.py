@@ -338,3 +338,8 @@ def round_trip_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             yield output({"id": (None, batch.column(0)), "n_tokens": (pa.int64(), counts), "ids_sha256": (pa.string(), own), "decoded_sha256": (pa.string(), back)})
 
     return rows.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+
+
+def decoded_sql(table: str = "documents") -> str:
+    """DuckDB SQL for the digests of decoded texts: decoding gives the text again, but with spaces for space marks."""
+    return f"select doc_id, sha256(replace(coalesce(text, ''), '{SPACE}', ' ')) as decoded_sha256 from {table}"

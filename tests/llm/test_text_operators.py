@@ -574,13 +574,13 @@ def test_walks_prune_on_the_tables(monkeypatch):
 # SQL.
 
 
-@pytest.mark.parametrize("name", ["op1_secret_scan", "op5_license_scan"])
+@pytest.mark.parametrize("name", ["op1_secret_scan", "op5_license_scan", "op9_language_id", "packing_invariants", "piece_decoding", "edited_texts"])
 def test_same_rows_as_sql(spark, tmp_path, name):
-    texts = SECRETS + LICENSED + ["This is GPLv2 code.", "MPL 2.0", "AGPL v3", "wtfpl", "LGPLv3 too"] + [" | ".join(SECRETS), " | ".join(LICENSED), None, ""]
+    texts = ["🙂 ▁marks▁ and  spaces ", "Straße"] + SECRETS + LICENSED + ["This is GPLv2 code.", "MPL 2.0", "AGPL v3", "wtfpl", "LGPLv3 too"] + [" | ".join(SECRETS), " | ".join(LICENSED), None, ""]
     at = folder(spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA), tmp_path)
     con = duckdb.connect()
     con.sql(f"create view documents as select * from '{at}/documents.parquet/*.parquet'")
     ours = catalogue.QUERIES[name](spark, at)
     theirs = con.sql(f"select {', '.join(ours.columns)} from ({catalogue.ORACLES[name]})").fetchall()
     key = lambda r: r[0]
-    assert sorted(map(tuple, ours.collect()), key=key) == sorted(theirs, key=key)
+    assert len(theirs) > 0 and sorted(map(tuple, ours.collect()), key=key) == sorted(theirs, key=key)
