@@ -120,7 +120,7 @@ def judge_urls_sql() -> str:
     boundary = lambda t: f"regexp_matches(u, '(^|[^a-z0-9]){t}([^a-z0-9]|$)')"
     count = lambda terms: " + ".join(f"{boundary(t)}::bigint" for t in terms)
     whens = [
-        (f"(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}')", h + p, v) for v, h, p in sorted(RULES, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2]))
+        (f"(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}')", h + p, v) for v, h, p in sorted(RULES, key=lambda r: (len(r[1] + r[2]), r[1] + r[2]), reverse=True)
     ]
     rule = "case " + " ".join(f"when {c} then '{r}'" for c, r, _ in whens) + " end"
     verdict = "case " + " ".join(f"when {c} then '{v}'" for c, _, v in whens) + f" when n_strict > 0 or n_soft >= {SOFT_TERMS_TO_REJECT} then 'block' else 'allow' end"
