@@ -37,6 +37,7 @@ CELL_ROWS = 16384  # a cell with more classes is dealt out
 ROWS_AT_ONCE = 1024
 SMALL_ROWS = 8192  # of cells that are compared together
 PAIRS_AT_ONCE = 1 << 15
+LINKS_AT_ONCE = 1 << 20
 
 _POINTS = 2  # of a cell
 
@@ -148,10 +149,18 @@ class _Rows:
         self.id, self.n = rows.column("cid").to_numpy(), rows.column("copies").to_numpy()
         self.unit = unit(_matrix(rows.column("vec").combine_chunks()))
         self.tables, self.probes = tables, probes
+        self._codes = np.empty((len(self.id), tables, 1 + _POINTS * probes), np.uint64)
+        self._coded = np.zeros(len(self.id), bool)
 
     def codes(self, at: np.ndarray) -> np.ndarray:
-        rows, back = np.unique(at, return_inverse=True)
-        return cells(self.unit[rows], self.tables, self.probes)[back]
+        asked = np.zeros(len(self.id), bool)
+        asked[at] = True
+        new = np.flatnonzero(asked & ~self._coded)
+        for lo in range(0, len(new), ROWS_AT_ONCE):
+            part = new[lo : lo + ROWS_AT_ONCE]
+            self._codes[part] = cells(self.unit[part], self.tables, self.probes)
+        self._coded[new] = True
+        return self._codes[at]
 
 
 def _count(who: _Rows, members: _Rows, i: np.ndarray, j: np.ndarray, t: np.ndarray | int, out: dict) -> None:
@@ -165,18 +174,25 @@ def _count(who: _Rows, members: _Rows, i: np.ndarray, j: np.ndarray, t: np.ndarr
         earlier = np.zeros(len(x), bool)
         for e in range(int(table.max())):
             earlier |= (table > e) & ((a[:, e] == b[:, e, :1]).any(1) | (b[:, e] == a[:, e, :1]).any(1))
-        row = np.arange(len(x))
-        back = (b[row, table] == a[row, table, :1]).any(1)  # then the other one finds this one in its own cell
-        x, y, back = x[~earlier], y[~earlier], back[~earlier]
+        new = ~earlier
+        x, y, table, a, b = x[new], y[new], table[new], a[new], b[new]
         if not len(x):
             continue
-        first, second = who.id[x], members.id[y]
-        for ids, links in ((first, members.n[y]), (second[~back], who.n[x[~back]])):
-            own, place = np.unique(ids, return_inverse=True)
-            sums = np.zeros(len(own), np.int64)
-            np.add.at(sums, place, links)
-            out["links"].append((own, sums))
-        out["pairs"].append(forest(first, second))
+        row = np.arange(len(x))
+        back = (b[row, table] == a[row, table, :1]).any(1)  # then the other one finds this one in its own cell
+        for rows, at, links in ((who, x, members.n[y]), (members, y[~back], who.n[x[~back]])):
+            sums = np.bincount(at, links, len(rows.id)).astype(np.int64)
+            own = np.flatnonzero(sums)
+            out["links"].append((rows.id[own], sums[own]))
+        out["found"].append((who.id[x], members.id[y]))
+        if sum(len(p[0]) for p in out["found"]) >= LINKS_AT_ONCE:
+            _connected(out)
+
+
+def _connected(out: dict) -> None:
+    """Replaces the links that were found by stars that connect the same."""
+    if out["found"]:
+        out["found"] = [forest(*(np.concatenate(x) for x in zip(*out["found"], strict=True)))]
 
 
 def _meet(who: _Rows, members: _Rows, t: int, least: float, out: dict) -> None:
@@ -208,7 +224,8 @@ def _meet_in_cells(rows: _Rows, starts: np.ndarray, members: np.ndarray, t: np.n
 
 
 def _results(out: dict) -> Iterator[pa.RecordBatch]:
-    for kind, name, other in (("pairs", "b", "links"), ("links", "links", "b")):
+    _connected(out)
+    for kind, name, other in (("found", "b", "links"), ("links", "links", "b")):
         a, x = (np.concatenate([np.empty(0, np.int64), *(p[i] for p in out[kind])]) for i in (0, 1))
         if len(a):
             columns = {"a": (pa.int64(), a), name: (pa.int64(), x), other: (pa.int64(), [None] * len(a))}
@@ -248,7 +265,7 @@ def _compare(tables: int, probes: int, least: float):
         def large() -> Iterator[pa.RecordBatch]:
             """Judges what has been read of a cell that isn't small."""
             nonlocal members
-            out: dict = {"links": [], "pairs": []}
+            out: dict = {"links": [], "found": []}
             if members is None and kept:
                 members = _Rows(kept, tables, probes)
                 _meet(members, members, t, least, out)
@@ -264,7 +281,7 @@ def _compare(tables: int, probes: int, least: float):
             for c in small:
                 by_length.setdefault(len(c[0][0].column("vec")[0]), []).append(c)
             for own in by_length.values():
-                out: dict = {"links": [], "pairs": []}
+                out: dict = {"links": [], "found": []}
                 sizes = np.array([c[1] for c in own])
                 rows = _Rows([b for c in own for b in c[0]], tables, probes)
                 _meet_in_cells(rows, np.cumsum(sizes) - sizes, np.array([c[2] for c in own]), np.array([c[3] for c in own]), least, out)
