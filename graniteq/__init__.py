@@ -10,6 +10,7 @@ from graniteq.operators import (
     distinct_on,
     equi_join,
     flatten_pairs,
+    join_with_position,
     sort_by,
     sort_chunks,
     sort_runs,
@@ -25,6 +26,7 @@ __all__ = [
     "distinct_on",
     "equi_join",
     "flatten_pairs",
+    "join_with_position",
     "resolve_key",
     "sort_by",
     "sort_chunks",

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graniteq.checkpoints import checkpointed
 from graniteq.keys import resolve_key
+from graniteq.operators.sort import with_position, with_total_before
 from graniteq.records import keep_valid
 
 _HINTS = {"merge": "merge", "hash": "shuffle_hash", "broadcast": "broadcast"}
@@ -74,6 +76,70 @@ def equi_join(
     return pairs.sort(*[F.col(f"`{first}{x}`") for x in left_names]) if in_order else pairs
 
 
+#: A key's rows are dealt out by so many of each side, each such part of the left meeting each of the right in a cell of its own.
+CELL_ROWS = 4096
+
+#: Tasks are as many as it takes for so many pairs in each, on average.
+PAIRS_PER_TASK = 1 << 23
+
+
+def join_with_position(
+    left: DataFrame,
+    right: DataFrame,
+    key: int | str | Sequence[str],
+    right_key: int | str | Sequence[str] | None = None,
+    name: str = "sort_pos",
+    prefixes: tuple[str, str] = ("", ""),
+) -> DataFrame:
+    """The pairs of a merge join with their place, from 1, in ascending order of the key, the left's other columns and the right's.
+
+    The pairs are neither sorted nor stored. A left row's pairs follow those of the
+    left rows before it, which the keys' counts give; within them the place is the
+    right row's own among those of its key (equal left rows take turns). No task
+    gets more of a frequent key than cells of CELL_ROWS rows of either side.
+    """
+    first, second = prefixes
+    names = resolve_key(key, left.columns)
+    others = resolve_key(key if right_key is None else right_key, right.columns)
+    if len(names) != len(others):
+        raise ValueError(f"keys differ in length: {names} and {others}")
+    columns = [*(first + c for c in left.columns), *(second + c for c in right.columns), name]
+    if len({c.lower() for c in columns}) < len(columns):
+        raise ValueError(f"both sides have columns of one name, or one named {name!r}; give prefixes")
+    # Both sides get names of their own: l0, l1 ... and r0, r1 ...; k0, k1 ... are the keys.
+    at, to = [left.columns.index(n) for n in names], [right.columns.index(n) for n in others]
+    known = lambda df, keys: df.dropna("any", subset=keys)
+    lk, rk = [f"l{i}" for i in at], [f"r{i}" for i in to]
+    a = known(left.toDF(*(f"l{i}" for i in range(len(left.columns)))), lk)
+    b = known(right.toDF(*(f"r{i}" for i in range(len(right.columns)))), rk)
+    same = lambda keys: [F.col(x) == F.col(f"k{i}") for i, x in enumerate(keys)]
+
+    b = with_position(b, rk, "place")
+    found = a.groupBy(*[F.col(x).alias(f"j{i}") for i, x in enumerate(lk)]).agg(F.count(F.lit(1)).alias("n_left"))
+    keys = b.groupBy(*[F.col(x).alias(f"k{i}") for i, x in enumerate(rk)]).agg(F.count(F.lit(1)).alias("n_right"), F.min("place").alias("at"))
+    keys = keys.join(found, [F.col(f"k{i}") == F.col(f"j{i}") for i in range(len(lk))]).drop(*(f"j{i}" for i in range(len(lk))))
+    parts = lambda n: F.ceil(F.col(n) / CELL_ROWS)
+    keys = checkpointed(keys.select("*", parts("n_left").alias("lefts"), parts("n_right").alias("rights")))
+    n_pairs = keys.agg(F.sum(F.col("n_left") * F.col("n_right"))).first()[0] or 0
+    n_tasks = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_pairs // PAIRS_PER_TASK))
+
+    a = a.groupBy(*a.columns).agg(F.count(F.lit(1)).alias("times"))
+    a = a.join(keys, same(lk)).withColumn("n", F.col("times") * F.col("n_right"))
+    a = with_total_before(a.select(*(f"l{i}" for i in range(len(left.columns))), "times", "lefts", "rights", "n"), lk, "n", "before")
+    a = a.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") * F.col("rights") - 1)))
+    a = a.withColumn("turn", F.floor(F.col("copy") / F.col("rights"))).withColumn("cell_right", F.col("copy") % F.col("rights"))
+    a = a.withColumn("cell_left", F.pmod(F.xxhash64(*(f"l{i}" for i in range(len(left.columns))), "turn"), F.col("lefts")))
+    b = b.join(keys.select(*(f"k{i}" for i in range(len(rk))), "at", F.col("lefts").alias("n_lefts"), F.col("rights").alias("n_rights")), same(rk))
+    b = b.withColumn("rank", F.col("place") - F.col("at")).withColumn("part_right", F.col("rank") % F.col("n_rights"))
+    b = b.withColumn("part_left", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_lefts") - 1)))
+    a = a.select(*(f"l{i}" for i in range(len(left.columns))), "times", "turn", "before", "cell_left", "cell_right").repartition(n_tasks, *lk, "cell_left", "cell_right")
+    b = b.select(*(f"r{i}" for i in range(len(right.columns))), "rank", "part_left", "part_right").repartition(n_tasks, *rk, "part_left", "part_right")
+    equal = [F.col(x) == F.col(y) for x, y in zip([*lk, "cell_left", "cell_right"], [*rk, "part_left", "part_right"], strict=True)]
+    place = F.col("before") + F.col("rank") * F.col("times") + F.col("turn") + 1
+    kept = [*(f"l{i}" for i in range(len(left.columns))), *(f"r{i}" for i in range(len(right.columns)))]
+    return a.join(b.hint("merge"), equal).select(*kept, place).toDF(*columns)
+
+
 def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select([F.col(f"`{c}`").alias(prefix + c) for c in df.columns])
 

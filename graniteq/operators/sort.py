@@ -91,14 +91,45 @@ def with_position(
     same partitions.
     """
     mark, part, start = "__mark", "__part", "__start"
-    taken = {c.lower() for c in df.columns} & {name.lower(), mark, part, start}
+    _check_free(df, name, mark, part, start)
+    local = _numbered(sort_by(df, key, valid, tie_break), mark, part)
+    within = F.col(mark) - F.shiftleft(F.col(part), _ROW_BITS)
+    placed = local.join(_starts(local, part, F.count(F.lit(1)), start), part).withColumn(name, F.col(start) + within + 1)
+    return placed.drop(mark, part, start)
+
+
+def with_total_before(
+    df: DataFrame,
+    key: int | str | Sequence[str],
+    value: str,
+    name: str,
+    tie_break: Sequence[str] | str | None = "all",
+) -> DataFrame:
+    """All rows with the sum of ``value``, a long column, over the rows before theirs in the ascending order of ``key``.
+
+    As in ``with_position``, each sorted partition adds up its own rows.
+    """
+    mark, part, start, within = "__mark", "__part", "__start", "__within"
+    _check_free(df, name, mark, part, start, within)
+    local = _numbered(sort_by(df, key, None, tie_break), mark, part)
+    before = Window.partitionBy(part).orderBy(mark).rowsBetween(Window.unboundedPreceding, -1)
+    summed = local.withColumn(within, F.coalesce(F.sum(value).over(before), F.lit(0)))
+    return summed.join(_starts(local, part, F.sum(value), start), part).withColumn(name, F.col(start) + F.col(within)).drop(mark, part, start, within)
+
+
+def _check_free(df: DataFrame, *names: str) -> None:
+    taken = {c.lower() for c in df.columns} & {n.lower() for n in names}
     if taken:
         raise ValueError(f"the columns {sorted(taken)} are there already")
-    local = checkpointed(sort_by(df, key, valid, tie_break).withColumn(mark, F.monotonically_increasing_id()))
-    local = local.withColumn(part, F.shiftright(mark, _ROW_BITS))
-    counts = local.groupBy(part).agg(F.count(F.lit(1)).alias("__n"))
+
+
+def _numbered(rows: DataFrame, mark: str, part: str) -> DataFrame:
+    """Sorted rows, checkpointed, with a number that rises in their order and the partition they lie in."""
+    return checkpointed(rows.withColumn(mark, F.monotonically_increasing_id())).withColumn(part, F.shiftright(mark, _ROW_BITS))
+
+
+def _starts(local: DataFrame, part: str, total: Column, start: str) -> DataFrame:
+    """For each partition the sum of ``total`` over those before it: one row a partition, broadcast."""
     before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(part, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias(start))
-    within = F.col(mark) - F.shiftleft(F.col(part), _ROW_BITS)
-    placed = local.join(F.broadcast(starts), part).withColumn(name, F.col(start) + within + 1)
-    return placed.drop(mark, part, start)
+    sums = local.groupBy(part).agg(total.alias("__n"))
+    return F.broadcast(sums.select(part, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias(start)))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graniteq.checkpoints import new_folder
-from graniteq.operators import distinct_on, equi_join, flatten_pairs, sort_by, sort_chunks, unique_count, with_position
+from graniteq.operators import distinct_on, equi_join, flatten_pairs, join_with_position, sort_by, sort_chunks, unique_count, with_position
 from graniteq.plans import counters_sql
 from graniteq.plans.stats import Blocked, dedup_stats, hash_join_stats, merge_join_stats, sort_pass_stats, sort_run_counts
 from graniteq.records import ROWS_PER_BLOCK, describe, size_in_blocks, valid_records
@@ -179,8 +179,8 @@ def join_hot_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 def join_merge_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    pairs = equi_join(suppliers, customers, "s_nationkey", "c_nationkey", strategy="merge")
-    return with_position(pairs.select(F.col("c_nationkey").alias("nationkey"), F.col("s_suppkey").alias("suppkey"), F.col("c_custkey").alias("custkey")), "nationkey")
+    pairs = join_with_position(suppliers, customers, "s_nationkey", "c_nationkey")
+    return pairs.select(F.col("c_nationkey").alias("nationkey"), F.col("s_suppkey").alias("suppkey"), F.col("c_custkey").alias("custkey"), "sort_pos")
 
 
 @_query(

@@ -6,8 +6,8 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from graniteq import distinct_on, equi_join, flatten_pairs, sort_by, sort_chunks, sort_runs, unique_count, with_position
-from graniteq.plans import plan_nodes
+from graniteq import distinct_on, equi_join, flatten_pairs, join_with_position, sort_by, sort_chunks, sort_runs, unique_count, with_position
+from graniteq.plans import catalogue, plan_nodes
 from graniteq.records import RECORD_SCHEMA, valid_records
 from graniteq.sources import generate_relation
 
@@ -163,6 +163,30 @@ def test_hash_tables_are_built_of_sides_of_a_checked_size_only(spark):
     assert "ShuffledHashJoin" not in plan_nodes(equi_join(a, b, "a", "b", strategy="hash"))
 
 
+@pytest.mark.parametrize("rows_of_a_cell", [3, 4096])
+def test_places_of_pairs_need_no_sort_of_pairs(spark, monkeypatch, rows_of_a_cell):
+    monkeypatch.setattr("graniteq.operators.join.CELL_ROWS", rows_of_a_cell)
+    monkeypatch.setattr("graniteq.operators.join.PAIRS_PER_TASK", 100)
+    r = random.Random(7)
+    left = [(r.choice([None, "a", "b"]), r.choice([1, 1, 1, 2, 3, 5, None]), r.choice([0.5, 2.5])) for _ in range(60)]
+    right = [(r.choice([1, 1, 2, 4, 5, None]), r.choice([None, 10, 20, 30])) for _ in range(50)]
+    a, b = spark.createDataFrame(left, "s string, k int, v double"), spark.createDataFrame(right, "k long, w long")
+    out = join_with_position(a, b, "k", name="at", prefixes=("l_", "r_"))
+    nodes = plan_nodes(out)
+    assert "SortMergeJoin" in nodes and out.columns == ["l_s", "l_k", "l_v", "r_k", "r_w", "at"]
+    least = lambda x: (x is not None, x or 0 if not isinstance(x, str) else x)
+    order = lambda p: (p[1], (p[0] is not None, p[0] or ""), p[2], least(p[4]))
+    pairs = sorted((x + y for x in left for y in right if x[1] is not None and x[1] == y[0]), key=order)
+    assert sorted((tuple(x) for x in out.collect()), key=lambda x: x[-1]) == [(*p, i) for i, p in enumerate(pairs, 1)]
+    assert join_with_position(a, b.limit(0), "k", prefixes=("l_", "r_")).count() == 0
+    with pytest.raises(ValueError):
+        join_with_position(a, b, "k")
+
+
+def test_ordered_join_query_stores_no_pairs(spark):
+    assert "SortMergeJoin" in plan_nodes(catalogue.QUERIES["join_merge_in_order"](spark, "/root/testdata/sf0.001"))
+
+
 def test_generated_relation(spark):
     df = generate_relation(spark, 3, seed=5)
     rows = df.collect()
