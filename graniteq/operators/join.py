@@ -47,7 +47,7 @@ def equi_join(
     ``right_key`` names the right side's columns where they differ, one for each
     of ``key``. The strategy "merge" sorts both sides, "hash" builds a hash table
     from the smaller one in each partition, "broadcast" sends the right side to
-    every executor; where the estimated sizes don't allow one of these two, the
+    every executor (a left side as small is dealt out to all tasks, for the pairs may be many); where the estimated sizes don't allow one of these two, the
     sides are merged. "auto" leaves the choice to the optimizer. ``prefixes`` go before every column name
     of the left and the right side, which tells clashing names apart; without
     them a name in both inputs raises ValueError. ``in_order`` sorts the result
@@ -69,10 +69,13 @@ def equi_join(
         strategy = "merge"
     if strategy == "hash" and min(map(_estimated_bytes, (a, b))) > _hash_limit(a):
         strategy = "merge"
-    if strategy != "auto":
-        b = b.hint(_HINTS[strategy])
-    equal = [F.col(f"`{first}{x}`") == F.col(f"`{second}{y}`") for x, y in zip(left_names, right_names, strict=True)]
-    pairs = a.join(b, equal, "inner")
+    if strategy == "broadcast" and _estimated_bytes(a) <= MAX_BROADCAST_BYTES:
+        pairs = _broadcast_groups(a, b, [first + x for x in left_names], [second + y for y in right_names])
+    else:
+        if strategy != "auto":
+            b = b.hint(_HINTS[strategy])
+        equal = [F.col(f"`{first}{x}`") == F.col(f"`{second}{y}`") for x, y in zip(left_names, right_names, strict=True)]
+        pairs = a.join(b, equal, "inner")
     return pairs.sort(*[F.col(f"`{first}{x}`") for x in left_names]) if in_order else pairs
 
 
@@ -140,6 +143,31 @@ def join_with_position(
     return a.join(b.hint("merge"), equal).select(*kept, place).toDF(*columns)
 
 
+#: Equal keys of these types are the same value; others may differ in bits (0.0 and -0.0).
+_EXACT = {"boolean", "tinyint", "smallint", "int", "bigint", "date", "timestamp", "string", "binary"}
+
+
+def _broadcast_groups(left: DataFrame, right: DataFrame, left_names: list[str], right_names: list[str]) -> DataFrame:
+    """A broadcast join of two small sides, which may make many pairs all the same.
+
+    A small left side lies in one or two splits, whose tasks would make all pairs:
+    it is dealt out in the order of its keys and rows. The right side's rows are
+    broadcast as one list for each key, which takes a look-up for each left row
+    rather than a step through a hash table for each pair.
+    """
+    spark = left.sparkSession
+    n_tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 16 * spark.sparkContext.defaultParallelism)
+    a = left.repartitionByRange(n_tasks, *[F.col(f"`{c}`") for c in [*left_names, *(c for c in left.columns if c not in left_names)]])
+    types, group = dict(right.dtypes), [f"__k{i}" for i in range(len(right_names))]
+    listed = [c for c in right.columns if c not in right_names or types[c] not in _EXACT] or right.columns
+    rows = F.collect_list(F.struct(*[F.col(f"`{c}`").alias(f"r{i}") for i, c in enumerate(listed)])).alias("__rows")
+    b = right.groupBy(*[F.col(f"`{y}`").alias(k) for k, y in zip(group, right_names, strict=True)]).agg(rows)
+    pairs = a.join(F.broadcast(b), [F.col(f"`{x}`") == F.col(k) for x, k in zip(left_names, group, strict=True)])
+    pairs = pairs.select(*[F.col(f"`{c}`") for c in left.columns], *group, F.explode("__rows").alias("__row"))
+    of_right = [F.col("__row").getField(f"r{listed.index(c)}") if c in listed else F.col(group[right_names.index(c)]) for c in right.columns]
+    return pairs.select(*[F.col(f"`{c}`") for c in left.columns], *[x.alias(c) for x, c in zip(of_right, right.columns, strict=True)])
+
+
 def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select([F.col(f"`{c}`").alias(prefix + c) for c in df.columns])
 

@@ -84,6 +84,22 @@ def test_strategy_reaches_the_plan(spark, strategy, node):
     assert node in plan_nodes(equi_join(a, a, 1, strategy=strategy, prefixes=("l_", "r_")))
 
 
+@pytest.mark.parametrize("key", ["k", ["k", "s"], ["d", "k"], ["k", "s", "d"]])
+def test_small_sides_are_dealt_to_all_tasks_of_a_broadcast_join(spark, tmp_path, key):
+    r = random.Random(3)
+    rows = [(i % 7 or None, r.choice([None, "", "a", "b"]), r.choice([0.0, -0.0, 1.5]), i % 40) for i in range(300)]
+    spark.createDataFrame(rows, "k long, s string, d double, v int").coalesce(1).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t")).select(*({"k", "s", "d", "v"} if key == "k" else ("v", "d", "s", "k") if key != ["k", "s", "d"] else key))
+    names = [key] if isinstance(key, str) else key
+    out = equi_join(df, df, key, strategy="broadcast", prefixes=("l_", "r_"))
+    at = [df.columns.index(n) for n in names]
+    own = [tuple(x) for x in df.collect()]
+    pairs = Counter(map(repr, (x + y for x in own for y in own if all(x[i] is not None and x[i] == y[i] for i in at))))
+    assert Counter(repr(tuple(x)) for x in out.collect()) == pairs and out.columns == [p + c for p in ("l_", "r_") for c in df.columns]
+    assert "BroadcastHashJoin" in plan_nodes(out)
+    assert len({x.p for x in out.select(F.spark_partition_id().alias("p")).distinct().collect()}) > 3
+
+
 def test_null_keys_match_nothing(spark):
     a = spark.createDataFrame([(None, 1), (1, 2)], "k long, v long")
     assert [tuple(r) for r in equi_join(a, a, "k", prefixes=("l_", "r_")).collect()] == [(1, 2, 1, 2)]
