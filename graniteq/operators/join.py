@@ -41,6 +41,7 @@ def equi_join(
     right_valid: Column | str | None = None,
     prefixes: tuple[str, str] | None = None,
     in_order: bool = False,
+    deal_frequent: bool = False,
 ) -> DataFrame:
     """Every pair of valid rows with equal keys; null keys match nothing.
 
@@ -51,7 +52,9 @@ def equi_join(
     sides are merged. "auto" leaves the choice to the optimizer. ``prefixes`` go before every column name
     of the left and the right side, which tells clashing names apart; without
     them a name in both inputs raises ValueError. ``in_order`` sorts the result
-    by the left key.
+    by the left key. ``deal_frequent`` counts the keys of both sides first and deals
+    out the rows of frequent ones in cells of CELL_ROWS rows of either side, which a
+    merge or hash join's tasks share, whatever the sizes in bytes.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown join strategy {strategy!r}: expected one of {STRATEGIES}")
@@ -72,10 +75,13 @@ def equi_join(
     if strategy == "broadcast" and _estimated_bytes(a) <= MAX_BROADCAST_BYTES:
         pairs = _broadcast_groups(a, b, [first + x for x in left_names], [second + y for y in right_names])
     else:
+        columns, cells = [*a.columns, *b.columns], []
+        if deal_frequent and strategy != "broadcast":
+            a, b, cells = _in_cells(a, b, [first + x for x in left_names], [second + y for y in right_names])
         if strategy != "auto":
             b = b.hint(_HINTS[strategy])
         equal = [F.col(f"`{first}{x}`") == F.col(f"`{second}{y}`") for x, y in zip(left_names, right_names, strict=True)]
-        pairs = a.join(b, equal, "inner")
+        pairs = a.join(b, [*equal, *cells], "inner").select(*[F.col(f"`{c}`") for c in columns])
     return pairs.sort(*[F.col(f"`{first}{x}`") for x in left_names]) if in_order else pairs
 
 
@@ -143,6 +149,31 @@ def join_with_position(
     return a.join(b.hint("merge"), equal).select(*kept, place).toDF(*columns)
 
 
+def _in_cells(left: DataFrame, right: DataFrame, left_names: list[str], right_names: list[str]) -> tuple[DataFrame, DataFrame, list[Column]]:
+    """Both sides with the cells of their rows, and the conditions by which cells meet.
+
+    A key's rows of a side make one part for every CELL_ROWS of them. A row lies in
+    one part of its own side, by a hash of the whole row, and is repeated for each
+    part of the other side: two rows more for every CELL_ROWS pairs, at most about.
+    The keys that have more than one part are broadcast.
+    """
+
+    def parts(df: DataFrame, names: list[str], tag: str) -> DataFrame:
+        counts = df.groupBy(*[F.col(f"`{n}`").alias(f"__{tag}{i}") for i, n in enumerate(names)]).agg(F.count(F.lit(1)).alias("__n"))
+        return counts.filter(F.col("__n") > CELL_ROWS).withColumn(f"__{tag}", F.ceil(F.col("__n") / CELL_ROWS)).drop("__n")
+
+    def dealt(df: DataFrame, names: list[str], own: str, other: str, cell: str) -> DataFrame:
+        rows = df
+        for tag, side, keys in (("p", left, left_names), ("q", right, right_names)):
+            rows = rows.join(F.broadcast(parts(side, keys, tag)), [F.col(f"`{n}`") == F.col(f"__{tag}{i}") for i, n in enumerate(names)], "left")
+        n_own, n_other = (F.coalesce(f"__{x}", F.lit(1).cast("long")) for x in (own, other))
+        part = F.when(n_own > 1, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), n_own)).otherwise(0)
+        return rows.select(*[F.col(f"`{c}`") for c in df.columns], part.alias(f"{cell}_{own}"), F.explode(F.sequence(F.lit(0).cast("long"), n_other - 1)).alias(f"{cell}_{other}"))
+
+    a, b = dealt(left, left_names, "p", "q", "__l"), dealt(right, right_names, "q", "p", "__r")
+    return a, b, [F.col(f"__l_{x}") == F.col(f"__r_{x}") for x in "pq"]
+
+
 #: Equal keys of these types are the same value; others may differ in bits (0.0 and -0.0).
 _EXACT = {"boolean", "tinyint", "smallint", "int", "bigint", "date", "timestamp", "string", "binary"}
 

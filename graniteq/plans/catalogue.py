@@ -168,7 +168,7 @@ def join_hot_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A third of the left side has one key, which repeats on the right side too."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.expr("case when l_orderkey % 3 = 0 then 0 else l_orderkey end").alias("k"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.expr("case when o_orderkey % 7500 = 0 then 0 else o_orderkey end").alias("k"))
-    pairs = equi_join(lines, orders, "k", strategy="merge", prefixes=("a_", "b_"))
+    pairs = equi_join(lines, orders, "k", strategy="merge", prefixes=("a_", "b_"), deal_frequent=True)
     return pairs.select(F.col("a_l_orderkey").alias("line_order"), F.col("a_l_linenumber").alias("linenumber"), F.col("a_l_partkey").alias("partkey"), F.col("b_o_orderkey").alias("orderkey"))
 
 

@@ -174,6 +174,27 @@ def test_hot_key_on_both_sides(spark):
     assert "SortMergeJoin" in plan_nodes(out) and out.count() == 1334 * 10 + sum(1 for i in range(4000) if i % 3 and i % 400)
 
 
+def test_frequent_keys_are_dealt_out_to_tasks(spark, monkeypatch):
+    monkeypatch.setattr("graniteq.operators.join.CELL_ROWS", 20)
+    monkeypatch.setattr("graniteq.operators.join.MAX_BROADCAST_BYTES", 0)
+    r = random.Random(5)
+    a, b = ([(r.choice([None, 0, 0, 0, 1, 2, i]), r.choice(["x", "y"]), i) for i in range(n)] for n in (400, 150))
+    left, right = spark.createDataFrame(a, "k long, s string, v long"), spark.createDataFrame(b, "k int, s string, v long")
+    for key, same in (("k", lambda x, y: x[0] == y[0]), (["k", "s"], lambda x, y: x[:2] == y[:2])):
+        for strategy in ("auto", "merge", "hash", "broadcast"):
+            out = equi_join(left, right, key, strategy=strategy, prefixes=("l_", "r_"), deal_frequent=True)
+            assert Counter(map(tuple, out.collect())) == Counter(x + y for x in a for y in b if x[0] is not None and same(x, y))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        out = catalogue.QUERIES["join_hot_key"](spark, "/root/testdata/sf0.001")
+        counts = [x["count"] for x in out.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert "SortMergeJoin" in plan_nodes(out) and len(counts) == 8 and max(counts) < sum(counts) / 4
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_hash_tables_are_built_of_sides_of_a_checked_size_only(spark):
     a, b = (spark.range(10**13).withColumnRenamed("id", x) for x in "ab")
     assert "ShuffledHashJoin" not in plan_nodes(equi_join(a, b, "a", "b", strategy="hash"))
