@@ -325,6 +325,7 @@ _ORDERS_BY_CUSTOMER = _counted("o_orderkey", "o_custkey", "orders", "o_custkey %
 
 @_query("dedup_stats_in_memory", counters_sql.dedup(_counted("c_custkey", "c_nationkey", "customer"), MEMORY))
 def dedup_stats_in_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In memory up to 22 blocks, sorted beyond. The SQL covers inputs of up to 21 runs; the operator itself any number."""
     s = dedup_stats(_blocked(spark, sf_dir, "customer", "c_custkey", "c_nationkey"), MEMORY)
     return _row(spark, {"nunique": s.nunique, "nios": s.nios})
 
